@@ -1,12 +1,55 @@
-"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+Every stage but the last returns the columns of documents. run() writes each stage's result to the shared folder
+and reads it again for the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from plumbline.llm import decontaminate, jaccard_join, language, mixing, suffix_dedup
 from plumbline.llm.shared import stored
 
-STAGES: list = []
+#: Bytes of a repeated passage; one of over 50 words has at least so many.
+PASSAGE = 100
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
+    return language.kept(docs)
+
+
+def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return jaccard_join.kept(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a smaller doc_id holds too are cut out; documents of nothing else go."""
+    return suffix_dedup.cut(docs, size=PASSAGE)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.kept(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each remaining document is taken, by entropy balancing of the sources."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicate_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("decontamination", benchmark_decontamination),
+    ("mixing", source_mixing),
+]
+
+#: Trained models and iterative solvers have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

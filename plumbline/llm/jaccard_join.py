@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import U, buffers, mix, shingle_sets, slices
-from plumbline.llm.shared import bitmap, components, in_bitmap, partitions, stored
+from plumbline.llm.shared import bitmap, components, in_bitmap, partitions, small_batches, stored
 
 #: From this document count on, a shingle is frequent; its level is the count's logarithm.
 FREQUENT = 8
 #: Slots of the level table: one byte each, whatever the corpus holds. A shared slot only raises a level.
 LEVEL_SLOTS = 1 << 22
-_FLUSH = 1 << 22  # signatures or shingles that a task holds before it deals them out
+_FLUSH = 1 << 20  # signatures or shingles that a task holds before it deals them out
 
 
 def _blocks(values: np.ndarray, extra: np.ndarray | None, parts: int) -> pa.RecordBatch:
@@ -276,6 +276,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     100 * intersection >= percent * union.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = partitions(spark)
     share = spark.sparkContext.broadcast
     texts = docs.select("doc_id", "text")
@@ -333,3 +334,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     own = documents.join(classes, "key", "left").select("doc_id", "n", F.when(F.col("n") > 0, key).alias("class"))
     least = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return own.join(least, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, of which one of each class stays: the one of the smallest doc_id.
+
+    Rows without words and rows with a null doc_id stay; of rows with the same smallest doc_id all stay.
+    """
+    gone = near_duplicates(docs, width, percent).where("doc_id > component_id").select("doc_id").distinct()
+    return docs.join(stored(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm import decontaminate, language, mixing, suffix_dedup
 from plumbline.llm.jaccard_join import near_duplicates
 
 
@@ -40,13 +41,52 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS least FROM
 """
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.spans(table(spark, sf_dir, "documents"), size=50)
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+least AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.p FROM w JOIN least USING (s) WHERE least.first < w.doc_id),
+gone AS (SELECT DISTINCT doc_id, p + k AS p FROM (SELECT doc_id, p, unnest(range(0, 50)) AS k FROM hit)),
+bytes AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(0, n)) AS p FROM d)),
+marked AS (SELECT b.doc_id, b.p, b.b, g.p IS NOT NULL AS g FROM bytes b LEFT JOIN gone g USING (doc_id, p)),
+edges AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM marked),
+sums AS (
+  SELECT doc_id, sum(g::INT) AS n_removed, sum(starts::INT) AS n_spans, string_agg(b, '' ORDER BY p) FILTER (NOT g) AS kept
+  FROM edges GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(s.kept, ''))) AS kept_sha256
+FROM d LEFT JOIN sums s USING (doc_id)
+"""
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, ceiling=2.0)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
+        "op4_source_mixing": op4_source_mixing,
+        "op7_language_id": op7_language_id,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": OP1_SQL,
+        "op2_suffix_array_dedup": OP2_SQL,
     }
