@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, language, mixing, suffix_dedup
+from plumbline.llm import decontaminate, fingerprints, language, mixing, suffix_dedup, tokens
 from plumbline.llm.jaccard_join import near_duplicates
 
 
@@ -67,6 +67,16 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, ceiling=2.0)
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -80,8 +90,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op4_source_mixing": op4_source_mixing,
+        "op5_order_minhash": op5_order_minhash,
         "op7_language_id": op7_language_id,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op9_token_counts": op9_token_counts,
     }
 
 
