@@ -4,7 +4,7 @@ A text's tokens are its words, cut into pieces of PIECE characters; each token s
 the end). Equal k-mers are numbered by occurrence, each numbered one gets a hash, and the hash's top bits
 deal it to one of 32 bins. A bin keeps the two k-mers of smallest hash, in text order, and hashes them as a tuple:
 exchanged passages change the tuple, so that likeness follows edit distance and not the bag of words. The fingerprint
-is the bins' tuples; likeness is the share of bins with equal tuples among those that either text fills.
+is the bins' tuples; likeness comes from the share of bins with equal tuples among those that either text fills.
 
 All work is inside a row; rows are never exploded. Null is the empty text; texts without a token have the empty
 fingerprint, and two such are alike (1.0). Rows equal in doc_id and text are one document whose result is
@@ -59,9 +59,14 @@ def fingerprint(sketch: str) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of equal tuples among the bins that either sketch fills; 1 if neither fills one."""
+    """How much of two texts agrees, from the share p of equal tuples among the bins that either sketch fills.
+
+    Both k-mers of a tuple agree with about the square of the texts' Jaccard similarity j, and 2j / (1 + j) is
+    the part of a text that is kept. 1 if neither sketch fills a bin.
+    """
     bins = f"size(array_union(transform({a}, x -> shiftrightunsigned(x, {_BIN})), transform({b}, x -> shiftrightunsigned(x, {_BIN}))))"
-    return F.expr(f"if({bins} = 0, 1.0D, size(array_intersect({a}, {b})) / cast({bins} as double))")
+    j = F.expr(f"if({bins} = 0, 1.0D, sqrt(size(array_intersect({a}, {b})) / cast({bins} as double)))")
+    return 2 * j / (1 + j)
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:

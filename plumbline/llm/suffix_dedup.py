@@ -3,7 +3,8 @@
 Equal strings of `size` bytes have the same minimizer (their k-gram of smallest hash), so they meet when the
 runs of windows with a common minimizer (at most 2 * size bytes each) are dealt by it. A first pass counts the
 texts of every minimizer and leaves a fixed-size bitmap of those in two texts or more; only their runs are
-dealt. Each bucket builds a suffix array of its different runs by Lyndon grouping, in slices of whole minimizers:
+dealt. Where a minimizer's runs differ, its bucket builds their suffix array by Lyndon grouping, in slices of whole
+minimizers:
 previous-smaller pointers give every suffix its Lyndon prefix, suffixes with equal ones form a group, groups get
 their slots in descending order, and one scan in ascending order puts each suffix of a group in place, without
 renaming. Neighbours in the array with `size` common bytes are one class; its smallest doc_id decides.
@@ -297,8 +298,12 @@ def _cuts(size: int) -> Callable:
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if head[a, 1] == head[b - 1, 1]:
                 continue  # a single text
-            for i in range(a, b):
-                s = bodies[order[i]]
+            own = [bodies[i] for i in order[a:b].tolist()]
+            if len(set(own)) == 1:  # windows of one run differ: the string is its own class, without an array
+                h = head[a:b][head[a:b, 2] > head[a:b, 2].min()]
+                out.append(np.stack((h[:, 1], h[:, 3], h[:, 3] + h[:, 4]), 1))
+                continue
+            for i, s in enumerate(own, a):
                 if s not in ids:
                     ids[s] = len(ids)
                     amount += len(s)
