@@ -25,7 +25,7 @@ from plumbline.llm.shared import small_batches
 SLOTS = 1 << 13
 SAMPLE = 400  # training rows a language from which centroids are made
 CLUSTERS = 3
-MARGIN = 0.5  # a text is rejected below this part of the sample's least cosine
+MARGIN = 0.25  # a text is rejected below this part of the least cosine of the sample
 UNKNOWN = "und"
 _U = np.uint64
 _letter: np.ndarray | None = None
