@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, fingerprints, language, mixing, suffix_dedup, tokens
+from plumbline.llm import decontaminate, fingerprints, language, licences, mixing, quality, suffix_dedup, tokens
 from plumbline.llm.jaccard_join import near_duplicates
 
 
@@ -63,6 +63,14 @@ FROM d LEFT JOIN sums s USING (doc_id)
 """
 
 
+def op3_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").selectExpr("doc_id", "quality as label"))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, ceiling=2.0)
 
@@ -89,11 +97,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
+        "op3_quality_neighbours": op3_quality_neighbours,
         "op4_source_mixing": op4_source_mixing,
         "op5_order_minhash": op5_order_minhash,
         "op7_language_id": op7_language_id,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_token_counts": op9_token_counts,
+        "op10_licence_scan": op10_licence_scan,
     }
 
 
