@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, fingerprints, language, licences, mixing, quality, suffix_dedup, tokens
+from plumbline.llm import decontaminate, extract, fingerprints, language, licences, mixing, quality, suffix_dedup, tokens
 from plumbline.llm.jaccard_join import near_duplicates
 
 
@@ -71,6 +71,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scanned(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, ceiling=2.0)
 
@@ -100,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_neighbours": op3_quality_neighbours,
         "op4_source_mixing": op4_source_mixing,
         "op5_order_minhash": op5_order_minhash,
+        "op6_html_extraction": op6_html_extraction,
         "op7_language_id": op7_language_id,
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_token_counts": op9_token_counts,
