@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from plumbline.llm.hashing import _BYTE, U, buffers, mix, powers, slices
 from plumbline.llm.shared import bitmap, in_bitmap, partitions, small_batches, stored
 
-GRAM = 16
+LEAST_GRAM = 16
 BITS = 1 << 27  # of the bitmap of repeated minimizers: 16 MB whatever the corpus holds
 _PIECE = 1 << 19  # window starts handled at once; places in a piece need 20 bits
 _PLACE = U((1 << 20) - 1)
@@ -39,6 +39,11 @@ _ARRAY = 1 << 18  # bytes of one suffix array, unless a single minimizer has mor
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
+def gram(size: int) -> int:
+    """Bytes of the k-gram whose smallest hash deals a window: long, lest unrelated texts share it by chance."""
+    return max(LEAST_GRAM, size // 2)
+
+
 def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes of the strings in order: (place in the concatenation with one gap after each string, first places).
 
@@ -108,7 +113,8 @@ def window_classes(strings: list[bytes], size: int) -> tuple[np.ndarray, np.ndar
 
 def _runs(data: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Pieces of (row, first, last, key): the runs of windows with a common minimizer; places are in the row."""
-    wide = size - GRAM + 1
+    k = gram(size)
+    wide = size - k + 1
     long = np.diff(at) > _PIECE
     if long.any() and len(at) > 2:
         for r in range(len(at) - 1):
@@ -122,7 +128,7 @@ def _runs(data: np.ndarray, at: np.ndarray, size: int) -> Iterator[tuple[np.ndar
         up, down = powers(len(part) + 1)
         total = np.zeros(len(part) + 1, U)
         np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
-        h = mix((total[GRAM:] - total[:-GRAM]) * down[: len(part) - GRAM + 1])
+        h = mix((total[k:] - total[:-k]) * down[: len(part) - k + 1])
         h = (h & ~_PLACE) | np.arange(len(h), dtype=U)
         step, m = 1, h
         while step * 2 <= wide:
@@ -415,8 +421,8 @@ def _left(names: list[str], size: int, whole: bool) -> Callable:
 
 def _done(docs: DataFrame, size: int, whole: bool) -> DataFrame:
     """For every row of docs: `row` (its columns, if whole) or doc_id, n_bytes, n_removed, n_spans, left."""
-    if size < GRAM + 8:
-        raise ValueError(f"size must be {GRAM + 8} at least")
+    if size < LEAST_GRAM + 8:
+        raise ValueError(f"size must be {LEAST_GRAM + 8} at least")
     spark = docs.sparkSession
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col("doc_id").cast("long").alias("doc_id")
     ranges = _ranges(docs, size)
