@@ -3,8 +3,8 @@
 Equal strings of `size` bytes have the same minimizer (their k-gram of smallest hash), so they meet when the
 runs of windows with a common minimizer (at most 2 * size bytes each) are dealt by it. A first pass counts the
 texts of every minimizer and leaves a fixed-size bitmap of those in two texts or more; only their runs are
-dealt. Where a minimizer's runs differ, its bucket builds their suffix array by Lyndon grouping, in slices of whole
-minimizers:
+dealt. A bucket leaves out windows whose hash is in one text only and builds the suffix array of its different runs by
+Lyndon grouping, in slices of whole minimizers:
 previous-smaller pointers give every suffix its Lyndon prefix, suffixes with equal ones form a group, groups get
 their slots in descending order, and one scan in ascending order puts each suffix of a group in place, without
 renaming. Neighbours in the array with `size` common bytes are one class; its smallest doc_id decides.
@@ -297,19 +297,15 @@ def _cuts(size: int) -> Callable:
         new[1:] = (head[1:, :2] != head[:-1, :2]).any(1) | (head[1:, 3] != head[:-1, 3])
         head, order = head[new], order[new]
         cut = np.flatnonzero(np.concatenate(([True], head[1:, 0] != head[:-1, 0], [True])))
+        head, bodies = _shared(head, [bodies[i] for i in order.tolist()], size)
+        cut = np.flatnonzero(np.concatenate(([True], head[1:, 0] != head[:-1, 0], [True]))) if len(head) else ()
         out: list[np.ndarray] = []
         ids: dict[bytes, int] = {}
         held: list[tuple[int, int]] = []
         amount = 0
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if head[a, 1] == head[b - 1, 1]:
-                continue  # a single text
-            own = [bodies[i] for i in order[a:b].tolist()]
-            if len(set(own)) == 1:  # windows of one run differ: the string is its own class, without an array
-                h = head[a:b][head[a:b, 2] > head[a:b, 2].min()]
-                out.append(np.stack((h[:, 1], h[:, 3], h[:, 3] + h[:, 4]), 1))
-                continue
-            for i, s in enumerate(own, a):
+        for a, b in zip(cut[:-1], cut[1:]):
+            for i in range(a, b):
+                s = bodies[i]
                 if s not in ids:
                     ids[s] = len(ids)
                     amount += len(s)
@@ -327,6 +323,47 @@ def _cuts(size: int) -> Callable:
     return run
 
 
+def _shared(head: np.ndarray, bodies: list[bytes], size: int) -> tuple[np.ndarray, list[bytes]]:
+    """The parts of the runs whose windows may be in another text too: windows whose hash only one text has are left out.
+
+    This spares the suffix arrays what cannot repeat; which windows are equal is theirs to say.
+    """
+    heads, kept = [], []
+    # runs of one minimizer stay together, so that whole groups of them are looked at in turn
+    step = np.flatnonzero(np.concatenate(([True], head[1:, 0] != head[:-1, 0], [True])))
+    a = 0
+    while a < len(head):
+        b = int(step[min(len(step) - 1, np.searchsorted(step, a + 20_000))])
+        part, data = head[a:b], np.frombuffer(b"".join(bodies[a:b]), np.uint8)
+        at = np.concatenate(([0], np.cumsum(part[:, 4])))
+        n = part[:, 4] - size + 1
+        run = np.repeat(np.arange(len(part)), n)
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        up, down = powers(len(data) + 1)
+        total = np.zeros(len(data) + 1, U)
+        np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+        first = at[run] + offset
+        h = mix((total[first + size] - total[first]) * down[first])
+        order = np.argsort(h, kind="stable")
+        h, text = h[order], part[run[order], 1]
+        group = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        many = np.minimum.reduceat(text, group) != np.maximum.reduceat(text, group)
+        shared = np.empty(len(run), bool)
+        shared[order] = np.repeat(many, np.diff(np.append(group, len(h))))
+        rows = np.flatnonzero(shared)
+        if len(rows):
+            new = np.concatenate(([True], (rows[1:] != rows[:-1] + 1) | (run[rows[1:]] != run[rows[:-1]])))
+            z = rows[np.append(np.flatnonzero(new)[1:], len(rows)) - 1]
+            i = rows[new]
+            h = part[run[i]].copy()
+            h[:, 3] += offset[i]
+            h[:, 4] = offset[z] - offset[i] + size
+            heads.append(h)
+            kept += [bodies[a + r][o : o + k] for r, o, k in zip(run[i].tolist(), offset[i].tolist(), h[:, 4].tolist())]
+        a = b
+    return (np.concatenate(heads) if heads else head[:0]), kept
+
+
 def _decided(head: np.ndarray, held: list[tuple[int, int]], strings: list[bytes], size: int) -> list[np.ndarray]:
     rows, of = np.array(held, np.int64).T
     least = np.full(len(strings), _LAST)
