@@ -116,8 +116,10 @@ def fit(docs: DataFrame) -> dict:
         else:
             df[slot] = count
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.05)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    cut = train.select("lang", "draw").withColumn("place", place).where(F.col("place") <= SAMPLE).groupBy("lang").agg(F.max("draw").alias("cut"))
+    few = train.select("lang", "draw", F.pmod(F.col("draw"), F.lit(64)).alias("salt"))
+    for keys in (("lang", "salt"), ("lang",)):  # a common language is first cut to its salts' smallest hashes
+        few = few.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("draw"))).where(F.col("place") <= SAMPLE)
+    cut = few.groupBy("lang").agg(F.max("draw").alias("cut"))
     cuts = {r[0]: r[1] for r in cut.collect()}  # a row for each language
     if not cuts:
         return {"idf": idf, "centres": np.zeros((0, SLOTS), np.float32), "of": [], "least": 0.0}

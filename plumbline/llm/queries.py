@@ -24,7 +24,7 @@ WITH RECURSIVE w AS (
   FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 4
-      THEN list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' '))
+      THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))
       WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
