@@ -4,12 +4,483 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline import config as C
+from plumbline.functions import series as S
+from plumbline.operators import evidence, indicators, joins, patterns, quality, structure, swings
+from plumbline.plans import sql
+from plumbline.sources.tables import bars, hourly_events, table, trades, weekly
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable:
+    """Register a query under its function's name, with its SQL."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            SQL[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def r6(*names: str) -> list[Column]:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.recursive(weekly(spark, sf_dir))
+
+
+def _swings(b: DataFrame) -> DataFrame:
+    return swings.primary(b)
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars(trades(spark, sf_dir), "day")
+
+
+W10, W20, B20 = "w10", "w20", "b20"
+
+
+@query(f"""WITH {sql.BARS}
+SELECT sid, i, week, o, h, l, c, v, n, CASE WHEN count(c) OVER w10 = 10 THEN round(avg(c) OVER w10, 6) END AS sma10,
+  CASE WHEN count(v) OVER w20 = 20 THEN round(v / avg(v) OVER w20, 6) END AS rvol,
+  CAST(sum(d * v) OVER (PARTITION BY sid ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS obv
+FROM (SELECT *, coalesce(sign(c - lag(c) OVER (PARTITION BY sid ORDER BY i)), 0) AS d FROM b)
+WINDOW w10 AS (PARTITION BY sid ORDER BY i ROWS 9 PRECEDING), w20 AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
+def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = weekly(spark, sf_dir).withColumn("dc", F.col("c") - F.lag("c").over(S.BY_BAR))
+    return b.select("sid", "i", "week", "o", "h", "l", "c", "v", "n", F.round(S.sma(F.col("c"), 10), 6).alias("sma10"), F.round(S.relative_volume(), 6).alias("rvol"), S.obv().alias("obv"))
+
+
+_SMAS = ", ".join(f"CASE WHEN count(c) OVER w{n} = {n} THEN round(avg(c) OVER w{n}, 6) END AS sma{n}" for n in C.SMA)
+_FRAMES = ", ".join(f"w{n} AS (PARTITION BY sid ORDER BY i ROWS {n - 1} PRECEDING)" for n in C.SMA)
+
+
+@query(f"""WITH {sql.BARS}, {sql.TR},
+a AS (
+  SELECT *, CASE WHEN count(c) OVER w14 = 14 THEN CASE WHEN max(h) OVER w14 = min(l) OVER w14 THEN 50.0 ELSE 100.0 * (c - min(l) OVER w14) / (max(h) OVER w14 - min(l) OVER w14) END END AS raw_k,
+    100 * (c::DOUBLE / nullif(lag(c, 12) OVER (PARTITION BY sid ORDER BY i), 0) - 1) AS roc,
+    CASE WHEN count(c) OVER w20 = 20 THEN sqrt((20 * sum(c * c) OVER w20 - sum(c) OVER w20 * sum(c) OVER w20)::DOUBLE) / 20 END AS sd,
+    CASE WHEN count(v) OVER w10 = 10 THEN avg(v) OVER w10 END AS v10, CASE WHEN count(v) OVER w20 = 20 THEN avg(v) OVER w20 END AS v20,
+    CASE WHEN count(v) OVER before = 20 THEN v / avg(v) OVER before END AS rvol,
+    {_SMAS}
+  FROM tr WINDOW {_FRAMES}, w14 AS (PARTITION BY sid ORDER BY i ROWS 13 PRECEDING), before AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, CASE WHEN count(raw_k) OVER w3 = 3 THEN avg(raw_k) OVER w3 END AS k FROM a WINDOW w3 AS (PARTITION BY sid ORDER BY i ROWS 2 PRECEDING))
+SELECT sid, i, {", ".join(f"sma{n}" for n in C.SMA)}, round(raw_k, 6) AS raw_k, round(k, 6) AS k, CASE WHEN count(k) OVER w3 = 3 THEN round(avg(k) OVER w3, 6) END AS d,
+  round(roc, 6) AS roc, tr, round(sma20 + 2 * sd, 6) AS upper, round(sma20 - 2 * sd, 6) AS lower, round(4 * sd / sma20, 6) AS bandwidth, round(v20, 6) AS volume_sma,
+  CASE WHEN v20 IS NULL OR v20 = 0 THEN NULL WHEN v10 >= v20 * 1.1 THEN 'RISING' WHEN v10 <= v20 * 0.9 THEN 'FALLING' ELSE 'FLAT' END AS volume_trend,
+  CASE WHEN rvol IS NULL THEN NULL WHEN rvol >= 1.5 THEN 'EXPANSION' WHEN rvol <= 0.67 THEN 'CONTRACTION' ELSE 'NORMAL' END AS volume_state
+FROM k WINDOW w3 AS (PARTITION BY sid ORDER BY i ROWS 2 PRECEDING)""")
+def window_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = indicators.windowed(weekly(spark, sf_dir))
+    return x.select("sid", "i", *r6(*(f"sma{n}" for n in C.SMA), "raw_k", "k", "d", "roc"), "tr", *r6("upper", "lower", "bandwidth", "volume_sma"), "volume_trend", "volume_state")
+
+
+def _ema_sql(n: int, x: str = "c") -> str:
+    return f"CASE WHEN t.i < {n - 1} THEN NULL WHEN t.i = {n - 1} THEN t.s{n} ELSE e.e{n} + (2.0 / {n + 1}) * (t.{x} - e.e{n}) END"
+
+
+_EMAS = sorted({*C.EMA, C.MACD_FAST, C.MACD_SLOW})
+
+
+@query(f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
+t AS MATERIALIZED (
+  SELECT *, greatest(c - pc, 0) AS up, greatest(pc - c, 0) AS down, {", ".join(f"avg(c) OVER (PARTITION BY sid ORDER BY i ROWS {n - 1} PRECEDING) AS s{n}" for n in _EMAS)},
+    avg(greatest(c - pc, 0)) OVER w14 AS up14, avg(greatest(pc - c, 0)) OVER w14 AS down14
+  FROM bb WINDOW w14 AS (PARTITION BY sid ORDER BY i ROWS 13 PRECEDING)),
+e AS (
+  SELECT sid, i, {", ".join(f"CAST(NULL AS DOUBLE) AS e{n}" for n in _EMAS)}, CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS f FROM t WHERE i = 0
+  UNION ALL
+  SELECT t.sid, t.i, {", ".join(_ema_sql(n) for n in _EMAS)},
+    CASE WHEN t.i < 14 THEN NULL WHEN t.i = 14 THEN t.up14 ELSE (e.g * 13 + t.up) / 14 END, CASE WHEN t.i < 14 THEN NULL WHEN t.i = 14 THEN t.down14 ELSE (e.f * 13 + t.down) / 14 END
+  FROM e JOIN t ON t.sid = e.sid AND t.i = e.i + 1),
+m AS MATERIALIZED (SELECT *, e12 - e26 AS macd, avg(e12 - e26) OVER (PARTITION BY sid ORDER BY i ROWS 8 PRECEDING) AS s9 FROM e),
+g AS (
+  SELECT sid, i, CAST(NULL AS DOUBLE) AS signal FROM m WHERE i = 0
+  UNION ALL
+  SELECT m.sid, m.i, CASE WHEN m.i < 33 THEN NULL WHEN m.i = 33 THEN m.s9 ELSE g.signal + 0.2 * (m.macd - g.signal) END FROM g JOIN m ON m.sid = g.sid AND m.i = g.i + 1)
+SELECT m.sid, m.i, {", ".join(f"round(m.e{n}, 4) AS ema{n}" for n in C.EMA)}, round(m.macd, 4) AS macd, round(g.signal, 4) AS macd_signal, round(m.macd - g.signal, 4) AS macd_histogram,
+  round(CASE WHEN m.g IS NULL THEN NULL WHEN m.f = 0 THEN CASE WHEN m.g = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + m.g / m.f) END, 4) AS rsi, round(t.atr, 4) AS atr, round(100 * t.atr / t.c, 4) AS atr_percent
+FROM m JOIN g ON g.sid = m.sid AND g.i = m.i JOIN t ON t.sid = m.sid AND t.i = m.i""")
+def recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bars(spark, sf_dir).select("sid", "i", *[F.round(k, 4).alias(k) for k in indicators.RECURSIVE])
+
+
+@query()
+def fractal_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swings.fractals(weekly(spark, sf_dir))
+
+
+def _fractal_sql() -> str:
+    parts = []
+    for name, k in C.FRACTAL.items():
+        for kind, x, op, agg in (("HIGH", "h", ">", "max"), ("LOW", "l", "<", "min")):
+            parts.append(f"""SELECT sid, '{name}' AS sensitivity, '{kind}' AS kind, i AS bar, i + {k} AS known, {x} AS price FROM (
+  SELECT sid, i, {x}, count(*) OVER p AS np, count(*) OVER f AS nf, {agg}({x}) OVER p AS xp, {agg}({x}) OVER f AS xf FROM b
+  WINDOW p AS (PARTITION BY sid ORDER BY i ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), f AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING))
+WHERE np = {k} AND nf = {k} AND {x} {op} xp AND {x} {op}= xf""")
+    return f"WITH {sql.BARS}\n" + "\nUNION ALL\n".join(parts)
+
+
+SQL["fractal_swings"] = _fractal_sql()
+
+
+@query(f"""WITH RECURSIVE {sql.BARS}, {sql.swings("(1.0), (2.0), (3.0), (5.0)")}
+SELECT sid, CASE m WHEN 1 THEN 'MICRO' WHEN 2 THEN 'MINOR' WHEN 3 THEN 'INTERMEDIATE' ELSE 'MAJOR' END AS sensitivity, kind, bar, known, price FROM z""")
+def reversal_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return swings.found(weekly(spark, sf_dir), "ATR", C.ATR_MULTIPLE).drop("method")
+
+
+@query()
+def percent_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = weekly(spark, sf_dir)
+    return swings.found(b, "PERCENT", C.PERCENT).unionByName(swings.found(b, "ZIGZAG", {"FINE": 0.2, **C.PERCENT}))
+
+
+@query(f"""WITH RECURSIVE {sql.SWINGS}
+SELECT sid, kind, bar, known, price, round(atr, 4) AS atr, label, price - lag(price) OVER w AS move, bar - lag(bar) OVER w AS bars,
+  round(abs(price - lag(price) OVER w) / CASE WHEN atr > 0 THEN atr END, 4) AS strength
+FROM lab WINDOW w AS (PARTITION BY sid ORDER BY known, bar, kind)""")
+def swing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _swings(_bars(spark, sf_dir))
+    return s.select("sid", "kind", "bar", "known", "price", F.round("atr", 4).alias("atr"), "label", "move", "bars", F.round("strength", 4).alias("strength"))
+
+
+@query()
+def structure_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    return structure.breaks(b, _swings(b))
+
+
+@query()
+def trend_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    return structure.trend_states(b, _swings(b))
+
+
+_FIB = [*(f"r{int(r * 1000)}" for r in C.RETRACEMENTS), *(f"e{int(e * 1000)}" for e in C.EXTENSIONS)]
+
+
+@query(f"""WITH RECURSIVE {sql.SWINGS},
+leg AS (
+  SELECT sid, kind, bar, price, atr, lag(price) OVER w AS anchor, lag(bar) OVER w AS anchor_bar, greatest(known, lag(known) OVER w) AS known FROM sw
+  WINDOW w AS (PARTITION BY sid ORDER BY bar, kind)),
+ok AS (SELECT * FROM leg WHERE anchor IS NOT NULL AND abs(price - anchor) >= 2.0 * atr),
+hit AS (
+  SELECT ok.sid, ok.bar, ok.anchor_bar, min(b.i) AS ended, arg_min(b.c, b.i) AS c FROM ok JOIN b ON b.sid = ok.sid AND b.i >= ok.known AND (b.c < least(anchor, price) OR b.c > greatest(anchor, price)) GROUP BY ALL)
+SELECT ok.sid, ok.anchor_bar, ok.bar, ok.known, CASE WHEN price > anchor THEN 'UP' ELSE 'DOWN' END AS direction,
+  CASE WHEN hit.ended IS NULL THEN 'ACTIVE' WHEN (price > anchor) = (hit.c < least(anchor, price)) THEN 'BROKEN' ELSE 'EXTENDED' END AS status, hit.ended,
+  {", ".join(f"round(price - {r} * (price - anchor), 4) AS r{int(r * 1000)}" for r in C.RETRACEMENTS)}, {", ".join(f"round(anchor + {e} * (price - anchor), 4) AS e{int(e * 1000)}" for e in C.EXTENSIONS)}
+FROM ok LEFT JOIN hit ON hit.sid = ok.sid AND hit.bar = ok.bar AND hit.anchor_bar = ok.anchor_bar""")
+def retracements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    x = structure.retracements(_swings(b), b)
+    return x.select("sid", "anchor_bar", "bar", "known", "direction", "status", "ended", *[F.round(c, 4).alias(c) for c in _FIB])
+
+
+@query(f"""WITH RECURSIVE {sql.SWINGS},
+side AS (
+  SELECT sw.sid, sw.kind, sw.bar, sw.price, sw.known, bb.i AS t, CASE WHEN bb.c < sw.price - 0.1 * coalesce(bb.atr, 0) THEN 'RESISTANCE' WHEN bb.c > sw.price + 0.1 * coalesce(bb.atr, 0) THEN 'SUPPORT' END AS side
+  FROM sw JOIN bb ON bb.sid = sw.sid AND bb.i > sw.known),
+chg AS (
+  SELECT *, lag(side) OVER (PARTITION BY sid, kind, bar ORDER BY t) AS p FROM side WHERE side IS NOT NULL)
+SELECT sid, 'SWING' AS source, bar, price, known, t, side AS role FROM chg
+WHERE side <> coalesce(p, CASE kind WHEN 'LOW' THEN 'SUPPORT' ELSE 'RESISTANCE' END)""")
+def swing_level_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    s = _swings(b)
+    levels = structure.level_sources(s, structure.breaks(b, s).limit(0))
+    return structure.role_changes(levels, b)
+
+
+@query()
+def level_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    s = _swings(b)
+    levels = structure.level_sources(s, structure.breaks(b, s))
+    return structure.current_roles(levels, structure.role_changes(levels, b))
+
+
+@query()
+def level_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    s = _swings(b)
+    return structure.zones(structure.level_sources(s, structure.breaks(b, s)), b)
+
+
+@query(f"""WITH RECURSIVE {sql.SWINGS},
+p AS (
+  SELECT x.sid, x.kind, x.bar AS a, y.bar AS b, x.price AS value, (y.price - x.price) / (y.bar - x.bar) AS slope, greatest(x.known, y.known) AS made, CASE x.kind WHEN 'LOW' THEN 1 ELSE -1 END AS up
+  FROM sw x JOIN sw y ON x.sid = y.sid AND x.kind = y.kind AND y.bar BETWEEN x.bar + 4 AND x.bar + 104 WHERE (y.price - x.price) * CASE x.kind WHEN 'LOW' THEN 1 ELSE -1 END > 0),
+n AS (
+  SELECT p.*, s.bar AS z, s.known AS zk, coalesce(s.atr, 0) AS za, (s.price - p.value - p.slope * (s.bar - p.a)) * p.up AS away FROM p JOIN sw s ON s.sid = p.sid AND s.kind = p.kind AND s.bar > p.a AND s.bar <> p.b)
+SELECT sid, kind, a, b, value, round(slope, 6) AS slope, min(CASE WHEN abs(away) <= 0.5 * za AND zk - b <= 104 THEN greatest(zk, made) END) AS known, sum((abs(away) <= 0.5 * za)::INT)::BIGINT AS touches
+FROM n GROUP BY sid, kind, a, b, value, n.slope, made
+HAVING max((z < b AND zk <= made AND away < -0.5 * za)::INT) = 0 AND min(CASE WHEN abs(away) <= 0.5 * za AND zk - b <= 104 THEN greatest(zk, made) END) IS NOT NULL""")
+def trendlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    return structure.trendline_pairs(_swings(b), b).withColumn("slope", F.round("slope", 6))
+
+
+@query(f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
+q AS (
+  SELECT *, 100 * atr / c AS ap, CASE WHEN count(c) OVER w20 = 20 THEN 4 * sqrt((20 * sum(c * c) OVER w20 - sum(c) OVER w20 * sum(c) OVER w20)::DOUBLE) / 20 / avg(c) OVER w20 END AS bw, lag(atr) OVER w AS pa
+  FROM bb WINDOW w AS (PARTITION BY sid ORDER BY i), w20 AS (PARTITION BY sid ORDER BY i ROWS 19 PRECEDING)),
+f AS (
+  SELECT *, coalesce(CASE WHEN count(ap) OVER w52 = 52 THEN ap <= quantile_cont(ap, 0.2) OVER w52 END, false) AS e1, coalesce(CASE WHEN count(bw) OVER w52 = 52 THEN bw <= quantile_cont(bw, 0.2) OVER w52 END, false) AS e2,
+    coalesce(count(*) OVER w6 = 6 AND h - l < min(h - l) OVER w6, false) AS e3
+  FROM q WINDOW w52 AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING), w6 AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, coalesce(tr >= 1.5 * pa AND max((e1 OR e2 OR e3)::INT) OVER (PARTITION BY sid ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) = 1, false) AS e4 FROM f),
+s AS (SELECT sid, i, {", ".join(f"e{k} AND NOT coalesce(lag(e{k}) OVER (PARTITION BY sid ORDER BY i), false) AS s{k}" for k in (1, 2, 3, 4))} FROM g)
+{" UNION ALL ".join(f"SELECT sid, i, '{name}' AS event FROM s WHERE s{k}" for k, name in enumerate(("ATR_COMPRESSION", "BANDWIDTH_COMPRESSION", "NARROW_RANGE", "EXPANSION"), 1))}""")
+def volatility_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.volatility(indicators.all_indicators(weekly(spark, sf_dir)))
+
+
+_CANDLES = {
+    "DOJI": ("rng > 0 AND body <= 0.1 * rng", 1),
+    "HAMMER": ("rng > 0 AND body > 0 AND lo >= 2 * body AND up <= 0.25 * body AND p1 = 'DOWN'", 1),
+    "HANGING_MAN": ("rng > 0 AND body > 0 AND lo >= 2 * body AND up <= 0.25 * body AND p1 = 'UP'", 1),
+    "INVERTED_HAMMER": ("rng > 0 AND body > 0 AND up >= 2 * body AND lo <= 0.25 * body AND p1 = 'DOWN'", 1),
+    "SHOOTING_STAR": ("rng > 0 AND body > 0 AND up >= 2 * body AND lo <= 0.25 * body AND p1 = 'UP'", 1),
+    "BULLISH_ENGULFING": ("c > o AND c1 < o1 AND o <= c1 AND c >= o1 AND body > b1 AND p2 = 'DOWN'", 2),
+    "BEARISH_ENGULFING": ("c < o AND c1 > o1 AND o >= c1 AND c <= o1 AND body > b1 AND p2 = 'UP'", 2),
+    "MORNING_STAR": ("r2 > 0 AND b2 >= 0.6 * r2 AND c2 < o2 AND r1 > 0 AND b1 <= 0.3 * r1 AND c > o AND c > (o2 + c2) / 2.0 AND p3 = 'DOWN'", 3),
+    "EVENING_STAR": ("r2 > 0 AND b2 >= 0.6 * r2 AND c2 > o2 AND r1 > 0 AND b1 <= 0.3 * r1 AND c < o AND c < (o2 + c2) / 2.0 AND p3 = 'UP'", 3),
+    "INSIDE_BAR": ("h < h1 AND l > l1", 1),
+    "OUTSIDE_BAR": ("h > h1 AND l < l1", 1),
+}
+
+
+@query(f"""WITH {sql.BARS},
+a AS (
+  SELECT *, abs(c - o) AS body, h - l AS rng, h - greatest(o, c) AS up, least(o, c) - l AS lo, {", ".join(f"lag({x}, {k}) OVER w AS {x}{k}" for x in "ohlc" for k in (1, 2))},
+    {", ".join(f"CASE WHEN lag(c, {k}) OVER w > lag(c, {k + 5}) OVER w THEN 'UP' WHEN lag(c, {k}) OVER w < lag(c, {k + 5}) OVER w THEN 'DOWN' END AS p{k}" for k in (1, 2, 3))}
+  FROM b WINDOW w AS (PARTITION BY sid ORDER BY i)),
+d AS (SELECT *, abs(c1 - o1) AS b1, abs(c2 - o2) AS b2, h1 - l1 AS r1, h2 - l2 AS r2 FROM a)
+{" UNION ALL ".join(f"SELECT sid, i, '{k}' AS candle, p{n} AS direction FROM d WHERE {rule}" for k, (rule, n) in _CANDLES.items())}""")
+def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.candles(weekly(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
+a AS (SELECT *, sign(c - pc) AS d, CASE WHEN count(v) OVER p = 20 THEN v / avg(v) OVER p END AS rvol, CASE WHEN count(v) OVER w20 = 20 THEN avg(v) OVER w20 END AS vs, lag(atr) OVER w AS pa
+  FROM bb WINDOW w AS (PARTITION BY sid ORDER BY i), w20 AS (PARTITION BY sid ORDER BY i ROWS 19 PRECEDING), p AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+o AS (SELECT *, sum(coalesce(d, 0) * v) OVER (PARTITION BY sid ORDER BY i ROWS UNBOUNDED PRECEDING) AS obv FROM a),
+t AS (SELECT *, obv - lag(obv, 10) OVER (PARTITION BY sid ORDER BY i) AS chg FROM o),
+s AS (SELECT *, CASE WHEN chg IS NULL OR vs IS NULL THEN NULL WHEN chg >= 0.1 * 10 * vs THEN 'RISING' WHEN chg <= -0.1 * 10 * vs THEN 'FALLING' ELSE 'FLAT' END AS trend FROM t),
+u AS (SELECT *, lag(trend) OVER (PARTITION BY sid ORDER BY i) AS before FROM s)
+SELECT sid, i, CASE WHEN c > pc THEN 'BUYING' ELSE 'SELLING' END || '_CLIMAX' AS event FROM u WHERE rvol >= 2.5 AND tr >= 2.0 * pa
+UNION ALL SELECT sid, i, 'OBV_' || trend FROM u WHERE trend IS NOT NULL AND trend IS DISTINCT FROM before""")
+def volume_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.volume_events(indicators.all_indicators(weekly(spark, sf_dir)))
+
+
+@query()
+def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    return evidence.divergences(_swings(b), b)
+
+
+def _judged(family: str, n: int, level: str, rules: list[tuple[str, str]]) -> str:
+    failed = " ".join(f"WHEN NOT coalesce({ok}, false) THEN '{name}'" for name, ok in rules)
+    return f"SELECT sid, '{family}' AS family, CASE WHEN s > 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, b0 AS first_bar, bar AS last_bar, seen AS known, round({level}, 4) AS level, CASE {failed} END AS failed FROM {sql.legs(n)}"
+
+
+_NECK = "CASE WHEN s > 0 THEN greatest(p1, p3) ELSE least(p1, p3) END"
+_SLOPE = "((p3 - p1) / (b3 - b1))"
+_PATTERNS = [
+    _judged("double", 3, "p1", [("EQUAL", "abs(p2 - p0) <= 0.5 * atr"), ("SPAN", "b2 - b0 BETWEEN 4 AND 60"), ("HEIGHT", "(p1 - (p0 + p2) / 2) * s >= 2.0 * atr")]),
+    _judged("triple", 5, _NECK, [("EQUAL", "greatest(p0, p2, p4) - least(p0, p2, p4) <= 0.5 * atr"), ("SPAN", "b4 - b0 BETWEEN 8 AND 90"), ("HEIGHT", f"({_NECK} - (p0 + p2 + p4) / 3) * s >= 2.0 * atr")]),
+    _judged("head_shoulders", 5, "p3", [("PROMINENCE", "least((p0 - p2) * s, (p4 - p2) * s) >= 1.0 * atr"), ("SHOULDERS", "abs(p4 - p0) <= 1.5 * atr"), ("NECKLINE", f"abs({_SLOPE}) <= 0.25 * atr"), ("BALANCE", "(b4 - b2) / (b2 - b0) BETWEEN 0.4 AND 2.5"), ("SPAN", "b4 - b0 <= 104"), ("HEIGHT", f"(p1 + {_SLOPE} * (b2 - b1) - p2) * s >= 2.0 * atr")]),
+    _judged("v", 2, "p1 + 0.618 * (p0 - p1)", [("MOVE", "(p0 - p1) * s >= 4.0 * atr"), ("BARS", "b1 - b0 <= 8")]),
+]
+_RECTANGLE = f"""SELECT sid, 'rectangle' AS family, CASE WHEN s > 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, b0 AS first_bar, bar AS last_bar, seen AS known, round(CASE WHEN s > 0 THEN top ELSE floor END, 4) AS level,
+  CASE WHEN greatest(abs(p2 - p0), abs(p3 - p1)) > 0.75 * atr THEN 'BAND' WHEN abs((p0 + p2) / 2 - (p1 + p3) / 2) < 2.0 * atr THEN 'HEIGHT' WHEN b3 - b0 NOT BETWEEN 8 AND 104 THEN 'SPAN'
+    WHEN EXISTS (SELECT 1 FROM b WHERE b.sid = y.sid AND b.i BETWEEN y.b0 AND y.seen AND (b.c > y.top OR b.c < y.floor)) THEN 'OUTSIDE' END AS failed
+FROM (SELECT *, CASE WHEN s > 0 THEN greatest(p0, p2) ELSE greatest(p1, p3) END AS top, CASE WHEN s > 0 THEN least(p1, p3) ELSE least(p0, p2) END AS floor FROM {sql.legs(4)}) y"""
+_FOUND = f"WITH RECURSIVE {sql.SWINGS}, found AS MATERIALIZED ({' UNION ALL '.join([*_PATTERNS, _RECTANGLE])})"
+
+
+@query(f"{_FOUND} SELECT * FROM found")
+def pattern_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    return patterns.candidates(_swings(b), b).withColumn("level", F.round("level", 4))
+
+
+@query(f"{_FOUND} SELECT family, coalesce(failed, 'VALID') AS failed, count(*) AS n FROM found GROUP BY 1, 2")
+def pattern_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    return patterns.tally(patterns.candidates(_swings(b), b))
+
+
+@query()
+def pattern_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    return patterns.breakouts(patterns.candidates(_swings(b), b), b)
+
+
+@query(f"""WITH {sql.DAILY}, g AS (SELECT *, lag(c) OVER (PARTITION BY sid ORDER BY day) AS before FROM dd),
+r AS (SELECT sid, ln(o / before::DOUBLE) AS g, row_number() OVER (PARTITION BY sid ORDER BY day DESC) AS r FROM g WHERE before > 0),
+m AS (SELECT sid, g, quantile_cont(g, 0.5) OVER (PARTITION BY sid) AS m FROM r WHERE r <= 250)
+SELECT sid, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(1.4826 * quantile_cont(abs(g - m), 0.5), 10) END AS sigma FROM m GROUP BY sid""")
+def robust_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.robust_sigma(quality.gaps(_daily(spark, sf_dir))).withColumn("sigma", F.round("sigma", 10))
+
+
+@query(f"""WITH {sql.DAILY}, s AS (SELECT day, row_number() OVER (ORDER BY day) AS session FROM (SELECT DISTINCT day FROM dd)),
+y AS (SELECT sid, lag(day) OVER w AS before, day, session - lag(session) OVER w - 1 AS missed FROM dd JOIN s USING (day) WINDOW w AS (PARTITION BY sid ORDER BY day))
+SELECT sid, before, day, missed FROM y WHERE missed > 3""")
+def trading_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.trading_gaps(_daily(spark, sf_dir), 3)
+
+
+@query(f"""WITH {sql.DAILY}, g AS (SELECT *, o / lag(c) OVER (PARTITION BY sid ORDER BY day)::DOUBLE - 1 AS gap, row_number() OVER (PARTITION BY sid ORDER BY day) AS k FROM dd),
+f AS (SELECT *, CASE WHEN k = 1 THEN 'FIRST_SESSION' WHEN abs(gap) > 0.0008 THEN CASE WHEN gap > 0 THEN 'GAP_UP' ELSE 'GAP_DOWN' END END AS cause FROM g),
+p AS (SELECT *, count(cause) OVER (PARTITION BY sid ORDER BY day ROWS UNBOUNDED PRECEDING) AS part FROM f)
+SELECT sid, min(day) AS start, max(day) AS "end", count(*) AS sessions, max(cause) AS cause FROM p GROUP BY sid, part""")
+def continuity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _daily(spark, sf_dir)
+    found = quality.gaps(d).where(F.abs("gap") > 0.0008).select("sid", "day", F.when(F.col("gap") > 0, "GAP_UP").otherwise("GAP_DOWN").alias("code"))
+    return quality.segments(d, found)
+
+
+@query(f"""WITH {sql.DAILY}, p AS (SELECT sid, min(day) AS lo, max(day) AS hi, count(DISTINCT day) AS traded FROM dd GROUP BY sid), s AS (SELECT DISTINCT day FROM dd)
+SELECT sid, count(*) AS expected, traded - 0 AS traded, round((count(*) - traded) / count(*)::DOUBLE, 9) AS ratio, CASE WHEN (count(*) - traded) / count(*)::DOUBLE > 0.02 THEN 'WARN' ELSE 'PASS' END AS status
+FROM p JOIN s ON s.day BETWEEN lo AND hi GROUP BY sid, traded""")
+def missing_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.missing_sessions(_daily(spark, sf_dir)).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("""WITH t AS (
+  SELECT l_orderkey, l_linenumber, l_suppkey, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) % 1000 AS BIGINT) - 20 AS o, CAST(round(l_extendedprice * 100) AS BIGINT) % 977 AS h, CAST(round(l_extendedprice * 100) AS BIGINT) % 500 - 5 AS l, CAST(round(l_extendedprice * 100) AS BIGINT) % 700 AS c, CAST(l_quantity AS BIGINT) - 2 AS v
+  FROM lineitem),
+p AS (SELECT *, CASE WHEN least(o, h, l, c) <= 0 THEN 'NON_POSITIVE_PRICE' WHEN v < 0 THEN 'NEGATIVE_VOLUME' WHEN h < l OR h < greatest(o, c) OR l > least(o, c) THEN 'INVALID_OHLC' END AS reason FROM t)
+SELECT coalesce(reason, 'ACCEPTED') AS reason, count(*) AS n, count(DISTINCT l_suppkey) AS shares FROM p GROUP BY 1""")
+def row_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.round(F.col("l_extendedprice") * 100).cast("long")
+    text = {"o": k % 1000 - 20, "h": k % 977, "l": k % 500 - 5, "c": k % 700}
+    t = table(spark, sf_dir, "lineitem").select("l_suppkey", *[quality.price(v.cast("string")).alias(n) for n, v in text.items()], (F.col("l_quantity").cast("long") - 2).alias("v"))
+    return t.groupBy(F.coalesce(quality.problem(*"ohlcv"), F.lit("ACCEPTED")).alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("l_suppkey").alias("shares"))
+
+
+@query("""WITH p AS (SELECT p_partkey, 'IN' || chr((65 + p_partkey % 26)::INT) || lpad(((p_partkey * 7919) % 100000000)::VARCHAR, 8, '0') AS code FROM part),
+d AS (SELECT p_partkey, code, array_to_string(list_transform(string_split(code, ''), lambda x: CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE (ascii(x) - 55)::VARCHAR END), '') AS digits FROM p),
+s AS (SELECT p_partkey, code, list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN (substr(digits, length(digits) - i + 1, 1)::INT * 2) // 10 + (substr(digits, length(digits) - i + 1, 1)::INT * 2) % 10 ELSE substr(digits, length(digits) - i + 1, 1)::INT END)) AS total FROM d)
+SELECT p_partkey, code, ((10 - total % 10) % 10)::INT AS digit FROM s""")
+def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.concat(F.lit("IN"), F.char(65 + F.col("p_partkey") % 26), F.lpad(((F.col("p_partkey") * 7919) % 100000000).cast("string"), 8, "0"))
+    p = table(spark, sf_dir, "part").select("p_partkey", code.alias("code"))
+    return p.select("p_partkey", "code", quality.check_digit(F.col("code")).cast("int").alias("digit"))
+
+
+@query(f"""WITH {sql.DAILY}, f AS (SELECT sid, day, (1 + sid % 3) AS num, (2 + sid % 5) AS den FROM dd QUALIFY row_number() OVER (PARTITION BY sid ORDER BY day) % 50 = 0),
+xx AS (
+  SELECT d.sid, d.day, d.c, f.num, f.den, count(f.day) AS k FROM dd d LEFT JOIN f ON f.sid = d.sid AND f.day > d.day WHERE d.day >= DATE '2000-01-01' GROUP BY ALL),
+y AS (SELECT sid, day, c, max(k) AS k, max(num) AS num, max(den) AS den FROM xx GROUP BY sid, day, c),
+z AS (SELECT sid, day, c, k, CASE WHEN k = 0 THEN 1::HUGEINT ELSE (num::HUGEINT ** k)::HUGEINT END AS n, CASE WHEN k = 0 THEN 1::HUGEINT ELSE (den::HUGEINT ** k)::HUGEINT END AS d FROM y),
+q AS (SELECT *, (c::HUGEINT * 10000 * n) // d AS w, (c::HUGEINT * 10000 * n) % d AS r FROM z)
+SELECT sid, day, k AS events, CAST((w + CASE WHEN 2 * r > d OR (2 * r = d AND w % 2 = 1) THEN 1 ELSE 0 END) AS DECIMAL(38, 0)) AS micros FROM q""")
+def adjusted_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closes in hundredths, adjusted by the exact product of later factors, as whole millionths."""
+    d = _daily(spark, sf_dir)
+    w = Window.partitionBy("sid").orderBy("day")
+    event = (F.row_number().over(w) % 50 == 0).cast("long")
+    later = F.coalesce(F.sum("event").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    x = d.withColumn("event", event).withColumn("events", later).where(F.col("day") >= "2000-01-01")
+    num, den = (F.pow(1 + F.col("sid") % 3, "events").cast("decimal(38,0)"), F.pow(2 + F.col("sid") % 5, "events").cast("decimal(38,0)"))
+    price = (F.col("c").cast("decimal(18,0)") / 100).cast("decimal(18,4)")
+    return x.select("sid", "day", "events", (quality.adjusted(price, num.cast("string"), den.cast("string")) * 1000000).cast("decimal(38,0)").alias("micros"))
+
+
+@query("""SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, e.event_id, e.ts AS matched_at, e.value
+FROM (SELECT *, o_orderdate + INTERVAL 8766 DAY AS at FROM orders) o ASOF LEFT JOIN (SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value, ts FROM events GROUP BY user_id, ts) e ON e.user_id = o.o_custkey AND e.ts <= o.o_orderdate + INTERVAL 9000 DAY""".replace("(SELECT *, o_orderdate + INTERVAL 8766 DAY AS at FROM orders)", "orders"))
+def as_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.expr("o_orderdate + INTERVAL 9000 DAYS").alias("at"))
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("o_custkey"), F.col("ts").alias("at")).agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
+    return joins.as_of(o, e, "o_custkey", "at", ["event_id", "value"]).drop("at")
+
+
+@query(f"""WITH {sql.DAILY}, e AS (SELECT DISTINCT l_suppkey AS sid, CAST(o_orderdate AS DATE) AS day FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT e.sid, e.day, d.day AS matched_at, d.o FROM e ASOF LEFT JOIN dd d ON d.sid = e.sid AND d.day >= e.day""")
+def next_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_suppkey").alias("sid"), F.to_date("o_orderdate").alias("day")).distinct()
+    return joins.as_of(e, _daily(spark, sf_dir).select("sid", "day", "o"), "sid", "day", ["o"], forward=True)
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS key, o_orderpriority AS value, CAST(o_orderdate AS DATE) AS day FROM orders),
+n AS (SELECT *, CASE WHEN day - lag(day) OVER w <= 180 THEN 0 ELSE 1 END AS new FROM s WINDOW w AS (PARTITION BY key, value ORDER BY day)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY key, value ORDER BY day ROWS UNBOUNDED PRECEDING) AS island FROM n)
+SELECT key, value, min(day) AS since, max(day) AS until, count(*) AS n FROM i GROUP BY key, value, island""")
+def identifier_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("value"), F.to_date("o_orderdate").alias("day"))
+    return quality.spans(seen, 180)
+
+
+@query("""WITH s AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS since, max(CAST(o_orderdate AS DATE)) AS until FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o.o_orderkey, o.o_custkey, CAST(o.o_orderdate AS DATE) AS day, s.since, s.until FROM orders o JOIN s ON s.o_custkey = o.o_custkey AND CAST(o.o_orderdate AS DATE) BETWEEN s.since - 30 AND s.until + 30""")
+def holders_with_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_orderstatus")
+    s = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min("day").alias("since"), F.max("day").alias("until"))
+    return joins.within(o.drop("o_orderstatus"), s, "o_custkey", "day", "since", "until", 30)
+
+
+@query("""WITH a AS (SELECT * FROM part WHERE p_partkey % 10 <> 0), b AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 11 <> 0)
+SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN a.p_partkey IS NULL THEN 'ADDED' WHEN b.p_partkey IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change, CASE WHEN a.p_partkey IS NOT NULL AND b.p_partkey IS NOT NULL THEN 'p_size' ELSE '' END AS fields
+FROM a FULL JOIN b ON a.p_partkey = b.p_partkey WHERE a.p_partkey IS NULL OR b.p_partkey IS NULL OR a.p_size IS DISTINCT FROM b.p_size""")
+def reissued_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    new = p.where("p_partkey % 11 <> 0").withColumn("p_size", F.when(F.col("p_partkey") % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")))
+    return joins.changes(p.where("p_partkey % 10 <> 0"), new, ["p_partkey"], ["p_brand", "p_size"])
+
+
+@query("""SELECT c_custkey, c_name, CASE WHEN upper(c_name) = 'CUSTOMER#000000011' THEN 0 WHEN upper(c_name) LIKE 'CUSTOMER#00000001%' THEN 2 ELSE 4 END AS score FROM customer
+WHERE upper(c_name) LIKE '%00000001%' ORDER BY score, c_acctbal DESC, c_custkey LIMIT 20""".replace("= 'CUSTOMER#000000011'", "= '00000001'").replace("LIKE 'CUSTOMER#00000001%'", "LIKE '00000001%'"))
+def search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    x = c.withColumn("score", joins.search_score("00000001", F.col("c_name"), F.col("c_name"))).where("score is not null")
+    return x.orderBy("score", F.col("c_acctbal").desc(), "c_custkey").limit(20).select("c_custkey", "c_name", "score")
+
+
+@query("SELECT c_custkey, sha256('v1|' || c_custkey) AS digest FROM customer ORDER BY digest LIMIT 32")
+def deterministic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.concat(F.lit("v1|"), F.col("c_custkey").cast("string")), 256).alias("digest"))
+    return c.orderBy("digest").limit(32)
+
+
+@query("""SELECT event_type, event_id, ts, place FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS place FROM events) WHERE place BETWEEN 51 AND 100""")
+def event_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.page(table(spark, sf_dir, "events"), [F.col("ts"), F.col("event_id")], 1, 50, "event_type").select("event_type", "event_id", "ts", "place")
+
+
+@query("""SELECT event_type, date_trunc('hour', ts) AS hour, arg_min(value, (ts, event_id)) AS o, max(value) AS h, min(value) AS l, arg_max(value, (ts, event_id)) AS c, count(*) AS n FROM events GROUP BY 1, 2""")
+def hourly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hourly_events(spark, sf_dir)
+
+
+@query("""SELECT c_custkey AS id FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) INTERSECT SELECT o_custkey FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
+def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").where("n_regionkey = 1")
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("c_custkey").alias("id"))
+    o = table(spark, sf_dir, "orders")
+    return c.intersect(o.select("o_custkey")).subtract(o.where("o_orderstatus = 'P'").select("o_custkey"))
+
+
+@query("""SELECT l_suppkey AS sid, year(l_shipdate)::INT AS y, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1, 2""")
+def price_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sid"), F.year("l_shipdate").alias("y")).agg(F.count("*").alias("n"), F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
