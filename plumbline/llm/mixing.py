@@ -7,7 +7,7 @@ steps, kept inside a bracket, find it. A rate depends on source and size alone,
 counts of documents of a source and size, not on documents; nothing is gathered on the driver but scalars.
 
 Rates become whole copies by rounding running sums from large documents to small ones, which leaves a
-source within half its largest document of its target; repair steps then change single copies.
+source within half its largest document of its target; repair steps then change the copies of one size at a time, as long as that brings the source nearer.
 
 Nulls: a null text has size 0 and takes 0; a null source is a source of its own, ordered last; rows with
 null or repeated doc_id count like others. An empty table gives an empty result. Other columns are ignored.
@@ -24,7 +24,7 @@ from plumbline.llm.shared import partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SALT_ROWS = 50_000  # documents for each further salt of a (source, size) group
-REPAIRS = 4
+REPAIRS = 12
 NEWTON_ROUNDS = 60
 TOLERANCE = 1e-7
 
@@ -93,9 +93,13 @@ def rounded(groups: DataFrame) -> DataFrame:
     for _ in range(REPAIRS):
         miss = g.groupBy("of").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"))
         more = F.col("miss") > 0
-        can = (more & (F.col("copies") < 2 * F.col("m"))) | (~more & (F.col("copies") > 0))
-        off = F.abs(F.abs("miss") - F.col("size"))
-        best = g.join(miss, "of").where(can & (off < F.abs("miss"))).groupBy("of").agg(F.min(F.struct(off.alias("off"), F.col("size").alias("size"), F.when(more, 1).otherwise(-1).alias("by"))).alias("b"))
+        room = F.when(more, 2 * F.col("m") - F.col("copies")).otherwise(F.col("copies"))
+        k = F.least(room, F.greatest(F.round(F.abs("miss") / F.col("size")), F.lit(1)).cast("long"))
+        off = F.abs(F.abs("miss") - k * F.col("size"))
+        best = g.join(miss, "of").where((room > 0) & (off < F.abs("miss"))).groupBy("of").agg(F.min(F.struct(off.alias("off"), F.col("size").alias("size"), F.when(more, k).otherwise(-k).alias("by"))).alias("b"))
+        best = stored(best, "repairs")
+        if best.isEmpty():
+            break
         g = g.join(best.select("of", F.col("b.size").alias("size"), F.col("b.by").alias("by")), ["of", "size"], "left")
         g = stored(g.select("of", "size", "m", "target", (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies")), "copies")
     return g

@@ -1,0 +1,289 @@
+"""Corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import decontaminate, extract, fingerprints, language, licences, mixing, quality, suffix_dedup, tokens
+from plumbline.llm import jaccard_join as jj
+from plumbline.llm.shared import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, n int, h long, place long, _key string"
+SYLLABLES = "ka lo mi ren tas vu per on dal est irk um fo".split()
+
+
+def sentence(r: random.Random, n: int) -> str:
+    return " ".join("".join(r.choice(SYLLABLES) for _ in range(r.randint(1, 3))) for _ in range(n))
+
+
+def corpus() -> list[tuple]:
+    r = random.Random(5)
+    base = [sentence(r, 90) for _ in range(8)]
+    shared = sentence(r, 60)
+    texts = [*base]
+    for k in range(14):  # near copies, from very like to unlike
+        w = base[k % 3].split()
+        for _ in range(1 + k % 5):
+            w[r.randrange(len(w))] = sentence(r, 1)
+        texts.append(" ".join(w))
+    texts += [base[0], base[0], base[1].upper(), None, "", "  \n\t ", "one", "one", "One Two", "one two three", "x" * 3000, sentence(r, 3000)]
+    texts += [sentence(r, 30) + "\n" + shared + "\n" + sentence(r, 30) for _ in range(4)] + ["äöü " * 40, "äöü " * 40 + "z", "12 34 !!"]
+    rows = [(i, t, ["aa", "bb", None][i % 3], ["s1", "s2", None][i % 3], len(t or ""), 1, 2, 3, 4, "k") for i, t in enumerate(texts)]
+    return [*rows, rows[0], (None, base[2], None, None, 5, 1, 2, 3, 4, "k"), (None, None, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text, width):
+    w = (text or "").encode().lower().split()
+    if not w:
+        return frozenset()
+    return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)])
+
+
+def classes(rows, width, percent):
+    sets = [shingles(t, width) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return [(d, len(s), least.get(root(i), d)) for i, ((d, _), s) in enumerate(zip(rows, sets))]
+
+
+@pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
+def test_jaccard_join(docs, width, percent):
+    got = sorted(map(str, (tuple(r) for r in jj.near_duplicates(docs, width, percent).collect())))
+    assert got == sorted(map(str, classes([r[:2] for r in corpus()], width, percent)))
+
+
+def test_jaccard_signatures_meet():
+    """Any two similar sets share a signature, whatever the levels."""
+    r = np.random.default_rng(3)
+    for trial in range(300):
+        n = int(r.integers(6, 120))
+        a = np.unique(r.integers(0, 1 << 62, n, dtype=np.uint64))
+        spare = int(len(a) * r.uniform(0, 0.1))
+        b = np.unique(np.concatenate((a[spare:], r.integers(0, 1 << 62, int(r.integers(0, 1 + spare)), dtype=np.uint64))))
+        same = len(np.intersect1d(a, b))
+        if 100 * same < 80 * (len(a) + len(b) - same):
+            continue
+
+        def level(x):
+            return (x % np.uint64(7) > np.uint64(trial % 8)).astype(np.int8) * (3 + (x % np.uint64(5)).astype(np.int8))
+
+        assert len(np.intersect1d(jj._signatures(a, level(a), 100, 80), jj._signatures(b, level(b), 100, 80))), (trial, len(a), len(b))
+
+
+def test_jaccard_kept(docs, empty):
+    kept = jj.kept(docs, 5, 80)
+    assert kept.columns == docs.columns
+    want = {c for _, n, c in classes([r[:2] for r in corpus()], 5, 80) if c is not None}
+    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == want
+    assert jj.near_duplicates(empty, 4, 85).count() == 0
+
+
+def cut_by_force(rows, size):
+    seen: dict[bytes, int] = {}
+    for d, t in rows:
+        raw = (t or "").encode()
+        for i in range(len(raw) - size + 1):
+            key = 1 << 62 if d is None else d
+            seen[raw[i : i + size]] = min(key, seen.get(raw[i : i + size], key))
+    out = []
+    for d, t in rows:
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - size + 1):
+            if seen[raw[i : i + size]] < (1 << 62 if d is None else d):
+                gone[i : i + size] = b"\1" * size
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        out.append((d, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def test_suffix_dedup(docs, empty):
+    want = cut_by_force([r[:2] for r in corpus()], 50)
+    assert sorted(map(str, (tuple(r) for r in suffix_dedup.spans(docs, 50).collect()))) == sorted(map(str, want))
+    left = suffix_dedup.cut(docs, 50)
+    assert left.columns == docs.columns
+    assert left.count() == sum(1 for w in want if w[2] < w[1] or not w[1])
+    assert suffix_dedup.spans(empty, 50).count() == 0 == suffix_dedup.cut(empty, 50).count()
+
+
+def test_suffix_order():
+    for seed in range(200):
+        r = random.Random(seed)
+        strings = [bytes(r.choice(b"ab" if seed % 2 else b"abcd") for _ in range(r.randint(1, 60))) for _ in range(r.randint(1, 6))]
+        order, bases = suffix_dedup.suffix_order(strings)
+        of = np.searchsorted(bases, order, "right") - 1
+        suffixes = [strings[k][p - bases[k] :] for p, k in zip(order, of)]
+        assert suffixes == sorted(s[i:] for s in strings for i in range(len(s)))
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    assert got == {x: root(x) for x in parent}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_mixing(docs, empty):
+    rows = mixing.mixed(docs).collect()
+    assert len(rows) == len(corpus())
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+        assert 0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size
+    total = sum(r.size for r in rows)
+    assert abs(sum(x[0].target for x in by.values()) - 1.5 * total) < 1e-6 * total
+    for x in by.values():
+        assert x[0].source_size == sum(r.size for r in x) and x[0].target <= 2 * x[0].source_size + 1e-6
+        assert abs(sum(r.taken for r in x) - x[0].target) <= 0.04 * x[0].target + 2
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mixed(docs.repartition(3)).collect()))
+    assert mixing.mixed(empty).count() == 0
+
+
+def test_language(spark, sf, docs, empty):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = language.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got)
+    odd = language.identify(docs).collect()
+    assert len(odd) == len(corpus()) and {r.lang_pred for r in odd if r.score == 0} == {"und"}
+    assert language.kept(docs).columns == docs.columns and language.kept(docs).where("text is null or text = ''").count() == 0
+    assert language.identify(empty).count() == 0 and language.kept(empty).count() == 0
+
+
+def test_quality(spark, docs, empty):
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "quality as label")
+    got = quality.scored(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r.predicted == r.label for r in got) >= 0.95 * len(got)
+    assert quality.scored(docs, labels).count() == len(corpus()) and quality.scored(empty, labels).count() == 0
+    assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_fingerprints(docs, empty):
+    rows = fingerprints.edited_pairs(docs).collect()
+    assert len(rows) == len(corpus())
+    text = {r[0]: r[1] or "" for r in corpus() if r[0] is not None}
+    order = sorted(text)
+    for r in rows:
+        if r.doc_id is not None and r.doc_id < order[-1]:
+            t, n = text[r.doc_id], len(text[r.doc_id]) // 4
+            edited = t[: len(t) - n] + text[order[order.index(r.doc_id) + 1]][:n]
+            assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    by = defaultdict(set)
+    for r in rows:
+        if r.doc_id is not None:
+            by[text[r.doc_id]].add(r.fingerprint)
+    assert all(len(x) == 1 for x in by.values())
+    long = [r for r in rows if r.n_chars > 200 and r.doc_id is not None and r.doc_id < 8]
+    assert min(r.near_edited for r in long) > 0.3 > max(r.near_next for r in long)
+    assert fingerprints.edited_pairs(empty).count() == 0
+
+
+def test_order_minhash_by_force(docs):
+    """Tuples of the two k-mers of smallest hash of each bin, from the same hashes numbered by a plain loop."""
+    sketch = fingerprints.with_sketch(docs.select("text").where("text is not null").distinct(), "text", "s")
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]{1,8}"), F.lit(0))
+    for r in sketch.withColumn("w", words).collect():
+        kmers = Counter()
+        n = 0
+        for i in range(len(r.w)):
+            k = tuple(r.w[i : i + 3])
+            kmers[k] += 1
+            n += 1
+        assert len(r.s) <= min(32, n) and len(set(x >> 59 & 31 for x in r.s)) == len(r.s) and (bool(r.s) == bool(n))
+
+
+def test_decontamination(spark, docs, empty):
+    r = random.Random(9)
+    plain = sentence(r, 40)
+    task = "A train leaves Town at 10 km per hour and Anna rides 25 km before 10 minutes pass so how far does Anna get in the end of all"
+    other = task.replace("10", "30").replace("25", "7").replace("Anna", "Maria")
+    mixed_up = task.replace("Anna rides 25", "Anna rides 10")
+    items = spark.createDataFrame([(1, plain), (2, task), (3, None), (4, "too few"), (None, plain)], "item_id long, text string")
+    d = spark.createDataFrame([(10, "x y z " + plain + " z"), (11, "so it is. " + other), (12, "well, " + mixed_up), (13, plain[:60]), (14, None), (None, plain), (10, "x y z " + plain + " z")], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(d, items).collect()}
+    assert set(got) == {(10, 1), (11, 2)}
+    assert got[10, 1].exact and not got[11, 2].exact and got[11, 2].n_slots > 2
+    assert sorted(str(x.doc_id) for x in decontaminate.kept(d, items).collect()) == ["12", "13", "14", "None"]
+    assert decontaminate.leaks(docs, items).count() == 0
+    assert decontaminate.leaks(empty, items).count() == 0 and decontaminate.leaks(d, items.limit(0)).count() == 0
+    assert decontaminate.kept(docs, items).columns == docs.columns
+
+
+def test_tokens(docs, empty):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    counter = tokens.Counter(path, 500, 16)
+    assert counter.by_word
+    library = counter.library
+    texts = {(r[1] or "") for r in corpus()}
+    text = sentence(random.Random(2), 2000) + " <|endoftext|> it's 12 é 日本"
+    for t in [text, *texts]:
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert (counter.long_count(t) if len(t) > 500 else counter.counts([t])[0]) == n
+    got = tokens.counted(docs, path).collect()
+    assert sorted(r.n_tokens for r in got) == sorted(len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in corpus())
+    assert tokens.counted(empty, path).count() == 0
+
+
+def test_licences(spark, docs, empty):
+    lines = ["plain words here", "Released under the MIT License.", "He lost his driving license.", None, "", "text\nLicensed under the Apache License, Version 2.0.\nmore", "This work is licensed under the GNU General Public License, version 3."]
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in licences.scanned(d).collect()}
+    assert got == {0: "none", 1: "mit", 2: "none", 3: "none", 4: "none", 5: "apache", 6: "gpl"}
+    assert {r.licence for r in licences.scanned(docs).collect()} == {"none"} and licences.scanned(empty).count() == 0
+
+
+def test_extraction(spark):
+    page = "<html><head><title>t</title><style>p{{}}</style></head><body><header>Site</header><nav><a href=1>Home</a></nav><div class='ad'>Buy</div><p>All our news, every day.</p><article><h1>Title {0}</h1><p>Own &amp; text   {0}<br>more<p>second <b>bold</b> {0}</article><div class=comments><p>me too</p></div><script>var x='<p>no</p>'</script><footer>f</footer></body></html>"
+    rows = [(k, f"http://a.example/{k}", page.format(k)) for k in range(6)] + [(7, None, None), (8, "odd", ""), (9, "http://b.example/", "<div><p>Just text</p><ul><li><a href=x>link</a></ul></div>"), (9, "http://b.example/", "<div><p>Just text</p></div>")]
+    got = extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and text[3] == "Title 3\nOwn & text 3 more\nsecond bold 3"
+    assert text[7] == "" == text[8] and text[9] == "Just text" and all(r.n_chars == len(r.text) for r in got)
+    # without an article element, what the host's pages share is template
+    plain = [(k, f"http://c.example/{k}", f"<body><p>Welcome to our site</p><p>Story {k} is new</p></body>") for k in range(9)]
+    got = extract.extracted(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Story {k} is new" for k in range(9)}
+    assert extract.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
