@@ -7,55 +7,67 @@ from pyspark.sql import functions as F
 
 from plumbline import config as C
 
-BY_BAR = Window.partitionBy("sid").orderBy("i")
 
+def by_bar() -> WindowSpec:
+    """The bars of a share in order."""
+    return Window.partitionBy("sid").orderBy("i")
 
-def full(x: Column, n: int, value: Column, w: WindowSpec = BY_BAR, until: int = 0) -> Column:
+
+def full(x: Column, n: int, value: Column, w: WindowSpec | None = None, until: int = 0) -> Column:
     """value, where the last n rows up to `until` all have an x."""
+    w = w or by_bar()
     return F.when(F.count(x).over(w.rowsBetween(until - n + 1, until)) == n, value)
 
 
-def sma(x: Column, n: int, w: WindowSpec = BY_BAR) -> Column:
+def sma(x: Column, n: int, w: WindowSpec | None = None) -> Column:
+    w = w or by_bar()
     return full(x, n, F.avg(x).over(w.rowsBetween(-n + 1, 0)), w)
 
 
-def true_range(w: WindowSpec = BY_BAR) -> Column:
+def true_range(w: WindowSpec | None = None) -> Column:
     """Null on the first bar: greatest() would skip the missing close."""
+    w = w or by_bar()
     before = F.lag("c").over(w)
     return F.when(before.isNotNull(), F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - before), F.abs(F.col("l") - before)))
 
 
-def roc(n: int = C.ROC, w: WindowSpec = BY_BAR) -> Column:
+def roc(n: int = C.ROC, w: WindowSpec | None = None) -> Column:
+    w = w or by_bar()
     base = F.lag("c", n).over(w)
     return F.when(base != 0, 100 * (F.col("c") / base - 1))
 
 
-def raw_stochastic(n: int = C.STOCHASTIC, w: WindowSpec = BY_BAR) -> Column:
+def raw_stochastic(n: int = C.STOCHASTIC, w: WindowSpec | None = None) -> Column:
+    w = w or by_bar()
     rows = w.rowsBetween(-n + 1, 0)
     low, high = F.min("l").over(rows), F.max("h").over(rows)
     return full(F.col("c"), n, F.when(high == low, F.lit(50.0)).otherwise(100 * (F.col("c") - low) / (high - low)), w)
 
 
-def deviation(n: int = C.BOLLINGER, w: WindowSpec = BY_BAR) -> Column:
+def deviation(n: int = C.BOLLINGER, w: WindowSpec | None = None) -> Column:
     """Population deviation of whole-number closes; the sums are exact."""
+    w = w or by_bar()
     rows = w.rowsBetween(-n + 1, 0)
     c = F.col("c")
     return full(c, n, F.sqrt((n * F.sum(c * c).over(rows) - F.sum(c).over(rows) * F.sum(c).over(rows)).cast("double")) / n, w)
 
 
-def relative_volume(n: int = C.RVOL_BASE, w: WindowSpec = BY_BAR) -> Column:
+def relative_volume(n: int = C.RVOL_BASE, w: WindowSpec | None = None) -> Column:
     """Volume by the mean of the n bars before; the bar itself is left out."""
+    w = w or by_bar()
     rows = w.rowsBetween(-n, -1)
     mean = F.avg("v").over(rows)
     return F.when((F.count("v").over(rows) == n) & (mean > 0), F.col("v") / mean)
 
 
-def obv(w: WindowSpec = BY_BAR) -> Column:
+def obv(w: WindowSpec | None = None) -> Column:
     """On-balance volume needs the change as a column `dc`."""
+    w = w or by_bar()
     return F.sum(F.coalesce(F.signum("dc"), F.lit(0.0)) * F.col("v")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")
 
 
-def volume_trend(w: WindowSpec = BY_BAR) -> Column:
+def volume_trend(w: WindowSpec | None = None) -> Column:
+    w = w or by_bar()
     short, long = sma(F.col("v"), C.VOLUME_SHORT, w), sma(F.col("v"), C.VOLUME_LONG, w)
     return F.when(long.isNull() | (long == 0), None).when(short >= long * (1 + C.VOLUME_BAND), "RISING").when(short <= long * (1 - C.VOLUME_BAND), "FALLING").otherwise("FLAT")
 
@@ -64,6 +76,7 @@ def volume_state(rvol: Column) -> Column:
     return F.when(rvol.isNull(), None).when(rvol >= C.RVOL_EXPANSION, "EXPANSION").when(rvol <= C.RVOL_CONTRACTION, "CONTRACTION").otherwise("NORMAL")
 
 
-def starts(flag: Column, w: WindowSpec = BY_BAR) -> Column:
+def starts(flag: Column, w: WindowSpec | None = None) -> Column:
     """The first bar of each run of a flag."""
+    w = w or by_bar()
     return flag & ~F.coalesce(F.lag(flag).over(w), F.lit(False))

@@ -14,7 +14,7 @@ from plumbline.functions import series as S
 def windowed(bars: DataFrame) -> DataFrame:
     """bars with the indicators that are plain windows."""
     c = F.col("c")
-    w = S.BY_BAR
+    w = S.by_bar()
     out = bars.withColumn("dc", c - F.lag("c").over(w))
     out = out.withColumns({f"sma{n}": S.sma(c, n) for n in C.SMA} | {"raw_k": S.raw_stochastic(), "roc": S.roc(), "tr": S.true_range(), "sd": S.deviation(), "volume_sma": S.sma(F.col("v"), C.VOLUME_SMA), "rvol": S.relative_volume(), "obv": S.obv(), "volume_trend": S.volume_trend()})
     out = out.withColumn("k", S.sma(F.col("raw_k"), C.STOCHASTIC_SMOOTHING)).withColumn("d", S.sma(F.col("k"), C.STOCHASTIC_D))

@@ -16,7 +16,7 @@ from plumbline.operators.indicators import atr
 
 def fractals(bars: DataFrame) -> DataFrame:
     """sid, sensitivity, kind, bar, known, price: extremes of k bars on both sides, known k bars later."""
-    w = S.BY_BAR
+    w = S.by_bar()
     out = None
     for name, k in C.FRACTAL.items():
         before, after = w.rowsBetween(-k, -1), w.rowsBetween(1, k)
@@ -79,14 +79,12 @@ def found(bars: DataFrame, method: str, sizes: dict[str, float]) -> DataFrame:
     return bars.select("sid", "i", "h", "l", "c").groupBy("sid").applyInPandas(scan(method, sizes), "sid long, method string, sensitivity string, kind string, bar long, known long, price double")
 
 
-BY_KNOWN = Window.partitionBy("sid").orderBy("known", "bar", "kind")
-
-
 def primary(bars: DataFrame) -> DataFrame:
     """The swings of three ATR with the ATR of their bar (bars have atr), what they moved since the one before, and their label."""
     swings = found(bars, "ATR", {"INTERMEDIATE": C.ATR_MULTIPLE["INTERMEDIATE"]}).drop("method", "sensitivity")
     swings = swings.join(bars.select("sid", F.col("i").cast("long").alias("bar"), "atr"), ["sid", "bar"])
-    before = {x: F.lag(x).over(BY_KNOWN) for x in ("price", "bar")}
+    by_known = Window.partitionBy("sid").orderBy("known", "bar", "kind")
+    before = {x: F.lag(x).over(by_known) for x in ("price", "bar")}
     swings = swings.withColumn("move", F.col("price") - before["price"]).withColumn("bars", F.col("bar") - before["bar"]).withColumn("strength", F.abs("move") / F.when(F.col("atr") > 0, F.col("atr")))
     return labelled(swings)
 

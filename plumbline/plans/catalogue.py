@@ -45,8 +45,6 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(trades(spark, sf_dir), "day")
 
 
-W10, W20, B20 = "w10", "w20", "b20"
-
 
 @query(f"""WITH {sql.BARS}
 SELECT sid, i, week, o, h, l, c, v, n, CASE WHEN count(c) OVER w10 = 10 THEN round(avg(c) OVER w10, 6) END AS sma10,
@@ -55,7 +53,7 @@ SELECT sid, i, week, o, h, l, c, v, n, CASE WHEN count(c) OVER w10 = 10 THEN rou
 FROM (SELECT *, coalesce(sign(c - lag(c) OVER (PARTITION BY sid ORDER BY i)), 0) AS d FROM b)
 WINDOW w10 AS (PARTITION BY sid ORDER BY i ROWS 9 PRECEDING), w20 AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = weekly(spark, sf_dir).withColumn("dc", F.col("c") - F.lag("c").over(S.BY_BAR))
+    b = weekly(spark, sf_dir).withColumn("dc", F.col("c") - F.lag("c").over(S.by_bar()))
     return b.select("sid", "i", "week", "o", "h", "l", "c", "v", "n", F.round(S.sma(F.col("c"), 10), 6).alias("sma10"), F.round(S.relative_volume(), 6).alias("rvol"), S.obv().alias("obv"))
 
 

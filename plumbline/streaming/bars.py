@@ -10,7 +10,9 @@ from pyspark.sql.types import StructType
 
 def read(spark: SparkSession, path: str, schema: StructType, files: int = 1) -> DataFrame:
     """New Parquet files of a folder, a few at a time."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    found = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    plain = [f.name for f in schema if f.dataType.typeName() == "timestamp_ntz"]  # watermarks need instants; the session's zone gives them
+    return found.withColumns({c: found[c].cast("timestamp") for c in plain}) if plain else found
 
 
 def hourly(events: DataFrame, late: str = "2 hours") -> DataFrame:
