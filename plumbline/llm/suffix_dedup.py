@@ -3,8 +3,8 @@
 Equal strings of `size` bytes have the same minimizer (their k-gram of smallest hash), so they meet when the
 runs of windows with a common minimizer (at most 2 * size bytes each) are dealt by it. A first pass counts the
 texts of every minimizer and leaves a fixed-size bitmap of those in two texts or more; only their runs are
-dealt. A bucket leaves out windows whose hash is in one text only and builds the suffix array of its different runs by
-Lyndon grouping, in slices of whole minimizers:
+dealt. A bucket leaves out windows whose hash is in one text only and, for minimizers with different runs left, builds
+their suffix array by Lyndon grouping, in slices of whole minimizers:
 previous-smaller pointers give every suffix its Lyndon prefix, suffixes with equal ones form a group, groups get
 their slots in descending order, and one scan in ascending order puts each suffix of a group in place, without
 renaming. Neighbours in the array with `size` common bytes are one class; its smallest doc_id decides.
@@ -304,6 +304,10 @@ def _cuts(size: int) -> Callable:
         held: list[tuple[int, int]] = []
         amount = 0
         for a, b in zip(cut[:-1], cut[1:]):
+            if len(set(bodies[a:b])) == 1:  # one string: its windows differ, so that each is its own class and nothing needs an order
+                h = head[a:b][head[a:b, 2] > head[a:b, 2].min()]
+                out.append(np.stack((h[:, 1], h[:, 3], h[:, 3] + h[:, 4]), 1))
+                continue
             for i in range(a, b):
                 s = bodies[i]
                 if s not in ids:
