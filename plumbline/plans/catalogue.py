@@ -10,25 +10,10 @@ from pyspark.sql import functions as F
 from plumbline import config as C
 from plumbline.functions import series as S
 from plumbline.operators import evidence, indicators, joins, patterns, quality, structure, swings
-from plumbline.plans import sql
+from plumbline.plans import records, sql  # noqa: F401  records registers its queries
+from plumbline.plans.registry import QUERIES, SQL, query
 from plumbline.sources.tables import bars, hourly_events, table, trades, weekly
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable:
-    """Register a query under its function's name, with its SQL."""
-
-    def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if oracle:
-            SQL[f.__name__] = oracle
-        return f
-
-    return put
-
-
 def r6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
