@@ -304,6 +304,41 @@ def pattern_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.tally(patterns.candidates(_swings(b), b))
 
 
+_STEEP = "greatest(abs(us), abs(ls)) / least(abs(us), abs(ls))"
+
+
+@query(f"""WITH RECURSIVE {sql.SWINGS},
+q AS (SELECT *, CASE WHEN s > 0 THEN p0 ELSE p1 END AS h1, CASE WHEN s > 0 THEN p2 ELSE p3 END AS h2, CASE WHEN s > 0 THEN b0 ELSE b1 END AS g1, CASE WHEN s > 0 THEN b2 ELSE b3 END AS g2,
+  CASE WHEN s > 0 THEN p1 ELSE p0 END AS l1, CASE WHEN s > 0 THEN p3 ELSE p2 END AS l2, CASE WHEN s > 0 THEN b1 ELSE b0 END AS m1, CASE WHEN s > 0 THEN b3 ELSE b2 END AS m2 FROM {sql.legs(4)}),
+r AS (SELECT *, (h2 - h1) / (g2 - g1) AS us, (l2 - l1) / (m2 - m1) AS ls FROM q),
+v AS (SELECT *, h1 + us * (b0 - g1) - l1 - ls * (b0 - m1) AS wa, h1 + us * (b3 - g1) - l1 - ls * (b3 - m1) AS wz, 0.02 * atr AS f FROM r),
+n AS (SELECT *, CASE WHEN abs(us) <= f AND ls > f THEN 'ascending_triangle' WHEN abs(ls) <= f AND us < -f THEN 'descending_triangle' WHEN us < -f AND ls > f THEN 'symmetrical_triangle' WHEN us > f AND ls > us THEN 'rising_wedge' WHEN us < -f AND ls < -f AND us < ls THEN 'falling_wedge' END AS family FROM v)
+SELECT sid, family, b0 AS first_bar, bar AS last_bar, seen AS known, round(us, 4) AS upper_slope, round(ls, 4) AS lower_slope,
+  CASE WHEN family = 'symmetrical_triangle' AND {_STEEP} > 3 THEN 'SYMMETRY' WHEN NOT (wz > 0 AND wz <= 0.75 * wa) THEN 'CONVERGE' WHEN wz / (ls - us) > 52 THEN 'APEX' WHEN wa < 2 * atr THEN 'HEIGHT' WHEN b3 - b0 NOT BETWEEN 8 AND 104 THEN 'SPAN' END AS failed
+FROM n WHERE family IS NOT NULL""")
+def converging_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = patterns.converging(_swings(_bars(spark, sf_dir)))
+    return x.withColumn("upper_slope", F.round("upper_slope", 4)).withColumn("lower_slope", F.round("lower_slope", 4))
+
+
+@query(f"""WITH RECURSIVE {sql.BARS}, {sql.swings("(1.0)")}, sw AS (SELECT z.sid, z.kind, z.bar, z.known, z.price, bb.atr FROM z JOIN bb ON bb.sid = z.sid AND bb.i = z.bar),
+q AS (SELECT *, CASE k1 WHEN 'HIGH' THEN 1 ELSE -1 END AS side FROM {sql.legs(5)}),
+r AS (SELECT *, (p1 - p0) * side AS pole, (p3 - p1) / (b3 - b1) * side AS outer_, (p4 - p2) / (b4 - b2) * side AS inner_, (p1 - CASE WHEN side > 0 THEN least(p2, p4) ELSE greatest(p2, p4) END) * side AS back FROM q)
+SELECT sid, CASE WHEN side > 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, b0 AS first_bar, bar AS last_bar, seen AS known,
+  CASE WHEN pole < 3 * atr THEN 'POLE' WHEN b1 - b0 > 6 THEN 'POLE_BARS' WHEN b4 - b1 NOT BETWEEN 3 AND 12 THEN 'BARS' WHEN outer_ > 0.02 * atr THEN 'SLOPE' WHEN abs(outer_ - inner_) > 0.05 * atr THEN 'PARALLEL' WHEN back > 0.5 * pole THEN 'RETRACE' END AS failed FROM r""")
+def flag_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    fine = swings.found(b, "ATR", {"MICRO": C.ATR_MULTIPLE["MICRO"]}).drop("method", "sensitivity")
+    return patterns.flags(fine.join(b.select("sid", F.col("i").cast("long").alias("bar"), "atr"), ["sid", "bar"]))
+
+
+@query()
+def breakout_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    events = patterns.breakouts(patterns.candidates(_swings(b), b), b)
+    return patterns.follow_ups(events, b)
+
+
 @query()
 def pattern_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bars(spark, sf_dir)
