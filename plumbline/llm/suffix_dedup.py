@@ -441,6 +441,7 @@ def _left(names: list[str], size: int, whole: bool) -> Callable:
             data, at = buffers(batch.column("text"))
             n_bytes = batch.column("_bytes").to_pylist()
             digest = batch.column("_digest").to_pylist()
+            missing = batch.column("text").is_null().to_pylist()
             removed, spans, left = [], [], []
             for i, (n, copy, cut) in enumerate(zip(n_bytes, batch.column("_copy").to_pylist(), batch.column("spans").to_pylist())):
                 gone = [(0, n)] if copy and n >= size else _merged(cut)
@@ -454,18 +455,18 @@ def _left(names: list[str], size: int, whole: bool) -> Callable:
                     kept, out = len(rest), rest.decode("utf-8", "ignore") if whole else hashlib.sha256(rest).hexdigest()
                 removed.append(n - kept)
                 spans.append(len(gone))
-                left.append(out)
+                left.append(None if whole and missing[i] else out)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(left, pa.string())], [*names, "n_bytes", "n_removed", "n_spans", "left"])
 
     return run
 
 
 def _done(docs: DataFrame, size: int, whole: bool) -> DataFrame:
-    """For every row of docs: `row` (its columns, if whole) or doc_id, n_bytes, n_removed, n_spans, left."""
+    """For every row of docs: `row` (its columns but text, if whole) or doc_id, n_bytes, n_removed, n_spans, left."""
     if size < LEAST_GRAM + 8:
         raise ValueError(f"size must be {LEAST_GRAM + 8} at least")
     spark = docs.sparkSession
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if whole else F.col("doc_id").cast("long").alias("doc_id")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row") if whole else F.col("doc_id").cast("long").alias("doc_id")
     ranges = _ranges(docs, size)
     rows = docs.select(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), "text")
     names = [rows.columns[0], "_doc"]
@@ -494,6 +495,6 @@ def cut(docs: DataFrame, size: int = 50) -> DataFrame:
     Rows from which everything is cut are left out; rows that were empty or null stay as they are.
     """
     out = _done(docs, size, True).where("n_removed < n_bytes or n_bytes = 0")
-    same = F.col("n_removed") == 0
-    new = {"text": F.when(same, F.col("row.text")).otherwise(F.col("left")), "n_chars": F.when(same, F.col("row.n_chars")).otherwise(F.length("left")) if "n_chars" in docs.columns else None}
+    count = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("left")) if "n_chars" in docs.columns else None
+    new = {"text": F.col("left"), "n_chars": count}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
