@@ -32,3 +32,4 @@ MOVE_WARN, MOVE_BREAK, GAP_SESSIONS, MISSING_RATIO = 0.25, 0.5, 65, 0.02
 SIGMA_WINDOW, SIGMA_MULTIPLE, TOLERANCE = 250, 5.0, 0.15
 CONVERGING = {"flat": 0.02, "symmetry": 3.0, "converge": 0.75, "apex": 52, "height": 2.0, "least": 8, "most": 104}
 FLAG = {"pole": 3.0, "pole_bars": 6, "least": 3, "most": 12, "retrace": 0.5, "parallel": 0.05, "flat": 0.02}
+ROUNDING = {"rim": 2.0, "least": 20, "most": 156, "r2": 0.6, "vertex": (0.25, 0.75), "depth": 3.0}

@@ -332,6 +332,26 @@ def flag_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.flags(fine.join(b.select("sid", F.col("i").cast("long").alias("bar"), "atr"), ["sid", "bar"]))
 
 
+@query(f"""WITH RECURSIVE {sql.SWINGS},
+pr AS (
+  SELECT x.sid, x.kind, x.bar AS b0, y.bar AS b1, x.price AS p0, y.price AS p1, greatest(x.known, y.known) AS known, y.atr, CASE x.kind WHEN 'HIGH' THEN 1.0 ELSE -1.0 END AS s
+  FROM sw x JOIN sw y ON x.sid = y.sid AND x.kind = y.kind AND y.bar BETWEEN x.bar + 20 AND x.bar + 156 AND y.atr > 0
+  WHERE NOT EXISTS (SELECT 1 FROM sw m WHERE m.sid = x.sid AND m.kind = x.kind AND m.bar > x.bar AND m.bar < y.bar AND CASE x.kind WHEN 'HIGH' THEN m.price > greatest(x.price, y.price) ELSE m.price < least(x.price, y.price) END)),
+j AS (SELECT pr.*, (b.i - b0)::DOUBLE / (b1 - b0) AS u, (b.c - p1) * s / atr AS v FROM pr JOIN b ON b.sid = pr.sid AND b.i BETWEEN b0 AND b1),
+g AS (
+  SELECT sid, kind, b0, b1, p0, p1, known, atr, s, regr_count(v, u)::DOUBLE AS n, sum(u) AS s1, sum(u ** 2) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(v) AS t0, sum(u * v) AS t1, sum(u * u * v) AS t2, sum(v * v) AS vv FROM j GROUP BY ALL),
+d AS (SELECT *, s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2) AS det FROM g),
+e AS (SELECT *, (t2 * (s2 * n - s1 * s1) - s3 * (t1 * n - s1 * t0) + s2 * (t1 * s1 - s2 * t0)) / det AS a, (s4 * (t1 * n - s1 * t0) - t2 * (s3 * n - s1 * s2) + s2 * (s3 * t0 - t1 * s2)) / det AS bb,
+  (s4 * (s2 * t0 - t1 * s1) - s3 * (s3 * t0 - t1 * s2) + t2 * (s3 * s1 - s2 * s2)) / det AS cc FROM d),
+f AS (SELECT *, 1 - (vv - a * t2 - bb * t1 - cc * t0) / (vv - t0 * t0 / n) AS r2, -bb / (2 * a) AS vertex, (p0 - p1) * s / (2 * atr) - (cc - bb * bb / (4 * a)) AS depth FROM e)
+SELECT sid, CASE WHEN s > 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, b0 AS first_bar, b1 AS last_bar, known, round(a, 3) AS a, round(r2, 3) AS r2, round(depth, 3) AS depth,
+  CASE WHEN abs(p1 - p0) > 2 * atr THEN 'RIM' WHEN NOT (a > 0 AND r2 >= 0.6) THEN 'CURVE' WHEN vertex NOT BETWEEN 0.25 AND 0.75 THEN 'VERTEX' WHEN depth < 3 THEN 'DEPTH' END AS failed FROM f""")
+def rounding_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _bars(spark, sf_dir)
+    x = patterns.rounding(_swings(b), b)
+    return x.select("sid", "direction", "first_bar", "last_bar", "known", *[F.round(c, 3).alias(c) for c in ("a", "r2", "depth")], "failed")
+
+
 @query()
 def breakout_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bars(spark, sf_dir)
