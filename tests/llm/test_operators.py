@@ -239,11 +239,12 @@ def test_decontamination(spark, docs, empty):
     plain = sentence(r, 40)
     task = "A train leaves Town at 10 km per hour and Anna rides 25 km before 10 minutes pass so how far does Anna get in the end of all"
     other = task.replace("10", "30").replace("25", "7").replace("Anna", "Maria")
-    mixed_up = task.replace("Anna rides 25", "Anna rides 10")
+    mixed_up = task.replace("Anna rides 25", "Maria rides 10").replace("before 10", "before 12").replace("Anna get", "Berta get")
+    one_off = task.replace("Anna rides 25", "Anna rides 10")
     items = spark.createDataFrame([(1, plain), (2, task), (3, None), (4, "too few"), (None, plain)], "item_id long, text string")
-    d = spark.createDataFrame([(10, "x y z " + plain + " z"), (11, "so it is. " + other), (12, "well, " + mixed_up), (13, plain[:60]), (14, None), (None, plain), (10, "x y z " + plain + " z")], "doc_id long, text string")
+    d = spark.createDataFrame([(10, "x y z " + plain + " z"), (11, "so it is. " + other), (12, "well, " + mixed_up), (15, "oh, " + one_off), (13, plain[:60]), (14, None), (None, plain), (10, "x y z " + plain + " z")], "doc_id long, text string")
     got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(d, items).collect()}
-    assert set(got) == {(10, 1), (11, 2)}
+    assert set(got) == {(10, 1), (11, 2), (15, 2)}
     assert got[10, 1].exact and not got[11, 2].exact and got[11, 2].n_slots > 2
     assert sorted(str(x.doc_id) for x in decontaminate.kept(d, items).collect()) == ["12", "13", "14", "None"]
     assert decontaminate.leaks(docs, items).count() == 0
