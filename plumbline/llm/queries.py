@@ -47,12 +47,15 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
-least AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
-hit AS (SELECT w.doc_id, w.p FROM w JOIN least USING (s) WHERE least.first < w.doc_id),
-gone AS (SELECT DISTINCT doc_id, p + k AS p FROM (SELECT doc_id, p, unnest(range(0, 50)) AS k FROM hit)),
-bytes AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(0, n)) AS p FROM d)),
-marked AS (SELECT b.doc_id, b.p, b.b, g.p IS NOT NULL AS g FROM bytes b LEFT JOIN gone g USING (doc_id, p)),
+part AS (SELECT doc_id, n, q, substr(h, 1024 * q + 1, 1122) AS t FROM (SELECT doc_id, h, n, unnest(range(0, (n + 511) // 512)) AS q FROM d)),
+bytes AS (
+  SELECT doc_id, 512 * q + k AS p, substr(t, 2 * k + 1, 2) AS b, CASE WHEN 512 * q + k + 50 <= n THEN substr(t, 2 * k + 1, 100) END AS s
+  FROM (SELECT doc_id, n, q, t, unnest(range(0, least(512, n - 512 * q))) AS k FROM part)),
+least AS (SELECT s, min(doc_id) AS first FROM bytes WHERE s IS NOT NULL GROUP BY s),
+hit AS (
+  SELECT bytes.doc_id, bytes.p, bytes.b, max(CASE WHEN least.first < bytes.doc_id THEN bytes.p END) OVER (PARTITION BY bytes.doc_id ORDER BY bytes.p ROWS UNBOUNDED PRECEDING) AS last
+  FROM bytes LEFT JOIN least ON least.s = bytes.s),
+marked AS (SELECT doc_id, p, b, coalesce(p - last < 50, false) AS g FROM hit),
 edges AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM marked),
 sums AS (
   SELECT doc_id, sum(g::INT) AS n_removed, sum(starts::INT) AS n_spans, string_agg(b, '' ORDER BY p) FILTER (NOT g) AS kept
