@@ -1,16 +1,19 @@
 """Main-text extraction by equivalence-class template deduction.
 
-The tokens of a page are its tags with their path and class, and its text blocks. Over the pages of a host, each token
-has an occurrence vector: how often it occurs on every page. Tokens with equal vectors form an equivalence class;
-two independent sums of page hashes stand for a vector, so that classes come from plain aggregates and no host is
-ever gathered. Classes that are large and frequent enough are valid; their tokens in page order nest into
-the host's template. Text blocks of the template are boilerplate, and the slots it leaves are the page's own. Of these,
-slots within navigation, headers, footers, asides, forms, notices, adverts, scripts, styles and comments go; if the
-page has an article or main element with text, only slots within it stay; if not, slots of links go.
+The tokens of a page are its tags with their path and class, opening and closing, and its text blocks. Pages of a host
+with the same own blocks are copies and count as one page. Over these pages each token has an occurrence vector: how
+often it occurs on every page. Tokens with equal vectors form an equivalence class; two independent sums of page hashes
+stand for a vector, so that classes come from plain aggregates and no host is ever gathered. Tokens that leave the order
+of their class on some page leave the class. A class is valid if it has MIN_CLASS tokens, tags included, on enough
+pages, and nests: each two classes lie apart, or all occurrences of the one lie in the same slot of the other; of
+two that don't, the one on fewer pages goes. Valid classes are the host's template: their text blocks are boilerplate,
+and the slots they leave are the page's own. Of these, slots within navigation, headers, footers, asides, forms,
+notices, adverts, scripts, styles and comments go; if the page has an article or main element with text, only slots
+within it stay; if not, slots of links go. Copies that differ in an own block count as pages of their own.
 
 White space inside a block becomes one space, blocks are trimmed and joined by a newline; nothing else is dropped.
-Null html is empty and gives empty text; a null or odd url is a host of its own name; pages of hosts with fewer than
-MIN_PAGES pages have no template. Rows with null or repeated page_id are kept. Other columns are ignored.
+Null html is empty and gives empty text; a null or odd url is a host of its own name; hosts with fewer than
+MIN_PAGES pages that are no copies have no template. Rows with null or repeated page_id are kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from plumbline.llm.shared import small_batches, stored
 MIN_PAGES = 3
 SUPPORT = 0.3  # least share of a host's pages that hold a template token
 INNER = 0.8  # the same for a text block within an article, which copies of a page repeat too
-MIN_CLASS = 3  # tokens of a valid class; a text block on SUPPORT of the pages counts alone
+MIN_CLASS = 3  # tokens of a valid class
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -49,10 +54,13 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
-def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str]]:
-    """(blocks, tags) of a page. A block: text, path, within boilerplate, within article or main, all links."""
+def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str | int]]:
+    """(blocks, order) of a page. A block: text, path, within boilerplate, within article or main, all links.
+
+    order: the page's tags, closing ones with >, and the places of its blocks between them.
+    """
     out: list[tuple[str, str, bool, bool, bool]] = []
-    tags: list[str] = []
+    order: list[str | int] = []
     stack: list[tuple[str, str, bool, bool]] = []  # name, path, boilerplate, article
     text: list[str] = []
     linked: list[bool] = []
@@ -63,6 +71,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str
             block = _SPACE.sub(" ", entities.unescape("".join(text))).strip()
             if block:
                 _, path, bad, good = stack[-1] if stack else ("", "", False, False)
+                order.append(len(out))
                 out.append((block, path, bad, good, all(linked)))
             text.clear()
             linked.clear()
@@ -85,12 +94,14 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str
             continue
         flush()
         if closing:
+            closed = name
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    closed = stack[k][1]
                     del stack[k:]
                     break
             links = 0 if name in ("article", "body", "nav") else links
-            tags.append("/" + name)
+            order.append(">" + closed)
             continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack:
             like = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
@@ -103,49 +114,200 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str
         above, within = (stack[-1][2], stack[-1][3]) if stack else (False, False)
         within = within or name in ("article", "main") or "articlebody" in own.lower() or own.lower() == "main"
         bad = above or name in _BOILERPLATE or (name == "header" and not within) or (name not in ("html", "body", "article", "main") and bool(_WORDS.search(own)))
-        tags.append(path)
+        order.append(path)
         if name not in _VOID and not (rest or "").endswith("/"):
             stack.append((name, path, bad, within))
     flush()
-    return out, tags
+    return out, order
 
 
 def _hash(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 16)
+def _tag_hash(tag: str) -> int:
+    return _hash(tag)
+
+
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, draw, tokens, kinds) of every page in page order; copies have equal draws."""
+    for batch in batches:
+        draws, sequences, types = [], [], []
+        for page in batch.column("html").to_pylist():
+            texts, order = blocks(page or "")
+            own = sorted({t[0] for t in texts if not t[2]})
+            draws.append(_hash("\0".join(own)) & (1 << 60) - 1)
+            sequences.append(np.array([_tag_hash(t) if isinstance(t, str) else _hash(texts[t][1] + "\0" + texts[t][0]) for t in order], np.int64).tobytes())
+            types.append(bytes(0 if isinstance(t, str) else 1 + texts[t][3] for t in order))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(draws, pa.int64()), pa.array(sequences, pa.binary()), pa.array(types, pa.binary())], ["host", "draw", "tokens", "kinds"])
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, kind, pages, two sums of page hashes), summed in the batch."""
+    """(host, token, kind, pages, two sums of page hashes, least draw, first place on its page), summed in the batch."""
     for batch in batches:
         found: dict[tuple[str, int, int], list[int]] = {}  # kind: 0 a tag, 1 a text block, 2 one within an article
-        for name, page, draw in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("draw").to_pylist()):
-            texts, tags = blocks(page or "")
-            counts: dict[tuple[int, int], int] = {}
-            for k in [*((_hash(t), 0) for t in tags), *((_hash(t[1] + "\0" + t[0]), 1 + t[3]) for t in texts)]:
-                counts[k] = counts.get(k, 0) + 1
+        for name, draw, tokens, kinds in zip(*(batch.column(c).to_pylist() for c in ("host", "draw", "tokens", "kinds"))):
+            counts: dict[tuple[int, int], list[int]] = {}
+            for place, k in enumerate(zip(np.frombuffer(tokens, np.int64).tolist(), kinds)):
+                counts.setdefault(k, [0, place])[0] += 1
             one, two = draw & 0x3FFFFFFF, (draw >> 30) & 0x3FFFFFFF
-            for (token, kind), n in counts.items():
-                s = found.setdefault((name, token, kind), [0, 0, 0])
+            for (token, kind), (n, place) in counts.items():
+                s = found.setdefault((name, token, kind), [0, 0, 0, draw, place])
                 s[0] += 1
                 s[1] += n * one
                 s[2] += n * two
+                if draw < s[3]:
+                    s[3:] = draw, place
+        if found:
+            keys, sums = list(zip(*found)), np.array(list(found.values()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int8()), *(pa.array(sums[:, k]) for k in range(5))], ["host", "token", "kind", "pages", "one", "two", "draw", "place"])
+
+
+def _ranked(members: list[dict]) -> tuple[dict[int, tuple[int, int]], list[int]]:
+    """token: (class, place in it), and the classes' sizes, of a host's sorted members; classes of more pages come first."""
+    of: dict[int, tuple[int, int]] = {}
+    sizes: list[int] = []
+    last = None
+    for m in members:
+        key = (m["p"], m["size"], m["one"], m["two"])
+        if key != last:
+            sizes.append(0)
+            last = key
+        of[m["token"]] = (len(sizes) - 1, sizes[-1])
+        sizes[-1] += 1
+    return of, sizes
+
+
+def disordered(tokens: list[int], of: dict[int, tuple[int, int]], sizes: list[int]) -> set[int]:
+    """The tokens outside a longest run of each class's occurrences in the class's order."""
+    seen: dict[int, int] = {}
+    by: dict[int, list[tuple[int, int]]] = {}
+    for t in tokens:
+        if t in of:
+            c, rank = of[t]
+            seen[t] = seen.get(t, 0) + 1
+            by.setdefault(c, []).append((seen[t] * sizes[c] + rank, t))
+    out: set[int] = set()
+    for found in by.values():
+        keys = [k for k, _ in found]
+        if all(a < b for a, b in zip(keys, keys[1:])):
+            continue
+        tails: list[int] = []
+        ends: list[int] = []
+        before = []
+        for i, k in enumerate(keys):
+            j = bisect_left(tails, k)
+            before.append(ends[j - 1] if j else -1)
+            tails[j : j + 1] = [k]
+            ends[j : j + 1] = [i]
+        kept, i = set(), ends[-1]
+        while i >= 0:
+            kept.add(i)
+            i = before[i]
+        out |= {t for i, (_, t) in enumerate(found) if i not in kept}
+    return out
+
+
+def nesting(tokens: list[int], of: dict[int, tuple[int, int]], sizes: list[int]) -> dict[tuple[int, int], list[int]]:
+    """(class, class around it): occurrences within it, least and last slot, whether they cross; (class, -1): all occurrences."""
+    out: dict[tuple[int, int], list[int]] = {}
+    opened: list[list[int]] = []  # class, place of its last token
+    for t in tokens:
+        if t not in of:
+            continue
+        c, rank = of[t]
+        if rank == 0:
+            out.setdefault((c, -1), [0, 0, 0, 0])[0] += 1
+            for x, slot in opened:
+                s = out.setdefault((c, x), [0, slot, slot, 0])
+                s[0] += 1
+                s[1], s[2] = min(s[1], slot), max(s[2], slot)
+            opened.append([c, 0])
+            continue
+        at = next((k for k in range(len(opened) - 1, -1, -1) if opened[k] == [c, rank - 1]), None)
+        if at is None:
+            out.setdefault((c, c), [0, 0, 0, 0])[3] = 1
+            continue
+        for x, slot in opened[at + 1 :]:
+            out.setdefault((x, c), [0, slot, slot, 0])[3] = 1
+        opened[at][1] = rank
+        if rank == sizes[c] - 1:
+            del opened[at]
+    return out
+
+
+def _disordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, token) of the tokens that leave the order of their class."""
+    last: tuple = (None, ({}, []))
+    for batch in batches:
+        found: set[tuple[str, int]] = set()
+        for name, tokens, members in zip(batch.column("host").to_pylist(), batch.column("tokens").to_pylist(), batch.column("members")):
+            if last[0] != name:
+                last = (name, _ranked(members.as_py()))
+            found |= {(name, t) for t in disordered(np.frombuffer(tokens, np.int64).tolist(), *last[1])}
+        if found:
+            names, tokens = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(tokens, pa.int64())], ["host", "token"])
+
+
+def _nesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, class, around, n, least, most, crosses), summed in the batch."""
+    last: tuple = (None, ({}, []))
+    for batch in batches:
+        found: dict[tuple[str, int, int], list[int]] = {}
+        for name, tokens, members in zip(batch.column("host").to_pylist(), batch.column("tokens").to_pylist(), batch.column("members")):
+            if last[0] != name:
+                last = (name, _ranked(members.as_py()))
+            for (c, x), (n, lo, hi, cross) in nesting(np.frombuffer(tokens, np.int64).tolist(), *last[1]).items():
+                s = found.setdefault((name, c, x), [0, lo, hi, 0])
+                s[:] = s[0] + n, min(s[1], lo), max(s[2], hi), s[3] | cross
         if found:
             keys, sums = list(zip(*found)), np.array(list(found.values()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.int64()), pa.array(keys[2], pa.int8()), *(pa.array(sums[:, k]) for k in range(3))], ["host", "token", "kind", "pages", "one", "two"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), *(pa.array(keys[k], pa.int32()) for k in (1, 2)), *(pa.array(sums[:, k]) for k in range(4))], ["host", "class", "around", "n", "least", "most", "crosses"])
+
+
+def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, boilerplate: text blocks of the classes that do not clash with a valid class of a lower number."""
+    for batch in batches:
+        out = []
+        for members, clashes in zip(batch.column("members"), batch.column("clashes")):
+            members = members.as_py()
+            of, _ = _ranked(members)
+            lost: set[int] = set()
+            for high, low in sorted((max(x["class"], x["around"]), min(x["class"], x["around"])) for x in clashes.as_py() or ()):
+                if low == high or low not in lost:
+                    lost.add(high)
+            out.append(sorted({m["token"] for m in members if m["kind"] > 0 and of[m["token"]][0] not in lost}))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.list_(pa.int64()))], ["host", "boilerplate"])
+
+
+def _members(tokens: DataFrame) -> DataFrame:
+    """host, members: the tokens (host, token, kind, pages, one, two, draw, place) of classes of MIN_CLASS tokens, in order."""
+    classes = tokens.groupBy("host", "one", "two").agg(F.count("*").alias("size"), F.max("pages").alias("p")).where(F.col("size") >= MIN_CLASS)
+    of = tokens.join(classes, ["host", "one", "two"])
+    return of.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("p")).alias("p"), (-F.col("size")).alias("size"), "one", "two", "place", "token", "kind"))).alias("members"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, boilerplate: hashes of the text blocks in valid equivalence classes of each host's pages (host, html)."""
-    rows = pages.select("host", "html", F.abs(F.xxhash64("page_id", "url", "html") % (1 << 60)).alias("draw"))
-    found = rows.mapInArrow(_tokens, "host string, token long, kind byte, pages long, one long, two long")
-    found = found.groupBy("host", "token", "kind").agg(F.sum("pages").alias("pages"), F.sum("one").alias("one"), F.sum("two").alias("two"))
+    read = pages.select("host", "html").mapInArrow(_sequences, "host string, draw long, tokens binary, kinds binary")
+    rows = stored(read.groupBy("host", "draw").agg(F.min(F.struct("tokens", "kinds")).alias("x")).select("host", "draw", "x.tokens", "x.kinds"), "sequences")
+    found = rows.mapInArrow(_tokens, "host string, token long, kind byte, pages long, one long, two long, draw long, place long")
+    found = found.groupBy("host", "token", "kind").agg(F.sum("pages").alias("pages"), F.sum("one").alias("one"), F.sum("two").alias("two"), F.min(F.struct("draw", "place")).alias("x"))
+    found = found.select("host", "token", "kind", "pages", "one", "two", "x.draw", "x.place")
     n = rows.groupBy("host").agg(F.count("*").alias("n"))
     often = found.where(F.col("pages") >= MIN_PAGES).join(n, "host").where(F.col("pages") >= F.when(F.col("kind") == 2, INNER).otherwise(SUPPORT) * F.col("n"))
-    often = stored(often, "tokens")
-    classes = often.groupBy("host", "one", "two").agg(F.count("*").alias("size"), F.max("pages").alias("p"), F.first("n").alias("n"))
-    valid = classes.where((F.col("size") >= MIN_CLASS) | (F.col("p") >= SUPPORT * F.col("n"))).select("host", "one", "two")
-    texts = often.where("kind > 0").join(valid, ["host", "one", "two"], "left_semi")
-    return texts.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("boilerplate"))
+    often = stored(often.drop("n"), "tokens")
+    first = stored(_members(often), "members")
+    out = rows.join(first, "host").select("host", "tokens", "members").mapInArrow(_disordered, "host string, token long").distinct()
+    members = stored(_members(often.join(stored(out, "disordered"), ["host", "token"], "left_anti")), "members")
+    nests = rows.join(members, "host").select("host", "tokens", "members").mapInArrow(_nesting, "host string, class int, around int, n long, least long, most long, crosses long")
+    nests = stored(nests.groupBy("host", "class", "around").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("crosses").alias("crosses")), "nests")
+    total = nests.where("around = -1").select("host", "class", F.col("n").alias("total"))
+    clash = nests.where("around <> -1").join(total, ["host", "class"]).where("crosses > 0 or least <> most or n < total")
+    clash = clash.groupBy("host").agg(F.collect_set(F.struct("class", "around")).alias("clashes"))
+    return members.join(clash, "host", "left").select("host", "members", "clashes").mapInArrow(_valid, "host string, boilerplate array<long>")
 
 
 def main_text(page: str, boilerplate: set[int]) -> str:

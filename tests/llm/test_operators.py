@@ -288,3 +288,28 @@ def test_extraction(spark):
     got = extract.extracted(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()
     assert {r.text for r in got} == {f"Story {k} is new" for k in range(9)}
     assert extract.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_extraction_template_classes(spark):
+    schema = "page_id long, url string, html string"
+    frame = "<html><body><div class=top><p class=w>Welcome to our site</p></div>{}<div class=low><p class=v>All rights kept</p></div></body></html>"
+    story = "<div class=story><p>The long story of a fox</p><p>It went far away</p><p>And it came home</p></div>"
+    # copies are one page: a story without an article element stays on each of them
+    copies = [(k, f"http://d.example/{k}", frame.format(story)) for k in range(12)]
+    others = [(20 + k, f"http://d.example/{20 + k}", frame.format(f"<div class=story><p>Other {k}</p></div>")) for k in range(3)]
+    got = {r.page_id: r.text for r in extract.extracted(spark.createDataFrame(copies + others, schema)).collect()}
+    assert {got[k] for k in range(12)} == {"The long story of a fox\nIt went far away\nAnd it came home"}
+    assert [got[20 + k] for k in range(3)] == [f"Other {k}" for k in range(3)]
+    # a block alone in its class is no template, however often it occurs; one with its tags is
+    alone = [(k, f"http://e.example/{k}", frame.format(f"<div class=story><p>Own {k}</p>{'<p>Lone line</p>' if k % 2 else ''}{'<div class=x><p class=y>Boxed line</p></div>' if k % 3 else ''}</div>")) for k in range(12)]
+    got = {r.page_id: r.text for r in extract.extracted(spark.createDataFrame(alone, schema)).collect()}
+    assert got == {k: f"Own {k}" + ("\nLone line" if k % 2 else "") for k in range(12)}
+
+
+def test_extraction_order_and_nesting():
+    of, sizes = {1: (0, 0), 2: (0, 1), 3: (0, 2), 4: (1, 0), 5: (1, 1)}, [3, 2]
+    assert extract.disordered([1, 9, 2, 4, 3, 5, 1, 2, 3], of, sizes) == set()
+    assert extract.disordered([2, 3, 1, 4, 5], of, sizes) == {1}
+    assert extract.nesting([1, 4, 5, 2, 3], of, sizes) == {(0, -1): [1, 0, 0, 0], (1, -1): [1, 0, 0, 0], (1, 0): [1, 0, 0, 0]}
+    assert extract.nesting([1, 4, 2, 5, 3], of, sizes)[1, 0][3] == 1
+    assert extract.nesting([1, 4, 5, 2, 4, 5, 3], of, sizes)[1, 0] == [2, 0, 1, 0]
