@@ -252,6 +252,24 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.kept(docs, items).columns == docs.columns
 
 
+def test_decontamination_dense_and_broken_items(spark):
+    """Verbatim copies at any word, whatever their slots and case, and copies with words put in or left out."""
+    r = random.Random(4)
+    dense = "Anna has 3 apples, Ben 4 pears, Cleo 5 figs"
+    title = "The Old Tower Of London Was Built By Many Kings Of England"
+    numbers = "7 14 21 28 35 42 49 56 63 70"
+    words = sentence(r, 42).split()
+    broken = " ".join([*words[:14], "zz yy", *words[14:28], "qq", *words[29:]])
+    items = spark.createDataFrame([(1, dense), (2, title), (3, numbers), (4, " ".join(words)), (5, "Mars Venus 12 Pluto 77"), (6, " ".join(words[:10] * 2))], "item_id long, text string")
+    rows = [(10 * k + j, " ".join(sentence(r, 1) for _ in range(k)) + " " + t) for k in range(1, 5) for j, t in enumerate([dense, title.lower(), numbers, broken, "Mars Venus 12 Pluto 77", title.upper()])]
+    rows.append((99, "bb " + " ".join(words[:10]) + " cc"))
+    got = {(x.doc_id, x.item_id): x for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    want = {(10 * k + j, i) for k in range(1, 5) for j, i in enumerate([1, 2, 3, 4, 5, 2])}
+    assert want <= set(got) and {i for _, i in set(got) - want} <= {6}
+    assert all(got[10 * k + 3, 4].n_matched == 41 and not got[10 * k + 3, 4].exact for k in range(1, 5))
+    assert got[99, 6].n_matched == 10 and got[11, 2].exact
+
+
 def test_tokens(docs, empty):
     public = pytest.importorskip("public_tokenizers")
     path = public.path("word_bpe_49k.json")
