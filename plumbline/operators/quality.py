@@ -7,7 +7,7 @@ from decimal import ROUND_HALF_EVEN, Context, Decimal
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import DecimalType, StringType
 
 from plumbline import config as C
 
@@ -40,9 +40,7 @@ def adjusted(value: pd.Series, num: pd.Series, den: pd.Series) -> pd.Series:
     def one(v, n, d):  # noqa: ANN001, ANN202
         if v is None or n is None or d is None:
             return None
-        scaled = Decimal(v).scaleb(6, exact)
-        top, bottom = exact.multiply(scaled, Decimal(int(n))), int(d)
-        whole = int(exact.multiply(top, Decimal(10) ** 4).to_integral_value())  # values have four decimals
+        whole, bottom = int(Decimal(v).scaleb(10, exact)) * int(n), int(d)  # values have four decimals
         q, r = divmod(whole, bottom * 10**4)
         half = 2 * r - bottom * 10**4
         q += half > 0 or (half == 0 and q % 2 == 1)
@@ -51,6 +49,12 @@ def adjusted(value: pd.Series, num: pd.Series, den: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(value, num, den)], dtype=object)
 
 
+@F.pandas_udf(StringType())
+def power(base: pd.Series, exponent: pd.Series) -> pd.Series:
+    """base to the exponent, whole numbers, exact and as text of any length."""
+    return pd.Series([None if pd.isna(b) or pd.isna(e) else str(int(b) ** int(e)) for b, e in zip(base, exponent)], dtype=object)
+
+
 def gaps(daily: DataFrame) -> DataFrame:
     """daily (sid, day, o, c) with before (last close), gap (o / before - 1) and log_gap."""
     w = Window.partitionBy("sid").orderBy("day")

@@ -433,9 +433,9 @@ def adjusted_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = (F.row_number().over(w) % 50 == 0).cast("long")
     later = F.coalesce(F.sum("event").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
     x = d.withColumn("event", event).withColumn("events", later).where(F.col("day") >= "2000-01-01")
-    num, den = (F.pow(1 + F.col("sid") % 3, "events").cast("decimal(38,0)"), F.pow(2 + F.col("sid") % 5, "events").cast("decimal(38,0)"))
+    num, den = quality.power(1 + F.col("sid") % 3, "events"), quality.power(2 + F.col("sid") % 5, "events")
     price = (F.col("c").cast("decimal(18,0)") / 100).cast("decimal(18,4)")
-    return x.select("sid", "day", "events", (quality.adjusted(price, num.cast("string"), den.cast("string")) * 1000000).cast("decimal(38,0)").alias("micros"))
+    return x.select("sid", "day", "events", (quality.adjusted(price, num, den) * 1000000).cast("decimal(38,0)").alias("micros"))
 
 
 @query("""SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, e.event_id, e.ts AS matched_at, e.value

@@ -111,6 +111,14 @@ def test_exact_adjustment(spark):
         assert x == Decimal(round(micros)).scaleb(-6), (p, n, d, ROUND_HALF_EVEN)
 
 
+def test_exact_factor(spark):
+    """The factor of many events is exact beyond doubles, 38 digits and 200 digits."""
+    rows = [(k,) for k in (0, 1, 33, 34, 90, 500)]
+    got = spark.createDataFrame(rows, "k long").select("k", quality.power(F.lit(3), "k").alias("n"), quality.power(F.lit(6), "k").alias("d"))
+    got = got.withColumn("x", quality.adjusted(F.lit("1.0000").cast("decimal(18,4)"), "n", "n")).collect()
+    assert all((r.n, r.d, r.x) == (str(3**r.k), str(6**r.k), 1) for r in got)
+
+
 def test_streaming_twins(spark, sf, tmp_path):
     from plumbline.sources.tables import hourly, table
     from plumbline.streaming import bars as live
