@@ -6,9 +6,11 @@ at least one common signature: rare shingles (level 0) sign alone, frequent ones
 of the same subclass, for which the prefix is extended. Signatures are dealt in packed blocks,
 groups of equal signatures give candidates, and exact set overlaps decide.
 
-Links are found without listing all pairs of a group: every group first compares its members with
-one hub; members that thereby fall into one component need no further comparison, and only pairs
-across components are compared afterwards. The components are those of all links.
+Links are found without listing all pairs of a group: each document is first compared with one hub, the best of
+its groups; then with the hubs of those groups alone that are not yet of its component; then members of a group
+that are still of different components, within the sizes that a link allows. Two documents that share no rare shingle (else
+they meet in its group) have at most the frequent ones of each in common, which rules out most of these. The components
+are those of all links.
 
 Nulls: null or blank text has no shingles and links with nothing. Rows with a null or repeated doc_id are
 kept as they are; a component takes the smallest non-null doc_id of its rows. Other columns are ignored.
@@ -16,39 +18,39 @@ kept as they are; a component takes the smallest non-null doc_id of its rows. Ot
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import U, buffers, mix, shingle_sets, slices
-from plumbline.llm.shared import bitmap, components, in_bitmap, partitions, small_batches, stored
+from plumbline.llm.shared import bitmap, bits_for, by_piece, components, dealt, discard, in_bitmap, partitions, small_batches, stored
 
 #: From this document count on, a shingle is frequent; its level is the count's logarithm.
 FREQUENT = 8
-#: Slots of the level table: one byte each, whatever the corpus holds. A shared slot only raises a level.
-LEVEL_SLOTS = 1 << 22
+#: Least and most slots of the level table, which has 8 for each frequent shingle: one byte each. A shared slot only raises a level.
+LEVEL_SLOTS = 1 << 22, 1 << 28
+PIECES = 16  # parts of a partition, of which a task holds one at a time
 _FLUSH = 1 << 20  # signatures or shingles that a task holds before it deals them out
 
 
-def _blocks(values: np.ndarray, extra: np.ndarray | None, parts: int) -> pa.RecordBatch:
-    """values (and extra beside them) packed into one binary row for each partition that they belong to."""
-    to = (values % U(parts)).astype(np.int64)
+def _blocks(values: np.ndarray, where: np.ndarray, parts: int) -> pa.RecordBatch:
+    """values packed into one binary row for each piece of a partition that the hashes `where` put them in."""
+    to = (where % U(parts)).astype(np.int64) * PIECES + ((where >> U(32)) % U(PIECES)).astype(np.int64)
     order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(parts + 1))
-    values = values[order]
-    rows = [values[a:b].tobytes() if extra is None else values[a:b].tobytes() + extra[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-    keep = [p for p in range(parts) if rows[p]]
-    return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([rows[p] for p in keep], pa.binary())], ["part", "block"])
+    to, values = to[order], values[order]
+    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
+    return pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]]), pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["piece", "block"])
 
 
-def set_key(tokens: np.ndarray) -> np.uint64:
+def set_key(tokens: np.ndarray, seed: int = 0) -> np.uint64:
     """A hash of a whole set; equal sets have equal keys."""
     if not len(tokens):
         return np.uint64(0)
-    total = np.array([tokens.sum(), mix(tokens).sum(), len(tokens)], U) * np.array([1, 3, 1], U)
+    total = np.array([(tokens ^ U(seed)).sum(), mix(tokens + U(seed)).sum(), len(tokens)], U) * np.array([1, 3, 1], U)
     return mix(total.sum(keepdims=True))[0]
 
 
@@ -70,37 +72,37 @@ def _counts(width: int, parts: int) -> Callable:
 
 
 def _dealt(held: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    """Shingles as 32 bits beside their partition: enough for a count that only orders them."""
+    """Shingles as the upper 32 bits beside their partition: enough for a count that only orders them."""
     tokens = np.concatenate(held)
-    order = (tokens % U(parts)).astype(np.int64)
-    by = np.argsort(order, kind="stable")
-    short = (tokens[by] >> U(32)).astype(np.uint32)
-    cuts = np.searchsorted(order[by], np.arange(parts + 1))
-    keep = np.flatnonzero(np.diff(cuts))
-    return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([short[cuts[p] : cuts[p + 1]].tobytes() for p in keep], pa.binary())], ["part", "block"])
+    return _blocks((tokens >> U(32)).astype(np.uint32), tokens, parts)
 
 
-def _levels(parts: int, slots: int) -> Callable:
-    """Counts of the shingles of a partition: the level of each slot that has a frequent one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = [], 0
-        for batch in batches:
-            for p, block in zip(batch.column("part").to_pylist(), batch.column("block")):
-                part = p
-                held.append(np.frombuffer(block.as_buffer(), np.uint32).copy())
-        if not held:
-            return
-        x = np.sort(np.concatenate(held))
-        held.clear()
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the shingles of a partition: the level of each frequent one."""
+    for piece, blocks in by_piece(batches, "block"):
+        x = np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for (b,) in blocks]))
         at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
         n = np.diff(np.append(at, len(x)))
         at, n = at[n >= FREQUENT], n[n >= FREQUENT]
-        slot = _slot(x[at], np.full(len(at), part, np.uint32), slots)
-        level = np.floor(np.log2(n)).astype(np.int8)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(level, pa.int8())], ["slot", "level"])
+        if len(at):
+            level = np.floor(np.log2(n)).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(x[at].astype(np.int64)), pa.array(np.full(len(at), piece // PIECES, np.int32)), pa.array(level)], ["short", "part", "level"])
 
-    return run
+
+def _level_table(frequent: DataFrame, parts: int) -> np.ndarray:
+    """The level of each slot, the highest of its shingles; other slots are rare."""
+    least, most = LEVEL_SLOTS
+    slots = min(most, max(least, 1 << (8 * frequent.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = _slot(b.column("short").to_numpy().astype(np.uint32), b.column("part").to_numpy().astype(np.uint32), slots)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), b.column("level")], ["slot", "level"])
+
+    found = frequent.mapInArrow(run, "slot int, level byte").groupBy("slot").agg(F.max("level").alias("level")).toArrow()
+    table = np.zeros(slots, np.int8)
+    table[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    return table
 
 
 def _slot(short: np.ndarray, part: np.ndarray, slots: int) -> np.ndarray:
@@ -108,15 +110,15 @@ def _slot(short: np.ndarray, part: np.ndarray, slots: int) -> np.ndarray:
 
 
 def _signatures(tokens: np.ndarray, level: np.ndarray, top: int, bottom: int) -> np.ndarray:
-    """The signatures of one document's prefix; bottom/top is the least similarity."""
+    """The signatures of one document's prefix, even ones of a rare shingle; bottom/top is the least similarity."""
     n = len(tokens)
     spare = n - -(-bottom * n // top)  # tokens that a linked document may lack
     if bottom * (n + 1) > top * n:
         return np.zeros(0, U)  # any other set is too far
     rare = tokens[level == 0]
     if len(rare) > spare:
-        return mix(rare[: spare + 1])
-    out = [mix(rare)]
+        return mix(rare[: spare + 1]) & ~U(1)
+    out = [mix(rare) & ~U(1)]
     often = np.flatnonzero(level)
     often = tokens[often[np.lexsort((tokens[often], level[often]))]]
     need = spare + 1 - len(rare)
@@ -137,24 +139,30 @@ def _signatures(tokens: np.ndarray, level: np.ndarray, top: int, bottom: int) ->
             if b - a > 1:
                 own = np.sort(often[order[a:b]])
                 i, j = np.triu_indices(b - a, 1)
-                out.append(mix(own[i] * U(0x9E3779B97F4A7C15) + own[j] + U(scale)))
+                out.append(mix(own[i] * U(0x9E3779B97F4A7C15) + own[j] + U(scale)) | U(1))
     return np.concatenate(out)
 
 
-def _sign(width: int, parts: int, table, top: int, bottom: int) -> Callable:
-    """Blocks of (signature, set key) for the partitions, and a row for each document."""
+DOCUMENT = "doc_id long, key long, second long, n int, rare int"
+
+
+def _sign(width: int, parts: int, table, top: int, bottom: int, seed: int) -> Callable:
+    """Blocks of (signature, set key) for the pieces, and a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = table.value
+        names = ["piece", "block", "doc_id", "key", "second", "n", "rare"]
+        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         sigs, keys, n, turn = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            s, k = np.concatenate(sigs), np.concatenate(keys)
-            b = _blocks(s, k, parts)
-            none = pa.nulls(b.num_rows)
+            pairs = np.stack((np.concatenate(sigs), np.concatenate(keys)), 1)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))]  # copies of a text sign once
+            b = _blocks(pairs, mix(pairs[:, 0]), parts)
             sigs.clear()
             keys.clear()
-            return pa.RecordBatch.from_arrays([*b.columns, *(none.cast(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.float32()))], ["part", "block", "doc_id", "key", "n", "rare"])
+            return pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, t) for t in types[2:])], names)
 
         for batch in batches:
             data, at = buffers(batch.column("text"))
@@ -167,8 +175,8 @@ def _sign(width: int, parts: int, table, top: int, bottom: int) -> Callable:
                 for tokens in sets:
                     own = level[a : a + len(tokens)]
                     a += len(tokens)
-                    key = set_key(tokens)
-                    rows.append((key.astype(np.int64), len(tokens), float((own == 0).mean()) if len(tokens) else 0.0))
+                    key = set_key(tokens, seed)
+                    rows.append((int(key.astype(np.int64)), int(set_key(tokens, seed + 1).astype(np.int64)), len(tokens), int((own == 0).sum())))
                     s = _signatures(tokens, own, top, bottom)
                     if len(s):
                         sigs.append(s)
@@ -178,70 +186,77 @@ def _sign(width: int, parts: int, table, top: int, bottom: int) -> Callable:
                     yield flush()
                     n = 0
             m = len(rows)
-            to = (np.arange(turn, turn + m) % parts).astype(np.int32)
+            to = np.arange(turn, turn + m) % (parts * PIECES)
             turn += m
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to), pa.nulls(m, pa.binary()), batch.column("doc_id").cast(pa.int64()), pa.array(np.array([r[0] for r in rows], np.int64)), pa.array(np.array([r[1] for r in rows], np.int32)), pa.array(np.array([r[2] for r in rows], np.float32))],
-                ["part", "block", "doc_id", "key", "n", "rare"],
-            )
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types[3:])]
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(m, pa.binary()), batch.column("doc_id").cast(pa.int64()), *columns], names)
         if n:
             yield flush()
 
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of the groups of equal signatures, each different group once; document rows pass."""
-    names = ["doc_id", "key", "n", "rare", "group"]
-    sigs, keys = [], []
-    for batch in batches:
-        block = batch.column("block")
-        docs = batch.filter(block.is_null())
-        if docs.num_rows:
-            yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in names[:4]), pa.nulls(docs.num_rows, pa.int64())], names)
-        for x in block.drop_null():
-            x = np.frombuffer(x.as_buffer(), U)
-            sigs.append(x[: len(x) // 2].copy())
-            keys.append(x[len(x) // 2 :].copy())
-    if not sigs:
-        return
-    s, k = np.concatenate(sigs), np.concatenate(keys)
-    sigs.clear()
-    keys.clear()
-    order = np.argsort(s, kind="stable")
-    s, k = s[order], k[order]
-    new = np.concatenate(([True], s[1:] != s[:-1]))
-    more = ~(new & np.append(new[1:], True))  # a signature of one row has no partner
-    s, k = s[more], k[more]
-    order = np.lexsort((k, s))
-    s, k = s[order], k[order]
-    if not len(s):
-        return
-    keep = np.concatenate(([True], (s[1:] != s[:-1]) | (k[1:] != k[:-1])))
-    s, k = s[keep], k[keep]
-    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    n = np.diff(np.append(at, len(s)))
-    group = mix(np.add.reduceat(mix(k + U(1)), at) + n.astype(U))
-    group, first = np.unique(group, return_index=True)
-    at, n = at[first], n[first]
-    group, at, n = group[n > 1], at[n > 1], n[n > 1]
-    rows = np.repeat(at - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    for a in range(0, len(rows), 1 << 16):
-        part = rows[a : a + (1 << 16)]
-        none = pa.nulls(len(part))
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), pa.array(k[part].astype(np.int64)), none.cast(pa.int32()), none.cast(pa.float32()), pa.array(np.repeat(group, n)[a : a + (1 << 16)].astype(np.int64))], names)
-
-
-def _sets(width: int, table) -> Callable:
-    """(key, set) of the documents whose key is in the bitmap, each key once a task."""
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, key) of the signatures that several sets have, some of them more than once; document rows pass.
+
+    A piece is read in parts of bounded size. What is kept of one is a row for each signature, however many sets have it.
+    """
+    names = ["doc_id", "key", "second", "n", "rare", "sig"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+
+    def many(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows to give out, rows to keep) of x: signature, key, 1 if the row is out already."""
+        x = x[np.lexsort((U(1) - x[:, 2], x[:, 1], x[:, 0]))]
+        x = x[np.concatenate(([True], (x[1:, :2] != x[:-1, :2]).any(1)))]
+        at = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0])))
+        n = np.diff(np.append(at, len(x)))
+        out = x[np.repeat(n > 1, n) & (x[:, 2] == 0)]
+        x = x[at]
+        x[n > 1, 2] = 1
+        return out, x
+
+    def found(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(x), 1 << 16):
+            p = x[a : a + (1 << 16)].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(p), types[0]), pa.array(p[:, 1]), *(pa.nulls(len(p), t) for t in types[2:5]), pa.array(p[:, 0])], names)
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            docs = batch.filter(batch.column("block").is_null())
+            yield docs
+            yield batch.filter(batch.column("block").is_valid())
+
+    kept, piece, held, n = np.zeros((0, 3), U), None, [], 0
+    for k, batch in enumerate(rows()):
+        if k % 2 == 0:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), pa.nulls(batch.num_rows, types[5])], names)
+            continue
+        for p, block in zip(batch.column("piece").to_pylist(), batch.column("block")):
+            if held and (p != piece or n >= _FLUSH):
+                out, kept = many(np.concatenate((kept, *held)))
+                yield from found(out)
+                held, n = [], 0
+            if p != piece:
+                kept, piece = kept[:0], p
+            pairs = np.frombuffer(block.as_buffer(), U).reshape(-1, 2)
+            held.append(np.concatenate((pairs, np.zeros((len(pairs), 1), U)), 1))
+            n += len(pairs)
+    if held:
+        yield from found(many(np.concatenate((kept, *held)))[0])
+
+
+def _sets(width: int, table, seed: int) -> Callable:
+    """(key, set) of the documents whose key is in the bitmap, each key once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = table.value, set()
+        wanted = table.value
         for batch in batches:
             data, at = buffers(batch.column("text"))
+            seen = set()
             for lo, hi in slices(at):
                 sets = list(shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], width))
-                keys = np.array([set_key(x) for x in sets], U)
+                keys = np.array([set_key(x, seed) for x in sets], U)
                 out = {}
                 for i in np.flatnonzero(in_bitmap(wanted, keys) & (keys != 0)):
                     if keys[i] not in seen:
@@ -268,12 +283,12 @@ def _overlaps(top: int, bottom: int) -> Callable:
     return run
 
 
-def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(documents, classes) of the similarity join of docs (doc_id, text).
 
     documents: doc_id, key, n, one row for each row of docs; equal sets have equal keys. classes: key,
     label for each key that links with another one; equal labels are one component. Two sets link when
-    100 * intersection >= percent * union.
+    100 * intersection >= percent * union. Should two different sets have one key, all is done again with another seed.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -281,48 +296,70 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFram
     share = spark.sparkContext.broadcast
     texts = docs.select("doc_id", "text")
 
-    dealt = texts.select("text").mapInArrow(_counts(width, parts), "part int, block binary").repartitionById(parts, "part")
-    found = dealt.mapInArrow(_levels(parts, LEVEL_SLOTS), "slot int, level byte").groupBy("slot").agg(F.max("level").alias("level")).toArrow()
-    levels = np.zeros(LEVEL_SLOTS, np.int8)
-    levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
-
-    rows = "doc_id long, key long, n int, rare float"
-    signed = texts.mapInArrow(_sign(width, parts, share(levels), 100, percent), f"part int, block binary, {rows}").repartitionById(parts, "part")
-    signed = stored(signed.mapInArrow(_groups, f"{rows}, group long"), "signatures")
-    documents = signed.where("group is null").select("doc_id", "key", "n")
-    size = signed.where("group is null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("rare").alias("rare"))
-    member = stored(signed.where("group is not null").select("group", "key").distinct().join(size, "key"), "members")
-
-    near = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("a") != F.col("b"))
-    hub = member.groupBy("group").agg(F.min(F.struct("rare", "key", "n")).alias("h"))
-    star = member.join(hub, "group").select(F.least("key", "h.key").alias("a"), F.greatest("key", "h.key").alias("b"), "n", F.col("h.n").alias("m"))
-    star = stored(star.where(near).select("a", "b").distinct(), "star")
-    links = stored(_verified(texts, star, width, percent), "links")
-    label = components(links)
-
-    member = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_ = member.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group")
-    member = stored(member.join(open_, "group", "left_semi"), "open")
-    left = member.select("group", F.col("key").alias("a"), "n", F.col("label").alias("of_a"))
-    right = member.select("group", F.col("key").alias("b"), F.col("n").alias("m"), F.col("label").alias("of_b"))
-    cross = left.join(right, "group").where(near & (F.col("a") < F.col("b")) & (F.col("of_a") != F.col("of_b"))).select("a", "b").distinct()
-    cross = stored(cross.join(star, ["a", "b"], "left_anti"), "cross")
-    rest = _verified(texts, cross, width, percent) if not cross.isEmpty() else None
-    classes = label.toDF("key", "label")
-    if rest is not None:
-        rest = stored(rest, "links")
-        if not rest.isEmpty():
-            classes = components(links.union(rest)).toDF("key", "label")
-    return documents, classes
-
-
-def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    shingles = dealt(texts.select("text").mapInArrow(_counts(width, parts), "piece long, block binary"), parts, PIECES)
+    frequent = stored(shingles.mapInArrow(_levels, "short long, part int, level byte"), "frequent")
+    levels = _level_table(frequent, parts)
+
+    signed = dealt(texts.mapInArrow(_sign(width, parts, share(levels), 100, percent, seed), f"piece long, block binary, {DOCUMENT}"), parts, PIECES)
+    signed = stored(signed.mapInArrow(_repeated, f"{DOCUMENT}, sig long"), "signatures")
+    documents = signed.where("sig is null").select("doc_id", "key", "n")
+    size = signed.where("sig is null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.min("second").alias("lo"), F.max("second").alias("hi"))
+    size = stored(size, "sizes")
+    if not size.where("lo <> hi").isEmpty():
+        discard(frequent, signed, size)
+        return linked(docs, width, percent, seed + 2)
+
+    flat = signed.where("sig is not null").select("sig", "key").distinct()
+    flat = stored(flat.join(size.select("key", "n", "rare"), "key"), "signed")
+    group = flat.groupBy("sig").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "key", "n", "rare")).alias("h"))
+    group = group.groupBy("many", "x", "lo", "hi").agg(F.min("sig").alias("sig"), F.min(F.expr("sig & 1")).alias("often"), F.first("h").alias("h"))
+    members = stored(flat.join(group.select("sig", "often", "h"), "sig").select("sig", "often", "key", "n", "rare", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.rare").alias("hub_rare"), "h.share"), "members")
+
+    def near(n: str, m: str, rare: str, other: str) -> Column:
+        """Whether sets of these sizes can link; in a group of frequent shingles each has these alone in common with the other."""
+        same = F.least(F.col(n) - F.col("often") * F.col(rare), F.col(m) - F.col("often") * F.col(other))
+        return (100 + percent) * same >= percent * (F.col(n) + F.col(m))
+
+    pair = F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")
+    star = members.where(near("n", "hub_n", "rare", "hub_rare") & (F.col("key") != F.col("hub"))).select("sig", "key", "hub", "share")
+    wanted = share(bitmap(flat.select("key"), bits_for(size.count())))
+    sets = texts.select("text").mapInArrow(_sets(width, wanted, seed), "key long, tokens binary").dropDuplicates(["key"])
+    sets = stored(sets.join(flat.select("key").distinct(), "key", "left_semi"), "sets")
+    links, tested, label = [], [], None
+
+    def of(df: DataFrame, key: str, name: str) -> DataFrame:
+        """df with the component of its key so far."""
+        if label is None:
+            return df.withColumn(name, F.col(key))
+        return df.join(label.select(F.col("node").alias(key), "label"), key, "left").withColumn(name, F.coalesce("label", key)).drop("label")
+
+    def tell(pairs: DataFrame) -> None:
+        nonlocal label
+        for done in tested:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        tested.append(stored(pairs, "pairs"))
+        links.append(stored(_verified(sets, tested[-1], percent), "links"))
+        if label is None or not links[-1].isEmpty():
+            label = components(functools.reduce(DataFrame.union, links))
+
+    tell(star.groupBy("key").agg(F.min(F.struct("share", "hub")).alias("h")).select("key", "h.hub").select(*pair).distinct())
+    tell(of(of(star.select("key", "hub").distinct(), "key", "x"), "hub", "y").where("x <> y").select(*pair).distinct())
+
+    member = of(members.select("sig", "often", "key", "n", "rare"), "key", "x")
+    apart = member.groupBy("sig").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("sig")
+    band = lambda n: F.floor(F.log(F.col(n)) / (np.log(100 / percent) * (1 + 1e-9))).cast("int")  # noqa: E731, sizes that can link are in one band or in neighbours
+    near_by = stored(member.join(apart, "sig", "left_semi").withColumn("band", band("n")), "apart")
+    left = near_by.select("sig", "often", F.col("key").alias("a"), "n", "rare", "x", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    right = near_by.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("rare").alias("rare_b"), F.col("x").alias("y"), F.col("band"))
+    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
+    cross = left.join(right, ["sig", "band"]).where(ordered & (F.col("x") != F.col("y")) & near("n", "m", "rare", "rare_b"))
+    tell(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    discard(frequent, size, flat, sets, members, near_by, *tested, *links)
+    return documents, label.toDF("key", "label")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets are similar enough."""
-    share = texts.sparkSession.sparkContext.broadcast
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    table = bitmap(ends)
-    sets = texts.select("text").mapInArrow(_sets(width, share(table)), "key long, tokens binary").dropDuplicates(["key"])
-    sets = stored(sets.join(ends.distinct(), "key", "left_semi"), "sets")
     x = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return x.select("a", "b", "x", "y").mapInArrow(_overlaps(100, percent), "a long, b long")
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
+import operator
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
+    """The folder that driver and executors share; in local mode a temporary one where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='plumbline-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -25,7 +31,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(blocks: DataFrame, parts: int, pieces: int) -> DataFrame:
+    """Packed blocks in the partition of their `piece` (partition * pieces + piece), sorted by it: Spark sorts and spills."""
+    return blocks.repartitionById(parts, F.expr(f"int(piece div {pieces})")).sortWithinPartitions("piece")
+
+
+def by_piece(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(piece, the values of columns in its rows) of batches that dealt() sorted: a task need not hold its whole partition."""
+    rows = (x for b in batches for x in zip(b.column("piece").to_pylist(), *(b.column(c) for c in columns)))
+    for piece, found in itertools.groupby(rows, key=operator.itemgetter(0)):
+        yield piece, (r[1:] for r in found)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -55,7 +82,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct("hi", F.col("m").alias("lo")))).alias("x")).select("x.hi", "x.lo").where("hi <> lo").distinct()
-        e = stored(small, "edges")
+        e, last = stored(small, "edges"), e
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -66,10 +94,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return label.union(e.select("lo", "lo").distinct()).toDF("node", "label").groupBy("node").agg(F.min("label").alias("label"))
 
 
+def bits_for(rows: int, most: int = 1 << 31) -> int:
+    """Bits of a bitmap of so many keys, of which few others pass; of at most 256 MB, however many they are."""
+    return min(most, max(1 << 23, 1 << (16 * rows).bit_length()))
+
+
 def bitmap(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """A fixed-size bit array with one bit for every long in keys' column `key` set.
+    """A bit array with one bit for every long in keys' column `key` set.
 
-    It takes bits/8 bytes whatever the input holds; a fuller one lets more through, never less.
+    It takes bits/8 bytes; a fuller one lets more through, never less.
     """
     slot = F.pmod(F.col("key").bitwiseAND(F.lit((1 << 62) - 1)), F.lit(bits))
     words = keys.select(slot.alias("s")).groupBy(F.floor(F.col("s") / 32).alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(s % 32)))").alias("v"))
