@@ -196,20 +196,32 @@ def _sign(width: int, parts: int, table, top: int, bottom: int, seed: int) -> Ca
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, key) of the signatures that several sets have, some of them more than once; document rows pass.
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, key) of the groups of sets with a common signature; document rows pass.
 
-    A piece is read in parts of bounded size. What is kept of one is a row for each signature, however many sets have it.
+    Groups of the same sets get the same id, a hash of them with the signature's last bit, and come once a partition. A piece of
+    more than _FLUSH rows is read in parts: what is kept of one is a row for each signature, however many sets have it,
+    and the signature is the group's id.
     """
     names = ["doc_id", "key", "second", "n", "rare", "sig"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    seen: set[int] = set()
 
-    def many(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def many(x: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
         """(rows to give out, rows to keep) of x: signature, key, 1 if the row is out already."""
         x = x[np.lexsort((U(1) - x[:, 2], x[:, 1], x[:, 0]))]
         x = x[np.concatenate(([True], (x[1:, :2] != x[:-1, :2]).any(1)))]
         at = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0])))
         n = np.diff(np.append(at, len(x)))
+        if whole:
+            group = (mix(np.add.reduceat(mix(x[:, 1] + U(1)), at) + n.astype(U)) & ~U(1)) | (x[at, 0] & U(1))
+            new = np.zeros(len(at), bool)
+            for k in np.flatnonzero(n > 1).tolist():
+                g = int(group[k])
+                new[k] = g not in seen
+                seen.add(g)
+            x[:, 0] = np.repeat(group, n)
+            return x[np.repeat(new, n)], x[:0]
         out = x[np.repeat(n > 1, n) & (x[:, 2] == 0)]
         x = x[at]
         x[n > 1, 2] = 1
@@ -220,30 +232,24 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = x[a : a + (1 << 16)].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.nulls(len(p), types[0]), pa.array(p[:, 1]), *(pa.nulls(len(p), t) for t in types[2:5]), pa.array(p[:, 0])], names)
 
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            docs = batch.filter(batch.column("block").is_null())
-            yield docs
-            yield batch.filter(batch.column("block").is_valid())
-
-    kept, piece, held, n = np.zeros((0, 3), U), None, [], 0
-    for k, batch in enumerate(rows()):
-        if k % 2 == 0:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:5]), pa.nulls(batch.num_rows, types[5])], names)
-            continue
-        for p, block in zip(batch.column("piece").to_pylist(), batch.column("block")):
+    kept, piece, held, n, parts = np.zeros((0, 3), U), None, [], 0, 0
+    for batch in batches:
+        docs = batch.filter(batch.column("block").is_null())
+        if docs.num_rows:
+            yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in names[:5]), pa.nulls(docs.num_rows, types[5])], names)
+        blocks = batch.filter(batch.column("block").is_valid())
+        for p, block in zip(blocks.column("piece").to_pylist(), blocks.column("block")):
             if held and (p != piece or n >= _FLUSH):
-                out, kept = many(np.concatenate((kept, *held)))
+                out, kept = many(np.concatenate((kept, *held)), p != piece and not parts)
                 yield from found(out)
-                held, n = [], 0
+                held, n, parts = [], 0, parts + 1
             if p != piece:
-                kept, piece = kept[:0], p
+                kept, piece, parts = kept[:0], p, 0
             pairs = np.frombuffer(block.as_buffer(), U).reshape(-1, 2)
             held.append(np.concatenate((pairs, np.zeros((len(pairs), 1), U)), 1))
             n += len(pairs)
     if held:
-        yield from found(many(np.concatenate((kept, *held)))[0])
+        yield from found(many(np.concatenate((kept, *held)), not parts)[0])
 
 
 def _sets(width: int, table, seed: int) -> Callable:
@@ -301,7 +307,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) ->
     levels = _level_table(frequent, parts)
 
     signed = dealt(texts.mapInArrow(_sign(width, parts, share(levels), 100, percent, seed), f"piece long, block binary, {DOCUMENT}"), parts, PIECES)
-    signed = stored(signed.mapInArrow(_repeated, f"{DOCUMENT}, sig long"), "signatures")
+    signed = stored(signed.mapInArrow(_groups, f"{DOCUMENT}, sig long"), "signatures")
     documents = signed.where("sig is null").select("doc_id", "key", "n")
     size = signed.where("sig is null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.min("second").alias("lo"), F.max("second").alias("hi"))
     size = stored(size, "sizes")
@@ -310,10 +316,9 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) ->
         return linked(docs, width, percent, seed + 2)
 
     flat = signed.where("sig is not null").select("sig", "key").distinct()
-    flat = stored(flat.join(size.select("key", "n", "rare"), "key"), "signed")
-    group = flat.groupBy("sig").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "key", "n", "rare")).alias("h"))
-    group = group.groupBy("many", "x", "lo", "hi").agg(F.min("sig").alias("sig"), F.min(F.expr("sig & 1")).alias("often"), F.first("h").alias("h"))
-    members = stored(flat.join(group.select("sig", "often", "h"), "sig").select("sig", "often", "key", "n", "rare", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.rare").alias("hub_rare"), "h.share"), "members")
+    member = stored(flat.join(size.select("key", "n", "rare"), "key").withColumn("often", F.expr("sig & 1")), "members")
+    hub = member.groupBy("sig").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "key", "n", "rare")).alias("h"))
+    star = member.join(hub, "sig").select("often", "key", "n", "rare", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.rare").alias("hub_rare"), "h.share")
 
     def near(n: str, m: str, rare: str, other: str) -> Column:
         """Whether sets of these sizes can link; in a group of frequent shingles each has these alone in common with the other."""
@@ -321,10 +326,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) ->
         return (100 + percent) * same >= percent * (F.col(n) + F.col(m))
 
     pair = F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")
-    star = members.where(near("n", "hub_n", "rare", "hub_rare") & (F.col("key") != F.col("hub"))).select("sig", "key", "hub", "share")
-    wanted = share(bitmap(flat.select("key"), bits_for(size.count())))
-    sets = texts.select("text").mapInArrow(_sets(width, wanted, seed), "key long, tokens binary").dropDuplicates(["key"])
-    sets = stored(sets.join(flat.select("key").distinct(), "key", "left_semi"), "sets")
+    star = stored(star.where(near("n", "hub_n", "rare", "hub_rare") & (F.col("key") != F.col("hub"))).select("key", "hub", "share").distinct(), "stars")
     links, tested, label = [], [], None
 
     def of(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -334,34 +336,43 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) ->
         return df.join(label.select(F.col("node").alias(key), "label"), key, "left").withColumn(name, F.coalesce("label", key)).drop("label")
 
     def tell(pairs: DataFrame) -> None:
+        """Test pairs that were not tested yet and join the components of those that link."""
         nonlocal label
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         tested.append(stored(pairs, "pairs"))
-        links.append(stored(_verified(sets, tested[-1], percent), "links"))
+        if label is not None and tested[-1].isEmpty():
+            return
+        links.append(_verified(texts, tested[-1], width, percent, seed))
         if label is None or not links[-1].isEmpty():
             label = components(functools.reduce(DataFrame.union, links))
 
     tell(star.groupBy("key").agg(F.min(F.struct("share", "hub")).alias("h")).select("key", "h.hub").select(*pair).distinct())
-    tell(of(of(star.select("key", "hub").distinct(), "key", "x"), "hub", "y").where("x <> y").select(*pair).distinct())
+    tell(of(of(star.select("key", "hub"), "key", "x"), "hub", "y").where("x <> y").select(*pair).distinct())
 
-    member = of(members.select("sig", "often", "key", "n", "rare"), "key", "x")
-    apart = member.groupBy("sig").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("sig")
+    member_of = of(member, "key", "x")
+    apart = member_of.groupBy("sig").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("sig")
     band = lambda n: F.floor(F.log(F.col(n)) / (np.log(100 / percent) * (1 + 1e-9))).cast("int")  # noqa: E731, sizes that can link are in one band or in neighbours
-    near_by = stored(member.join(apart, "sig", "left_semi").withColumn("band", band("n")), "apart")
+    near_by = stored(member_of.join(apart, "sig", "left_semi").withColumn("band", band("n")), "apart")
     left = near_by.select("sig", "often", F.col("key").alias("a"), "n", "rare", "x", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     right = near_by.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("rare").alias("rare_b"), F.col("x").alias("y"), F.col("band"))
     ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
     cross = left.join(right, ["sig", "band"]).where(ordered & (F.col("x") != F.col("y")) & near("n", "m", "rare", "rare_b"))
     tell(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    discard(frequent, size, flat, sets, members, near_by, *tested, *links)
+    discard(frequent, size, member, star, near_by, *tested, *links)
     return documents, label.toDF("key", "label")
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar enough."""
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
+    """The pairs (a, b) of keys whose sets are similar enough, written down."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    table = texts.sparkSession.sparkContext.broadcast(bitmap(ends, bits_for(2 * pairs.count())))
+    sets = texts.select("text").mapInArrow(_sets(width, table, seed), "key long, tokens binary").dropDuplicates(["key"])
+    sets = stored(sets.join(ends, "key", "left_semi"), "sets")
     x = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return x.select("a", "b", "x", "y").mapInArrow(_overlaps(100, percent), "a long, b long")
+    links = stored(x.select("a", "b", "x", "y").mapInArrow(_overlaps(100, percent), "a long, b long"), "links")
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
