@@ -1,16 +1,17 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-Documents are sets of word shingles. Shingles get a frequency level from their document counts;
+Documents are sets of word shingles. Shingles get a frequency level from how many different sets have them;
 in a document they are ordered by (level, hash). Of two linked documents, each one's prefix keeps
 at least one common signature: rare shingles (level 0) sign alone, frequent ones only in pairs
 of the same subclass, for which the prefix is extended. Signatures are dealt in packed blocks,
 groups of equal signatures give candidates, and exact set overlaps decide.
 
 Links are found without listing all pairs of a group: each document is first compared with one hub, the best of
-its groups; then with the hubs of those groups alone that are not yet of its component; then members of a group
-that are still of different components, within the sizes that a link allows. Two documents that share no rare shingle (else
-they meet in its group) have at most the frequent ones of each in common, which rules out most of these. The components
-are those of all links.
+its groups; then with the hubs of those groups alone that are not yet of its component; then the members of a group that
+are not of its hub's component with those of others, within the sizes that a link allows. A pair is given out only if its
+sets can be alike: two documents that share no rare shingle (else they meet in its group) have at most the frequent ones of each
+in common, and the parity sketches of two sets (SKETCH bits, each the parity of the shingles that fall on it) differ in no more
+bits than the sets do in shingles. Exact overlaps decide about the rest. The components are those of all links.
 
 Nulls: null or blank text has no shingles and links with nothing. Rows with a null or repeated doc_id are
 kept as they are; a component takes the smallest non-null doc_id of its rows. Other columns are ignored.
@@ -27,25 +28,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import U, buffers, mix, shingle_sets, slices
-from plumbline.llm.shared import bitmap, bits_for, by_piece, components, dealt, discard, in_bitmap, partitions, small_batches, stored
+from plumbline.llm.shared import PIECES, bitmap, bits_for, by_piece, components, dealt, discard, in_bitmap, packed, partitions, small_batches, stored
 
-#: From this document count on, a shingle is frequent; its level is the count's logarithm.
+#: From this count of different sets on, a shingle is frequent; its level is the count's logarithm.
 FREQUENT = 8
-#: Least and most slots of the level table, which has 8 for each frequent shingle: one byte each. A shared slot only raises a level.
+#: Least and most slots of the level table, which has 16 for each frequent shingle: one byte each. A shared slot only raises a level.
 LEVEL_SLOTS = 1 << 22, 1 << 28
-PIECES = 16  # parts of a partition, of which a task holds one at a time
+SKETCH = 512  # bits of a set's parity sketch
 _FLUSH = 1 << 20  # signatures or shingles that a task holds before it deals them out
 
 
-def _blocks(values: np.ndarray, where: np.ndarray, parts: int) -> pa.RecordBatch:
-    """values packed into one binary row for each piece of a partition that the hashes `where` put them in."""
-    to = (where % U(parts)).astype(np.int64) * PIECES + ((where >> U(32)) % U(PIECES)).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    to, values = to[order], values[order]
-    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
-    return pa.RecordBatch.from_arrays([pa.array(to[cuts[:-1]]), pa.array([values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], ["piece", "block"])
-
-
 def set_key(tokens: np.ndarray, seed: int = 0) -> np.uint64:
     """A hash of a whole set; equal sets have equal keys."""
     if not len(tokens):
@@ -55,32 +47,43 @@ def set_key(tokens: np.ndarray, seed: int = 0) -> np.uint64:
 
 
 def _counts(width: int, parts: int) -> Callable:
+    """The shingles of each set beside 16 bits of its key, so that copies of a set count once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, own, n = [], [], 0
         for batch in batches:
             data, at = buffers(batch.column("text"))
             for lo, hi in slices(at):
-                held += list(shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], width))
-                n += sum(map(len, held[lo - hi :]))
+                for tokens in shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], width):
+                    held.append(tokens)
+                    own.append(np.full(len(tokens), set_key(tokens) >> U(48), np.uint16))
+                    n += len(tokens)
                 if n >= _FLUSH:
-                    yield _dealt(held, parts)
-                    held, n = [], 0
+                    yield _dealt(held, own, parts)
+                    held, own, n = [], [], 0
         if n:
-            yield _dealt(held, parts)
+            yield _dealt(held, own, parts)
 
     return run
 
 
-def _dealt(held: list[np.ndarray], parts: int) -> pa.RecordBatch:
+_SHORT = np.dtype([("short", "<u4"), ("own", "<u2")])
+
+
+def _dealt(held: list[np.ndarray], own: list[np.ndarray], parts: int) -> pa.RecordBatch:
     """Shingles as the upper 32 bits beside their partition: enough for a count that only orders them."""
     tokens = np.concatenate(held)
-    return _blocks((tokens >> U(32)).astype(np.uint32), tokens, parts)
+    x = np.empty(len(tokens), _SHORT)
+    x["short"], x["own"] = tokens >> U(32), np.concatenate(own)
+    return packed(x, tokens, parts)
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the shingles of a partition: the level of each frequent one."""
+    """In how many sets the shingles of a partition are: the level of each frequent one."""
     for piece, blocks in by_piece(batches, "block"):
-        x = np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint32) for (b,) in blocks]))
+        x = np.concatenate([np.frombuffer(b.as_buffer(), _SHORT) for (b,) in blocks])
+        x = np.sort((x["short"].astype(U) << U(16)) | x["own"])
+        x = x[np.concatenate(([True], x[1:] != x[:-1]))] >> U(16)
         at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
         n = np.diff(np.append(at, len(x)))
         at, n = at[n >= FREQUENT], n[n >= FREQUENT]
@@ -92,7 +95,7 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _level_table(frequent: DataFrame, parts: int) -> np.ndarray:
     """The level of each slot, the highest of its shingles; other slots are rare."""
     least, most = LEVEL_SLOTS
-    slots = min(most, max(least, 1 << (8 * frequent.count()).bit_length()))
+    slots = min(most, max(least, 1 << (16 * frequent.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +146,14 @@ def _signatures(tokens: np.ndarray, level: np.ndarray, top: int, bottom: int) ->
     return np.concatenate(out)
 
 
-DOCUMENT = "doc_id long, key long, second long, n int, rare int"
+_LONGS = [f"s{k}" for k in range(SKETCH // 64)]
+DOCUMENT = f"doc_id long, key long, second long, n int, rare int, {', '.join(f'{c} long' for c in _LONGS)}"
+_DOCUMENT = {"doc_id": pa.int64(), "key": pa.int64(), "second": pa.int64(), "n": pa.int32(), "rare": pa.int32(), **{c: pa.int64() for c in _LONGS}}
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """SKETCH bits as longs: a set's shingles fall on the bits by their hash, each bit is the parity of how many did."""
+    return np.packbits((np.bincount((tokens >> U(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1).astype(bool)).view(np.int64)
 
 
 def _sign(width: int, parts: int, table, top: int, bottom: int, seed: int) -> Callable:
@@ -151,18 +161,17 @@ def _sign(width: int, parts: int, table, top: int, bottom: int, seed: int) -> Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = table.value
-        names = ["piece", "block", "doc_id", "key", "second", "n", "rare"]
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        names = ["piece", "block", *_DOCUMENT]
         sigs, keys, n, turn = [], [], 0, 0
 
         def flush() -> pa.RecordBatch:
             pairs = np.stack((np.concatenate(sigs), np.concatenate(keys)), 1)
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             pairs = pairs[np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(1)))]  # copies of a text sign once
-            b = _blocks(pairs, mix(pairs[:, 0]), parts)
+            b = packed(pairs, mix(pairs[:, 0]), parts)
             sigs.clear()
             keys.clear()
-            return pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, t) for t in types[2:])], names)
+            return pa.RecordBatch.from_arrays([*b.columns, *(pa.nulls(b.num_rows, t) for t in _DOCUMENT.values())], names)
 
         for batch in batches:
             data, at = buffers(batch.column("text"))
@@ -176,7 +185,7 @@ def _sign(width: int, parts: int, table, top: int, bottom: int, seed: int) -> Ca
                     own = level[a : a + len(tokens)]
                     a += len(tokens)
                     key = set_key(tokens, seed)
-                    rows.append((int(key.astype(np.int64)), int(set_key(tokens, seed + 1).astype(np.int64)), len(tokens), int((own == 0).sum())))
+                    rows.append((int(key.astype(np.int64)), int(set_key(tokens, seed + 1).astype(np.int64)), len(tokens), int((own == 0).sum()), *sketch(tokens).tolist()))
                     s = _signatures(tokens, own, top, bottom)
                     if len(s):
                         sigs.append(s)
@@ -188,7 +197,7 @@ def _sign(width: int, parts: int, table, top: int, bottom: int, seed: int) -> Ca
             m = len(rows)
             to = np.arange(turn, turn + m) % (parts * PIECES)
             turn += m
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(types[3:])]
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(list(_DOCUMENT.values())[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(to), pa.nulls(m, pa.binary()), batch.column("doc_id").cast(pa.int64()), *columns], names)
         if n:
             yield flush()
@@ -203,8 +212,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more than _FLUSH rows is read in parts: what is kept of one is a row for each signature, however many sets have it,
     and the signature is the group's id.
     """
-    names = ["doc_id", "key", "second", "n", "rare", "sig"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    names = [*_DOCUMENT, "sig"]
     seen: set[int] = set()
 
     def many(x: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -230,13 +238,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def found(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         for a in range(0, len(x), 1 << 16):
             p = x[a : a + (1 << 16)].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(p), types[0]), pa.array(p[:, 1]), *(pa.nulls(len(p), t) for t in types[2:5]), pa.array(p[:, 0])], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array(p[:, 1]) if c == "key" else pa.nulls(len(p), t) for c, t in _DOCUMENT.items()), pa.array(p[:, 0])], names)
 
     kept, piece, held, n, parts = np.zeros((0, 3), U), None, [], 0, 0
     for batch in batches:
         docs = batch.filter(batch.column("block").is_null())
         if docs.num_rows:
-            yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in names[:5]), pa.nulls(docs.num_rows, types[5])], names)
+            yield pa.RecordBatch.from_arrays([*(docs.column(c) for c in _DOCUMENT), pa.nulls(docs.num_rows, pa.int64())], names)
         blocks = batch.filter(batch.column("block").is_valid())
         for p, block in zip(blocks.column("piece").to_pylist(), blocks.column("block")):
             if held and (p != piece or n >= _FLUSH):
@@ -302,31 +310,35 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) ->
     share = spark.sparkContext.broadcast
     texts = docs.select("doc_id", "text")
 
-    shingles = dealt(texts.select("text").mapInArrow(_counts(width, parts), "piece long, block binary"), parts, PIECES)
+    shingles = dealt(texts.select("text").mapInArrow(_counts(width, parts), "piece long, block binary"), parts)
     frequent = stored(shingles.mapInArrow(_levels, "short long, part int, level byte"), "frequent")
     levels = _level_table(frequent, parts)
 
-    signed = dealt(texts.mapInArrow(_sign(width, parts, share(levels), 100, percent, seed), f"piece long, block binary, {DOCUMENT}"), parts, PIECES)
+    signed = dealt(texts.mapInArrow(_sign(width, parts, share(levels), 100, percent, seed), f"piece long, block binary, {DOCUMENT}"), parts)
     signed = stored(signed.mapInArrow(_groups, f"{DOCUMENT}, sig long"), "signatures")
     documents = signed.where("sig is null").select("doc_id", "key", "n")
-    size = signed.where("sig is null and n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("rare").alias("rare"), F.min("second").alias("lo"), F.max("second").alias("hi"))
+    own = ["n", "rare", *_LONGS]
+    size = signed.where("sig is null and n > 0").groupBy("key").agg(*[F.first(c).alias(c) for c in own], F.min("second").alias("lo"), F.max("second").alias("hi"))
     size = stored(size, "sizes")
     if not size.where("lo <> hi").isEmpty():
         discard(frequent, signed, size)
         return linked(docs, width, percent, seed + 2)
 
     flat = signed.where("sig is not null").select("sig", "key").distinct()
-    member = stored(flat.join(size.select("key", "n", "rare"), "key").withColumn("often", F.expr("sig & 1")), "members")
-    hub = member.groupBy("sig").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), "key", "n", "rare")).alias("h"))
-    star = member.join(hub, "sig").select("often", "key", "n", "rare", F.col("h.key").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.rare").alias("hub_rare"), "h.share")
-
-    def near(n: str, m: str, rare: str, other: str) -> Column:
-        """Whether sets of these sizes can link; in a group of frequent shingles each has these alone in common with the other."""
-        same = F.least(F.col(n) - F.col("often") * F.col(rare), F.col(m) - F.col("often") * F.col(other))
-        return (100 + percent) * same >= percent * (F.col(n) + F.col(m))
+    member = stored(flat.join(size.drop("lo", "hi"), "key").withColumn("often", F.expr("sig & 1")), "members")
+    share_of = (F.col("rare") / F.col("n")).alias("share")
+    hub = member.groupBy("sig").agg(F.min(F.struct(share_of, "key", *own)).alias("h"))
+    star = member.join(hub, "sig").select("often", "key", *own, "h.share", F.col("h.key").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in own])
+
+    def near(other: str) -> Column:
+        """Whether a set can link with the one in the columns named other + ...: by sizes, rare shingles and sketches."""
+        n, m = F.col("n"), F.col(f"{other}n")
+        same = F.least(n - F.col("often") * F.col("rare"), m - F.col("often") * F.col(f"{other}rare"))
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(other + c))) for c in _LONGS[1:]), F.bit_count(F.col("s0").bitwiseXOR(F.col(f"{other}s0"))))
+        return ((100 + percent) * same >= percent * (n + m)) & ((100 + percent) * (n + m - apart) >= 2 * percent * (n + m))
 
     pair = F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")
-    star = stored(star.where(near("n", "hub_n", "rare", "hub_rare") & (F.col("key") != F.col("hub"))).select("key", "hub", "share").distinct(), "stars")
+    star = stored(star.where(near("hub_") & (F.col("key") != F.col("hub"))).select("key", "hub", "share").distinct(), "stars")
     links, tested, label = [], [], None
 
     def of(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -351,14 +363,13 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) ->
     tell(of(of(star.select("key", "hub"), "key", "x"), "hub", "y").where("x <> y").select(*pair).distinct())
 
     member_of = of(member, "key", "x")
-    apart = member_of.groupBy("sig").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("sig")
-    band = lambda n: F.floor(F.log(F.col(n)) / (np.log(100 / percent) * (1 + 1e-9))).cast("int")  # noqa: E731, sizes that can link are in one band or in neighbours
-    near_by = stored(member_of.join(apart, "sig", "left_semi").withColumn("band", band("n")), "apart")
-    left = near_by.select("sig", "often", F.col("key").alias("a"), "n", "rare", "x", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
-    right = near_by.select("sig", F.col("key").alias("b"), F.col("n").alias("m"), F.col("rare").alias("rare_b"), F.col("x").alias("y"), F.col("band"))
-    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))
-    cross = left.join(right, ["sig", "band"]).where(ordered & (F.col("x") != F.col("y")) & near("n", "m", "rare", "rare_b"))
-    tell(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    apart = member_of.groupBy("sig").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min(F.struct(share_of, "key", "x")).alias("h")).where("lo <> hi").select("sig", F.col("h.x").alias("main"))
+    band = F.floor(F.log("n") / (np.log(100 / percent) * (1 + 1e-9))).cast("int")  # sizes that can link are in one band or in neighbours
+    near_by = stored(member_of.join(apart, "sig").withColumn("band", band), "apart")
+    left = near_by.where("x <> main").select("sig", "often", "x", "key", *own, F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
+    right = near_by.select("sig", "band", F.col("x").alias("y"), F.col("key").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in own])
+    cross = left.join(right, ["sig", "band"]).where((F.col("x") != F.col("y")) & near("hub_"))
+    tell(cross.select(*pair).distinct())
     discard(frequent, size, member, star, near_by, *tested, *links)
     return documents, label.toDF("key", "label")
 

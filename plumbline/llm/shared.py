@@ -43,9 +43,27 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def dealt(blocks: DataFrame, parts: int, pieces: int) -> DataFrame:
-    """Packed blocks in the partition of their `piece` (partition * pieces + piece), sorted by it: Spark sorts and spills."""
-    return blocks.repartitionById(parts, F.expr(f"int(piece div {pieces})")).sortWithinPartitions("piece")
+PIECES = 16  # parts of a partition, of which a task holds one at a time
+
+
+def blocks(values: np.ndarray, where: np.ndarray, parts: int) -> tuple[pa.Array, list[np.ndarray]]:
+    """(piece, which values are in it) of the pieces of partitions that the hashes `where` put values in."""
+    to = (where % np.uint64(parts)).astype(np.int64) * PIECES + ((where >> np.uint64(32)) % np.uint64(PIECES)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True])))
+    return pa.array(to[cuts[:-1]]), [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def packed(values: np.ndarray, where: np.ndarray, parts: int) -> pa.RecordBatch:
+    """values packed into one binary row for each piece."""
+    piece, rows = blocks(values, where, parts)
+    return pa.RecordBatch.from_arrays([piece, pa.array([values[r].tobytes() for r in rows], pa.binary())], ["piece", "block"])
+
+
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Packed blocks in the partition of their `piece` (partition * PIECES + piece), sorted by it: Spark sorts and spills."""
+    return rows.repartitionById(parts, F.expr(f"int(piece div {PIECES})")).sortWithinPartitions("piece")
 
 
 def by_piece(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, Iterator[tuple]]]:

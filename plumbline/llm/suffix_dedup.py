@@ -2,15 +2,17 @@
 
 Equal strings of `size` bytes have the same minimizer (their k-gram of smallest hash), so they meet when the
 runs of windows with a common minimizer (at most 2 * size bytes each) are dealt by it. A first pass counts the
-texts of every minimizer and leaves a fixed-size bitmap of those in two texts or more; only their runs are
-dealt. A bucket leaves out windows whose hash is in one text only and, for minimizers with different runs left, builds
-their suffix array by Lyndon grouping, in slices of whole minimizers:
+texts of every minimizer and leaves a bitmap of those in two texts or more; only their runs are dealt. In a piece of a
+partition a run's string is kept once, with its smallest doc_id; it goes from all others, however many have it. Of the
+different strings of a minimizer, windows whose hash one document alone has are left out, and the suffix array of the rest
+is built by Lyndon grouping, in slices of whole minimizers:
 previous-smaller pointers give every suffix its Lyndon prefix, suffixes with equal ones form a group, groups get
 their slots in descending order, and one scan in ascending order puts each suffix of a group in place, without
 renaming. Neighbours in the array with `size` common bytes are one class; its smallest doc_id decides.
 
-Texts are UTF-8 bytes; null is empty. Whole copies are found by a 64-bit hash of the text: all but those of the
-smallest doc_id lose all bytes if there are `size` of them. A null doc_id is larger than all others; rows of one
+Texts are UTF-8 bytes; null is empty. Whole copies are found by 128 bits of the text's hash: all but those of the
+smallest doc_id lose all bytes if there are `size` of them. Elsewhere 64 bits of it stand for the text; should two texts share
+these, all is done again with another salt. A null doc_id is larger than all others; rows of one
 doc_id never cut each other. Texts under `size` bytes lose nothing. Empty tables give empty results. Other columns
 are ignored by spans() and kept by cut().
 """
@@ -28,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.hashing import _BYTE, U, buffers, mix, powers, slices
-from plumbline.llm.shared import bitmap, in_bitmap, partitions, small_batches, stored
+from plumbline.llm.shared import PIECES, bitmap, bits_for, blocks, by_piece, dealt, discard, in_bitmap, packed, partitions, small_batches, stored
 
 LEAST_GRAM = 16
-BITS = 1 << 27  # of the bitmap of repeated minimizers: 16 MB whatever the corpus holds
+BITS = 1 << 27, 1 << 31  # least and most of the bitmap of repeated minimizers, else one for 8 bytes of text; a full one lets more through
 _PIECE = 1 << 19  # window starts handled at once; places in a piece need 20 bits
 _PLACE = U((1 << 20) - 1)
 _FLUSH = 1 << 20
@@ -154,9 +156,10 @@ def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from slices(at, _PIECE)
 
 
-def text_keys(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row's bytes."""
-    return np.array([int.from_bytes(hashlib.blake2b(data[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(at[:-1].tolist(), at[1:].tolist())], U)
+def text_keys(data: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
+    """128 bits of a hash of each row's bytes, as two columns."""
+    raw = b"".join(hashlib.blake2b(data[a:b], digest_size=16, salt=salt.to_bytes(8, "little")).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+    return np.frombuffer(raw, U).reshape(-1, 2)
 
 
 def _slots(short: np.ndarray, part: np.ndarray | int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,40 +167,35 @@ def _slots(short: np.ndarray, part: np.ndarray | int, bits: int) -> tuple[np.nda
     return (x % U(bits)).astype(np.int64), ((x >> U(33)) * U(0x9E3779B1) % U(bits)).astype(np.int64)
 
 
-def _dealt(packed: list[np.ndarray], to: list[np.ndarray], parts: int) -> pa.RecordBatch:
-    x, p = np.concatenate(packed), np.concatenate(to)
-    order = np.argsort(p, kind="stable")
-    cuts = np.searchsorted(p[order], np.arange(parts + 1))
-    x = x[order]
-    keep = np.flatnonzero(np.diff(cuts))
-    return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([x[cuts[k] : cuts[k + 1]].tobytes() for k in keep], pa.binary())], ["part", "block"])
+_PAIR = np.dtype([("key", "<u4"), ("text", "<u4"), ("more", "<u2")])
 
 
-def _minimizers(size: int, parts: int) -> Callable:
-    """(minimizer, text) pairs, 32 bits each, dealt by minimizer."""
+def _minimizers(size: int, parts: int, salt: int) -> Callable:
+    """(minimizer, text) pairs, 32 and 48 bits, dealt by minimizer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, to, n = [], [], 0
+        held, keys, n = [], [], 0
         for batch in batches:
             data, at = buffers(batch.column("text"))
             for lo, hi in _pieces(data, at):
                 own, place = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                texts = text_keys(own, place) & U(0xFFFFFFFF)
+                texts = text_keys(own, place, salt)[:, 0]
                 for row, _, _, key in _runs(own, place, size):
-                    pair = ((key >> U(12)) << U(32)) | texts[row]
-                    part = (key % U(parts)).astype(np.int32)
-                    order = np.lexsort((part, pair))
-                    pair, part = pair[order], part[order]
-                    new = np.ones(len(pair), bool)
-                    new[1:] = (pair[1:] != pair[:-1]) | (part[1:] != part[:-1])
-                    packed.append(pair[new])
-                    to.append(part[new])
-                    n += int(new.sum())
+                    order = np.lexsort((row, key))
+                    key, row = key[order], row[order]
+                    new = np.ones(len(key), bool)
+                    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                    key, text = key[new], texts[row[new]]
+                    x = np.empty(len(key), _PAIR)
+                    x["key"], x["text"], x["more"] = key >> U(12), text & U(0xFFFFFFFF), text >> U(48)
+                    held.append(x)
+                    keys.append(key)
+                    n += len(key)
                 if n >= _FLUSH:
-                    yield _dealt(packed, to, parts)
-                    packed, to, n = [], [], 0
+                    yield packed(np.concatenate(held), np.concatenate(keys), parts)
+                    held, keys, n = [], [], 0
         if n:
-            yield _dealt(packed, to, parts)
+            yield packed(np.concatenate(held), np.concatenate(keys), parts)
 
     return run
 
@@ -206,22 +204,24 @@ def _repeated(bits: int) -> Callable:
     """Words of the bitmap of the minimizers that two texts or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = [], 0
-        for batch in batches:
-            for p, block in zip(batch.column("part").to_pylist(), batch.column("block")):
-                part = p
-                held.append(np.frombuffer(block.as_buffer(), U))
-        if not held:
-            return
-        x = np.unique(np.concatenate(held)) >> U(32)
-        held.clear()
-        x = np.unique(x[1:][x[1:] == x[:-1]])
-        slot = np.unique(np.concatenate(_slots(x, part, bits)))
-        word = slot >> 5
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
-        value = np.bitwise_or.reduceat(np.left_shift(1, slot & 31), first) if len(word) else word
-        for a in range(0, len(first), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(word[first[a : a + (1 << 16)]], pa.int64()), pa.array(value[a : a + (1 << 16)], pa.int64())], ["w", "v"])
+        for piece, rows in by_piece(batches, "block"):
+            x = np.concatenate([np.frombuffer(b.as_buffer(), _PAIR) for (b,) in rows])
+            pair = (x["key"].astype(U) << U(32)) | x["text"]
+            order = np.argsort(pair, kind="stable")
+            pair, more = pair[order], x["more"][order]
+            at = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            differ = np.minimum.reduceat(more, at) != np.maximum.reduceat(more, at)
+            key = pair[at] >> U(32)
+            of = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            many = (np.diff(np.append(of, len(key))) > 1) | np.logical_or.reduceat(differ, of)
+            slot = np.unique(np.concatenate(_slots(key[of][many], piece // PIECES, bits)))
+            if not len(slot):
+                continue
+            word = slot >> 5
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            value = np.bitwise_or.reduceat(np.left_shift(1, slot & 31), first)
+            for a in range(0, len(first), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(word[first[a : a + (1 << 16)]], pa.int64()), pa.array(value[a : a + (1 << 16)], pa.int64())], ["w", "v"])
 
     return run
 
@@ -230,8 +230,8 @@ def _test(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (table[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) > 0
 
 
-def _dealt_runs(size: int, parts: int, table) -> Callable:
-    """Runs of repeated minimizers, packed for their partition: heads (key, text, doc, place, length) and bytes."""
+def _dealt_runs(size: int, parts: int, table, salt: int) -> Callable:
+    """Runs of repeated minimizers, packed for their piece: heads (key, text, doc, place, length) and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
@@ -241,21 +241,18 @@ def _dealt_runs(size: int, parts: int, table) -> Callable:
 
         def flush() -> pa.RecordBatch:
             head = np.concatenate(heads)
-            part = (head[:, 0].astype(U) % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            keep = np.flatnonzero(np.diff(cuts))
-            rows = [(int(k), head[order[cuts[k] : cuts[k + 1]]].tobytes(), b"".join([bodies[i] for i in order[cuts[k] : cuts[k + 1]]])) for k in keep]
+            piece, rows = blocks(head, head[:, 0].astype(U), parts)
+            out = [(head[r].tobytes(), b"".join([bodies[i] for i in r.tolist()])) for r in rows]
             heads.clear()
             bodies.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "heads", "bytes"])
+            return pa.RecordBatch.from_arrays([piece, pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary())], ["piece", "heads", "bytes"])
 
         for batch in batches:
             data, at = buffers(batch.column("text"))
             docs = batch.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False)
             for lo, hi in _pieces(data, at):
                 own, place = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                texts = text_keys(own, place)
+                texts = text_keys(own, place, salt)[:, 0]
                 for row, first, last, key in _runs(own, place, size):
                     one, two = _slots(key >> U(12), key % U(parts), len(known) * 32)
                     hit = _test(known, one) & _test(known, two)
@@ -277,63 +274,82 @@ def _dealt_runs(size: int, parts: int, table) -> Callable:
 
 
 def _cuts(size: int) -> Callable:
-    """(text, first, end): byte ranges to cut from a text, found in one partition's runs."""
+    """(text, doc, first, end): byte ranges to cut from a document's text, found in one partition's runs."""
+    names = ["text", "doc", "first", "end"]
+
+    def batch(gone: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*gone)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, bodies = [], []
-        for batch in batches:
-            for head, body in zip(batch.column("heads"), batch.column("bytes")):
-                head = np.frombuffer(head.as_buffer(), np.int64).reshape(-1, 5)
-                body, a = body.as_py(), np.concatenate(([0], np.cumsum(head[:, 4]))).tolist()
-                heads.append(head.copy())
-                bodies += [body[i:j] for i, j in zip(a[:-1], a[1:])]
-        if not heads:
-            return
-        head = np.concatenate(heads)
-        heads.clear()
-        order = np.lexsort((head[:, 2], head[:, 3], head[:, 1], head[:, 0]))  # key, text, place; least doc first
-        head = head[order]
-        new = np.ones(len(head), bool)
-        new[1:] = (head[1:, :2] != head[:-1, :2]).any(1) | (head[1:, 3] != head[:-1, 3])
-        head, order = head[new], order[new]
-        cut = np.flatnonzero(np.concatenate(([True], head[1:, 0] != head[:-1, 0], [True])))
-        head, bodies = _shared(head, [bodies[i] for i in order.tolist()], size)
-        cut = np.flatnonzero(np.concatenate(([True], head[1:, 0] != head[:-1, 0], [True]))) if len(head) else ()
-        out: list[np.ndarray] = []
-        ids: dict[bytes, int] = {}
-        held: list[tuple[int, int]] = []
-        amount = 0
-        for a, b in zip(cut[:-1], cut[1:]):
-            if len(set(bodies[a:b])) == 1:  # one string: its windows differ, so that each is its own class and nothing needs an order
-                h = head[a:b][head[a:b, 2] > head[a:b, 2].min()]
-                out.append(np.stack((h[:, 1], h[:, 3], h[:, 3] + h[:, 4]), 1))
-                continue
-            for i in range(a, b):
-                s = bodies[i]
-                if s not in ids:
-                    ids[s] = len(ids)
-                    amount += len(s)
-                held.append((i, ids[s]))
-            if amount >= _ARRAY:
-                out += _decided(head, held, list(ids), size)
-                held, ids, amount = [], {}, 0
-        if held:
-            out += _decided(head, held, list(ids), size)
-        if out:
-            found = np.concatenate(out)
-            for a in range(0, len(found), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(found[a : a + (1 << 16), k]) for k in range(3)], ["text", "first", "end"])
+        for _, rows in by_piece(batches, "heads", "bytes"):
+            own: dict[tuple[int, bytes], tuple[int, set]] = {}  # a string: its smallest document and where that has it
+            gone: list[tuple] = []
+            for head, body in rows:
+                body, at = body.as_py(), 0
+                for key, text, doc, place, length in np.frombuffer(head.as_buffer(), np.int64).reshape(-1, 5).tolist():
+                    s = body[at : at + length]
+                    at += length
+                    least, where = own.get((key, s), (None, None))
+                    if least is None or doc < least:
+                        gone += [(t, least, p, p + length) for t, p in where or () if t != text]
+                        own[key, s] = doc, {(text, place)}
+                    elif doc == least:
+                        where.add((text, place))
+                    elif all(t != text for t, _ in where):  # whole copies go elsewhere
+                        gone.append((text, doc, place, place + length))
+                if len(gone) >= 1 << 16:
+                    yield batch(gone)
+                    gone = []
+            gone += [(t, doc, p + a, p + z) for doc, where, a, z in _least_cuts(own, size) for t, p in where]
+            for a in range(0, len(gone), 1 << 16):
+                yield batch(gone[a : a + (1 << 16)])
 
     return run
 
 
+def _least_cuts(own: dict[tuple[int, bytes], tuple[int, set]], size: int) -> Iterator[tuple[int, set, int, int]]:
+    """(doc, where, first, end): parts of the strings' own documents that another string of the minimizer has of a smaller document."""
+    items = sorted(own.items())
+    keys = np.array([k for (k, _), _ in items], np.int64)
+    new = np.concatenate(([True], keys[1:] != keys[:-1], [True])) if len(keys) else np.ones(1, bool)
+    alone = new[:-1] & new[1:]
+    rows = np.flatnonzero(~alone)  # one string: its windows differ, so that each is its own class and nothing needs an order
+    if not len(rows):
+        return
+    head = np.array([(keys[i], items[i][1][0], i, 0, len(items[i][0][1])) for i in rows.tolist()], np.int64)
+    head, bodies = _shared(head, [items[i][0][1] for i in rows.tolist()], size)
+    cut = np.flatnonzero(np.concatenate(([True], head[1:, 0] != head[:-1, 0], [True]))).tolist() if len(head) else []
+    ids: dict[bytes, int] = {}
+    held: list[tuple[int, int]] = []
+    amount = 0
+
+    def decided() -> Iterator[tuple[int, set, int, int]]:
+        for i, a, z in _decided(head, held, list(ids), size).tolist():
+            doc, where = items[i][1]
+            yield doc, where, a, z
+
+    for a, b in zip(cut[:-1], cut[1:]):
+        for i in range(a, b):
+            s = bodies[i]
+            if s not in ids:
+                ids[s] = len(ids)
+                amount += len(s)
+            held.append((i, ids[s]))
+        if amount >= _ARRAY:
+            yield from decided()
+            held, ids, amount = [], {}, 0
+    if held:
+        yield from decided()
+
+
 def _shared(head: np.ndarray, bodies: list[bytes], size: int) -> tuple[np.ndarray, list[bytes]]:
-    """The parts of the runs whose windows may be in another text too: windows whose hash only one text has are left out.
+    """The parts of strings (head: key, document, string, offset, length) whose windows may be in another document too.
 
-    This spares the suffix arrays what cannot repeat; which windows are equal is theirs to say.
+    Windows whose hash only one document has are left out. This spares the suffix arrays what cannot repeat; which
+    windows are equal is theirs to say.
     """
     heads, kept = [], []
-    # runs of one minimizer stay together, so that whole groups of them are looked at in turn
+    # strings of one minimizer stay together, so that whole groups of them are looked at in turn
     step = np.flatnonzero(np.concatenate(([True], head[1:, 0] != head[:-1, 0], [True])))
     a = 0
     while a < len(head):
@@ -349,9 +365,9 @@ def _shared(head: np.ndarray, bodies: list[bytes], size: int) -> tuple[np.ndarra
         first = at[run] + offset
         h = mix((total[first + size] - total[first]) * down[first])
         order = np.argsort(h, kind="stable")
-        h, text = h[order], part[run[order], 1]
+        h, doc = h[order], part[run[order], 1]
         group = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        many = np.minimum.reduceat(text, group) != np.maximum.reduceat(text, group)
+        many = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
         shared = np.empty(len(run), bool)
         shared[order] = np.repeat(many, np.diff(np.append(group, len(h))))
         rows = np.flatnonzero(shared)
@@ -368,10 +384,11 @@ def _shared(head: np.ndarray, bodies: list[bytes], size: int) -> tuple[np.ndarra
     return (np.concatenate(heads) if heads else head[:0]), kept
 
 
-def _decided(head: np.ndarray, held: list[tuple[int, int]], strings: list[bytes], size: int) -> list[np.ndarray]:
+def _decided(head: np.ndarray, held: list[tuple[int, int]], strings: list[bytes], size: int) -> np.ndarray:
+    """(string, first, end): parts of the strings of head that a smaller document has too."""
     rows, of = np.array(held, np.int64).T
     least = np.full(len(strings), _LAST)
-    np.minimum.at(least, of, head[rows, 2])
+    np.minimum.at(least, of, head[rows, 1])
     string, offset, same = window_classes(strings, size)
     first = np.full(same[-1] + 1, _LAST)
     np.minimum.at(first, same, least[string])
@@ -381,45 +398,49 @@ def _decided(head: np.ndarray, held: list[tuple[int, int]], strings: list[bytes]
     n = np.array([len(s) - size + 1 for s in strings])[of]
     run = np.repeat(np.arange(len(rows)), n)
     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    gone = owner[at[of[run]] + step] < head[rows[run], 2]
+    gone = owner[at[of[run]] + step] < head[rows[run], 1]
     run, step = run[gone], step[gone]
     if not len(run):
-        return []
+        return np.zeros((0, 3), np.int64)
     a = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (step[1:] != step[:-1] + 1))))
     z = np.append(a[1:], len(run)) - 1
     h = head[rows[run[a]]]
-    return [np.stack((h[:, 1], h[:, 3] + step[a], h[:, 3] + step[z] + size), 1)]
+    return np.stack((h[:, 2], h[:, 3] + step[a], h[:, 3] + step[z] + size), 1)
 
 
-def _keyed(names: list[str], table, everything: bool) -> Callable:
+def _keyed(names: list[str], table, everything: bool, salt: int) -> Callable:
     """Each row with its text's key, size and sha256; the text itself only where something may be cut from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
         for batch in batches:
             data, at = buffers(batch.column("text"))
-            keys = text_keys(data, at)
-            keep = np.ones(len(keys), bool) if everything else in_bitmap(known, keys)
+            keys = text_keys(data, at, salt)
+            keep = np.ones(len(keys), bool) if everything else in_bitmap(known, keys[:, 0])
             digest = [None if k else hashlib.sha256(data[a:b].tobytes()).hexdigest() for k, a, b in zip(keep, at[:-1].tolist(), at[1:].tolist())]
             text = pc.if_else(pa.array(keep), batch.column("text"), pa.scalar(None, batch.column("text").type))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(keys.astype(np.int64)), pa.array(np.diff(at)), pa.array(digest, pa.string()), text], [*names, "_key", "_bytes", "_digest", "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(keys[:, k].astype(np.int64)) for k in (0, 1)), pa.array(np.diff(at)), pa.array(digest, pa.string()), text], [*names, "_key", "_second", "_bytes", "_digest", "text"])
 
     return run
 
 
-def _ranges(docs: DataFrame, size: int) -> DataFrame:
-    """_key, spans: what to cut from the texts that share strings with a smaller doc_id, unmerged."""
+def _ranges(docs: DataFrame, size: int, salt: int) -> DataFrame:
+    """_key, _doc, spans: what to cut from the texts that share strings with a smaller doc_id, unmerged."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = partitions(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= size)
-    pairs = texts.select("text").mapInArrow(_minimizers(size, parts), "part int, block binary").repartitionById(parts, "part")
-    words = pairs.mapInArrow(_repeated(BITS), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    table = np.zeros(BITS // 32, np.uint32)
+    least, most = BITS
+    amount = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = min(most, max(least, 1 << (amount // 8).bit_length()))
+    pairs = dealt(texts.select("text").mapInArrow(_minimizers(size, parts, salt), "piece long, block binary"), parts)
+    words = pairs.mapInArrow(_repeated(bits), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
     table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
-    runs = texts.mapInArrow(_dealt_runs(size, parts, spark.sparkContext.broadcast(table)), "part int, heads binary, bytes binary").repartitionById(parts, "part")
-    found = runs.mapInArrow(_cuts(size), "text long, first long, end long")
-    return stored(found.groupBy(F.col("text").alias("_key")).agg(F.collect_list(F.struct("first", "end")).alias("spans")), "spans")
+    del words
+    runs = dealt(texts.mapInArrow(_dealt_runs(size, parts, spark.sparkContext.broadcast(table), salt), "piece long, heads binary, bytes binary"), parts)
+    found = runs.mapInArrow(_cuts(size), "text long, doc long, first long, end long")
+    return stored(found.groupBy(F.col("text").alias("_key"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "end")).alias("spans")), "spans")
 
 
 def _merged(spans: list | None) -> list[tuple[int, int]]:
@@ -461,25 +482,30 @@ def _left(names: list[str], size: int, whole: bool) -> Callable:
     return run
 
 
-def _done(docs: DataFrame, size: int, whole: bool) -> DataFrame:
+def _done(docs: DataFrame, size: int, whole: bool, salt: int = 0) -> DataFrame:
     """For every row of docs: `row` (its columns but text, if whole) or doc_id, n_bytes, n_removed, n_spans, left."""
     if size < LEAST_GRAM + 8:
         raise ValueError(f"size must be {LEAST_GRAM + 8} at least")
     spark = docs.sparkSession
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row") if whole else F.col("doc_id").cast("long").alias("doc_id")
-    ranges = _ranges(docs, size)
+    ranges = _ranges(docs, size, salt)
     rows = docs.select(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_doc"), "text")
     names = [rows.columns[0], "_doc"]
-    schema = T.StructType([rows.schema[c] for c in names]).add("_key", "long").add("_bytes", "long").add("_digest", "string").add("text", "string")
-    table = spark.sparkContext.broadcast(bitmap(ranges.select(F.col("_key").alias("key"))))
+    keyed = "_key long, _second long, _bytes long, _digest string, text string"
+    schema = T.StructType([*(rows.schema[c] for c in names), *T.StructType.fromDDL(keyed)])
+    table = spark.sparkContext.broadcast(bitmap(ranges.select(F.col("_key").alias("key")), bits_for(ranges.count())))
     if whole:  # texts are too large to be written twice: their keys alone are
-        keys = rows.select("_doc", "text").mapInArrow(_keyed(["_doc"], table, False), "_doc long, _key long, _bytes long, _digest string, text string").select("_doc", "_key")
-        rows = rows.mapInArrow(_keyed(names, table, True), schema)
+        keys = rows.select("_doc", "text").mapInArrow(_keyed(["_doc"], table, False, salt), f"_doc long, {keyed}").select("_doc", "_key", "_second")
+        rows = rows.mapInArrow(_keyed(names, table, True, salt), schema)
     else:
-        rows = stored(rows.mapInArrow(_keyed(names, table, False), schema), "keyed")
+        rows = stored(rows.mapInArrow(_keyed(names, table, False, salt), schema), "keyed")
         keys = rows
-    first = keys.groupBy("_key").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
-    rows = rows.join(stored(first, "first"), "_key", "left").join(ranges, "_key", "left").withColumn("_copy", F.coalesce(F.col("_doc") > F.col("_first"), F.lit(False)))
+    first = keys.groupBy("_key").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n"), F.min("_second").alias("_lo"), F.max("_second").alias("_hi")).where("_n > 1")
+    first = stored(first.select("_key", "_first", "_lo", "_hi"), "first")
+    if not first.where("_lo <> _hi").isEmpty():
+        discard(ranges, first, *([] if whole else [rows]))
+        return _done(docs, size, whole, salt + 1)
+    rows = rows.drop("_second").join(first.select("_key", "_first"), "_key", "left").join(ranges, ["_key", "_doc"], "left").withColumn("_copy", F.coalesce(F.col("_doc") > F.col("_first"), F.lit(False)))
     out = T.StructType([rows.schema[names[0]]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("left", "string")
     return rows.mapInArrow(_left(names[:1], size, whole), out)
 

@@ -135,6 +135,24 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.spans(empty, 50).count() == 0 == suffix_dedup.cut(empty, 50).count()
 
 
+def test_keys_that_clash(spark, monkeypatch):
+    """Should the short keys of two sets or texts be equal, all is done again with others."""
+    few = [(i, t) for i, t in enumerate([sentence(random.Random(k % 5), 40) for k in range(9)])]
+    d = spark.createDataFrame(few, "doc_id long, text string")
+    key, keys = jj.set_key, suffix_dedup.text_keys
+    monkeypatch.setattr(jj, "set_key", lambda x, seed=0: np.uint64(7) if seed == 0 and len(x) else key(x, seed))
+    assert sorted(map(tuple, jj.near_duplicates(d, 4, 85).collect())) == sorted(classes(few, 4, 85))
+
+    def weak(data, at, salt=0):
+        out = keys(data, at, salt).copy()
+        if salt == 0:
+            out[:, 0] %= np.uint64(2)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "text_keys", weak)
+    assert sorted(map(tuple, suffix_dedup.spans(d, 50).collect())) == sorted(cut_by_force(few, 50))
+
+
 def test_suffix_order():
     for seed in range(200):
         r = random.Random(seed)
