@@ -37,16 +37,36 @@ SUPPORT = 0.3  # least share of a host's pages that hold a template token
 INNER = 0.8  # the same for a text block within an article, which copies of a page repeat too
 MIN_CLASS = 3  # tokens of a valid class
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
+_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_END = re.compile(r"[>\"']")
+_ASSIGNED = re.compile(r"=\s*\Z")
+_RAW = {name: re.compile(rf"</{name}(?=[\s>/])[^>]*>?", re.I) for name in "script style noscript template textarea select svg iframe object".split()}
 _NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _BOILERPLATE = frozenset("head nav footer aside form button menu dialog title".split())
-_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adbox|banner|promo|sponsor(?:ed)?|menu|nav|navbar|navigation|sidebar|footer|masthead|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|"
-    r"share|sharing|social|related|recommended|breadcrumbs?|comments?|commentlist|disqus|respond|replies|reply|login|signup|search|widget|toolbar|pager|pagination|copyright|legal|contentinfo|complementary|disclaimer|alert)(?:$|[\s_-])",
-    re.I,
+#: Words by which pages name what is not their article, and such that say nothing beside these. Fixed values.
+_WORDS = frozenset(
+    "ad ads advert adverts advertisement adbox banner promo sponsor sponsored menu nav navbar navigation sidebar footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription "
+    "share sharing social related recommended breadcrumb breadcrumbs comment comments commentlist disqus respond replies reply login signup widget toolbar pager pagination complementary contentinfo".split()
 )
+_OUTSIDE = frozenset("search copyright legal disclaimer alert".split())  # not within an article, where they name its parts
+_NEUTRAL = frozenset("box list area container wrapper section block item bar site page main top bottom left right primary secondary slot unit links form inner text panel holder header row col group thread 0 1 2 3 4 5 6 7 8 9".split())
+_PARTS = re.compile(r"[_-]+")
+_PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 figcaption".split())
+
+
+@lru_cache(1 << 14)
+def boilerplate_name(names: str, within: bool) -> bool:
+    """Whether a class, id or role names boilerplate: one of its names consists of such words and of ones that say nothing."""
+    bad = _WORDS if within else _WORDS | _OUTSIDE
+    for name in names.lower().split():
+        parts = [x for x in _PARTS.split(name) if x]
+        if any(x in bad for x in parts) and all(x in bad or x in _NEUTRAL for x in parts):
+            return True
+    return False
+
+
 _SPACE = re.compile(r"\s+")
 
 
@@ -54,8 +74,44 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
+def scan(page: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(name, closing, attributes) of the tags of a page and (None, False, text) between them, in one pass.
+
+    Comments, declarations and elements without prose go. A > within a quoted value ends no tag; a quote that is
+    never closed is a character like others.
+    """
+    at, lost = 0, set()  # lost: quotes that do not occur any more
+    while m := _TAG.search(page, at):
+        if m.start() > at:
+            yield None, False, page[at : m.start()]
+        comment, other, closing, name = m.groups()
+        if comment or other:
+            mark = "-->" if comment else ">"
+            end = page.find(mark, m.end())
+            at = len(page) if end < 0 else end + len(mark)
+            continue
+        end = m.end()
+        while (q := _END.search(page, end)) and q.group() != ">":
+            end = q.end()
+            if q.group() not in lost and _ASSIGNED.search(page, max(m.end(), q.start() - 8), q.start()):
+                close = page.find(q.group(), end)
+                if close < 0:
+                    lost.add(q.group())
+                else:
+                    end = close + 1
+        at = q.end() if q else len(page)
+        name = name.lower()
+        if not closing and name in _RAW and not page[m.end() : at].rstrip(">").endswith("/"):
+            raw = _RAW[name].search(page, at)
+            at = raw.end() if raw else len(page)
+            continue
+        yield name, bool(closing), page[m.end() : at].rstrip(">")
+    if at < len(page):
+        yield None, False, page[at:]
+
+
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str | int]]:
-    """(blocks, order) of a page. A block: text, path, within boilerplate, within article or main, all links.
+    """(blocks, order) of a page. A block: text, path, within boilerplate, within article or main, a list or box of links alone.
 
     order: the page's tags, closing ones with >, and the places of its blocks between them.
     """
@@ -72,20 +128,16 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str
             if block:
                 _, path, bad, good = stack[-1] if stack else ("", "", False, False)
                 order.append(len(out))
-                out.append((block, path, bad, good, all(linked)))
+                out.append((block, path, bad, good, all(linked) and (stack[-1][0] if stack else "") not in _PROSE))
             text.clear()
             linked.clear()
 
-    for m in _TOKEN.finditer(page):
-        closing, name, rest, words = m.group(2, 3, 4, 5)
-        if words is not None:
-            text.append(words)
-            if not words.isspace():
-                linked.append(links > 0)
-            continue
+    for name, closing, rest in scan(page):
         if name is None:
+            text.append(rest)
+            if not rest.isspace():
+                linked.append(links > 0)
             continue
-        name = name.lower()
         if name == "a":
             links = max(0, links - 1) if closing else links + 1
         if name in _INLINE:
@@ -113,7 +165,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, bool, bool]], list[str
         path = (stack[-1][1] if stack else "") + "/" + name + ("." + own if own else "")
         above, within = (stack[-1][2], stack[-1][3]) if stack else (False, False)
         within = within or name in ("article", "main") or "articlebody" in own.lower() or own.lower() == "main"
-        bad = above or name in _BOILERPLATE or (name == "header" and not within) or (name not in ("html", "body", "article", "main") and bool(_WORDS.search(own)))
+        bad = above or name in _BOILERPLATE or (name == "header" and not within) or (name not in ("html", "body", "article", "main") and boilerplate_name(own, within))
         order.append(path)
         if name not in _VOID and not (rest or "").endswith("/"):
             stack.append((name, path, bad, within))
