@@ -3,10 +3,12 @@
 A text is the vector of its letters' 1- to 3-grams (lower case; runs of other characters are one space), hashed
 to a fixed number of slots, weighted by log(1 + count) * idf and normalised. Each language has a few
 centroids found by spherical k-means; a text takes the language of the centroid with the
-largest cosine. A text further from all centroids than any text of the sample by a wide margin is rejected.
+largest cosine. It is rejected if that cosine is well below those of the language's own sample of its length:
+below MARGIN of their QUANTILE, by the logarithm of the number of n-grams. Lengths with fewer than LEAST sample rows take the
+bound of the next longer length that has them, scaled down to what short texts can reach.
 
 idf counts all training rows. Centroids come from a bounded sample: SAMPLE rows a language, those of the
-smallest doc_id hash. Null text and text without a letter get `und`, score 0 and are rejected.
+smallest hash of doc_id and text; equal rows count once. Null text and text without a letter get `und`, score 0 and are rejected.
 Rows with null or repeated doc_id are kept. Other columns are ignored. Without training rows all is `und`.
 """
 
@@ -25,7 +27,9 @@ from plumbline.llm.shared import small_batches
 SLOTS = 1 << 13
 SAMPLE = 400  # training rows a language from which centroids are made
 CLUSTERS = 3
-MARGIN = 0.25  # a text is rejected below this part of the least cosine of the sample
+QUANTILE, MARGIN = 0.02, 0.5  # a text is rejected below this part of this quantile of its language's cosines
+LENGTHS, LEAST = 16, 20  # lengths are told apart by their logarithm; sample rows that a length needs for a bound of its own
+SHORT = 0.75  # what half the length leaves of a bound
 UNKNOWN = "und"
 _U = np.uint64
 _letter: np.ndarray | None = None
@@ -104,10 +108,35 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
     return centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
 
 
+def lengths(counts: np.ndarray) -> np.ndarray:
+    """The logarithm of each row's number of n-grams."""
+    return np.minimum(np.log2(np.maximum(counts.sum(-1), 1)).astype(np.int64), LENGTHS - 1)
+
+
+def _bounds(cosine: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The least accepted cosine at each length, from the cosines and lengths of a language's sample."""
+    out = np.full(LENGTHS, np.nan)
+    for k in range(LENGTHS):
+        own = cosine[length == k]
+        if len(own) >= LEAST:
+            out[k] = np.quantile(own, QUANTILE) * MARGIN
+    if np.isnan(out).all():
+        out[-1] = cosine.min() * MARGIN**2
+    for k in range(LENGTHS - 2, -1, -1):
+        if np.isnan(out[k]):
+            out[k] = out[k + 1] * SHORT
+        else:
+            out[k] = min(out[k], out[k + 1]) if not np.isnan(out[k + 1]) else out[k]
+    for k in range(1, LENGTHS):
+        if np.isnan(out[k]):
+            out[k] = out[k - 1]
+    return out
+
+
 def fit(docs: DataFrame) -> dict:
-    """The model of docs (doc_id, text, lang): idf, centroids, their languages, the least accepted cosine."""
+    """The model of docs (doc_id, text, lang): idf, centroids, their languages, the least accepted cosine of each at each length."""
     small_batches(docs.sparkSession)
-    train = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64("doc_id").alias("draw"))
+    train = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64("doc_id", "text").alias("draw"))
     got = train.select("text").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     df, n = np.zeros(SLOTS), 1
     for slot, count in zip(got.column("slot").to_pylist(), got.column("n").to_pylist()):
@@ -122,26 +151,26 @@ def fit(docs: DataFrame) -> dict:
     cut = few.groupBy("lang").agg(F.max("draw").alias("cut"))
     cuts = {r[0]: r[1] for r in cut.collect()}  # a row for each language
     if not cuts:
-        return {"idf": idf, "centres": np.zeros((0, SLOTS), np.float32), "of": [], "least": 0.0}
+        return {"idf": idf, "centres": np.zeros((0, SLOTS), np.float32), "of": [], "least": np.zeros((0, LENGTHS))}
     within = F.lit(False)
     for lang, last in sorted(cuts.items()):
         within = within | ((F.col("lang") == lang) & (F.col("draw") <= last))
-    sample = train.where(within).select("lang", "text").mapInArrow(_vectors, "lang string, slots binary, counts binary").toArrow()
+    sample = train.where(within).groupBy("lang", "draw").agg(F.first("text").alias("text")).select("lang", "text").mapInArrow(_vectors, "lang string, slots binary, counts binary").toArrow()
     by: dict[str, list] = {}
     for lang, slots, counts in sorted(zip(*(sample.column(c).to_pylist() for c in ("lang", "slots", "counts")))):
         row = np.zeros(SLOTS, np.int32)
         row[np.frombuffer(slots, np.uint16)] = np.frombuffer(counts, np.int32)
         by.setdefault(lang, []).append(row)
-    centres, of, least = [], [], 1.0
+    centres, of, least = [], [], []
     for lang in sorted(by):
         x = weighted(np.array(by[lang]), idf)
         c = _clusters(x, CLUSTERS)
-        least = min(least, float(np.max(x @ c.T, 1).min()))
+        least += [_bounds(np.max(x @ c.T, 1), lengths(np.array(by[lang])))] * len(c)
         centres.append(c)
         of += [lang] * len(c)
     if not of:
-        return {"idf": idf, "centres": np.zeros((0, SLOTS), np.float32), "of": [], "least": 0.0}
-    return {"idf": idf, "centres": np.concatenate(centres).astype(np.float32), "of": of, "least": least * MARGIN}
+        return {"idf": idf, "centres": np.zeros((0, SLOTS), np.float32), "of": [], "least": np.zeros((0, LENGTHS))}
+    return {"idf": idf, "centres": np.concatenate(centres).astype(np.float32), "of": of, "least": np.array(least)}
 
 
 def _predict(model) -> Callable:
@@ -151,17 +180,20 @@ def _predict(model) -> Callable:
         for batch in batches:
             pick = np.full(batch.num_rows, len(names) - 1)
             best = np.zeros(batch.num_rows)
+            least = np.ones(batch.num_rows)
             texts = batch.column("text")
             for a in range(0, batch.num_rows, 64):
                 rows = [(i, c) for i in range(a, min(a + 64, batch.num_rows)) if (c := gram_counts(texts[i].as_py())) is not None]
                 if rows and m["of"]:
-                    cosine = weighted(np.array([c for _, c in rows]), m["idf"]) @ m["centres"].T
+                    counts = np.array([c for _, c in rows])
+                    cosine = weighted(counts, m["idf"]) @ m["centres"].T
                     at = [i for i, _ in rows]
                     pick[at] = np.argmax(cosine, 1)
                     best[at] = np.max(cosine, 1)
+                    least[at] = m["least"][pick[at], lengths(counts)]
             lang = names[pick]
             columns = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(np.clip(best, 0, 1)), pa.array((lang == UNKNOWN) | (best < m["least"]))], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(np.clip(best, 0, 1)), pa.array((lang == UNKNOWN) | (best < least))], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score", "rejected"])
 
     return run
 
