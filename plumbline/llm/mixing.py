@@ -24,7 +24,7 @@ from plumbline.llm.shared import partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 SALT_ROWS = 50_000  # documents for each further salt of a (source, size) group
-REPAIRS = 12
+REPAIRS = 200
 NEWTON_ROUNDS = 60
 TOLERANCE = 1e-7
 
@@ -80,6 +80,8 @@ def tilted(groups: DataFrame, sources: DataFrame) -> DataFrame:
         if not state.where("open").limit(1).count():
             break
         state = state.drop("open")
+    else:
+        raise RuntimeError(f"tilts did not settle in {NEWTON_ROUNDS} rounds")
     rate = F.when(F.col("target") >= F.col("cap"), F.lit(2.0)).otherwise(F.lit(2.0) / (F.lit(1.0) + F.exp(-F.col("tilt") * F.col("size") / F.col("mean"))))
     return groups.where("size > 0").join(state.select("of", "target", "cap", "mean", "tilt"), "of").select("of", "size", "m", "target", rate.alias("rate"))
 
@@ -102,6 +104,8 @@ def rounded(groups: DataFrame) -> DataFrame:
             break
         g = g.join(best.select("of", F.col("b.size").alias("size"), F.col("b.by").alias("by")), ["of", "size"], "left")
         g = stored(g.select("of", "size", "m", "target", (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies")), "copies")
+    else:
+        raise RuntimeError(f"copies did not settle in {REPAIRS} repairs")
     return g
 
 
