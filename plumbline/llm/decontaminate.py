@@ -149,4 +149,4 @@ def kept(docs: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
     found = stored(leaks(docs, items, least=least).select("doc_id").distinct(), "leaks")
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    return docs.join(found, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -401,4 +401,4 @@ def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Rows without words and rows with a null doc_id stay; of rows with the same smallest doc_id all stay.
     """
     gone = near_duplicates(docs, width, percent).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "copies"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stored(gone, "copies"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
