@@ -55,7 +55,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(at: np.ndarray, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about `size` bytes each; a longer row stands alone."""
     row, n = 0, len(at) - 1
     while row < n:

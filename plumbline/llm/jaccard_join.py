@@ -28,14 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import U, buffers, mix, shingle_sets, slices
-from plumbline.llm.shared import PIECES, bitmap, bits_for, by_piece, components, dealt, discard, in_bitmap, packed, partitions, small_batches, stored
+from plumbline.llm.shared import PIECES, bitmap, bits_for, by_piece, components, dealt, discard, in_bitmap, lean, packed, partitions, small_batches, stored
 
 #: From this count of different sets on, a shingle is frequent; its level is the count's logarithm.
 FREQUENT = 8
 #: Least and most slots of the level table, which has 16 for each frequent shingle: one byte each. A shared slot only raises a level.
 LEVEL_SLOTS = 1 << 22, 1 << 28
 SKETCH = 512  # bits of a set's parity sketch
-_FLUSH = 1 << 20  # signatures or shingles that a task holds before it deals them out
+_FLUSH = 1 << 18  # signatures or shingles that a task holds before it deals them out
 
 
 def set_key(tokens: np.ndarray, seed: int = 0) -> np.uint64:
@@ -102,7 +102,7 @@ def _level_table(frequent: DataFrame, parts: int) -> np.ndarray:
             slot = _slot(b.column("short").to_numpy().astype(np.uint32), b.column("part").to_numpy().astype(np.uint32), slots)
             yield pa.RecordBatch.from_arrays([pa.array(slot), b.column("level")], ["slot", "level"])
 
-    found = frequent.mapInArrow(run, "slot int, level byte").groupBy("slot").agg(F.max("level").alias("level")).toArrow()
+    found = frequent.mapInArrow(lean(run), "slot int, level byte").groupBy("slot").agg(F.max("level").alias("level")).toArrow()
     table = np.zeros(slots, np.int8)
     table[found.column("slot").to_numpy()] = found.column("level").to_numpy()
     return table
@@ -310,12 +310,12 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) ->
     share = spark.sparkContext.broadcast
     texts = docs.select("doc_id", "text")
 
-    shingles = dealt(texts.select("text").mapInArrow(_counts(width, parts), "piece long, block binary"), parts)
-    frequent = stored(shingles.mapInArrow(_levels, "short long, part int, level byte"), "frequent")
+    shingles = dealt(texts.select("text").mapInArrow(lean(_counts(width, parts)), "piece long, block binary"), parts)
+    frequent = stored(shingles.mapInArrow(lean(_levels), "short long, part int, level byte"), "frequent")
     levels = _level_table(frequent, parts)
 
-    signed = dealt(texts.mapInArrow(_sign(width, parts, share(levels), 100, percent, seed), f"piece long, block binary, {DOCUMENT}"), parts)
-    signed = stored(signed.mapInArrow(_groups, f"{DOCUMENT}, sig long"), "signatures")
+    signed = dealt(texts.mapInArrow(lean(_sign(width, parts, share(levels), 100, percent, seed)), f"piece long, block binary, {DOCUMENT}"), parts)
+    signed = stored(signed.mapInArrow(lean(_groups), f"{DOCUMENT}, sig long"), "signatures")
     documents = signed.where("sig is null").select("doc_id", "key", "n")
     own = ["n", "rare", *_LONGS]
     size = signed.where("sig is null and n > 0").groupBy("key").agg(*[F.first(c).alias(c) for c in own], F.min("second").alias("lo"), F.max("second").alias("hi"))
@@ -378,10 +378,10 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int, seed
     """The pairs (a, b) of keys whose sets are similar enough, written down."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     table = texts.sparkSession.sparkContext.broadcast(bitmap(ends, bits_for(2 * pairs.count())))
-    sets = texts.select("text").mapInArrow(_sets(width, table, seed), "key long, tokens binary").dropDuplicates(["key"])
+    sets = texts.select("text").mapInArrow(lean(_sets(width, table, seed)), "key long, tokens binary").dropDuplicates(["key"])
     sets = stored(sets.join(ends, "key", "left_semi"), "sets")
     x = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    links = stored(x.select("a", "b", "x", "y").mapInArrow(_overlaps(100, percent), "a long, b long"), "links")
+    links = stored(x.select("a", "b", "x", "y").mapInArrow(lean(_overlaps(100, percent)), "a long, b long"), "links")
     discard(sets)
     return links
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.shared import small_batches
+from plumbline.llm.shared import lean, small_batches
 
 SLOTS = 1 << 13
 SAMPLE = 400  # training rows a language from which centroids are made
@@ -137,7 +137,7 @@ def fit(docs: DataFrame) -> dict:
     """The model of docs (doc_id, text, lang): idf, centroids, their languages, the least accepted cosine of each at each length."""
     small_batches(docs.sparkSession)
     train = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("text", "lang", F.xxhash64("doc_id", "text").alias("draw"))
-    got = train.select("text").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = train.select("text").mapInArrow(lean(_frequencies), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     df, n = np.zeros(SLOTS), 1
     for slot, count in zip(got.column("slot").to_pylist(), got.column("n").to_pylist()):
         if slot < 0:
@@ -155,7 +155,7 @@ def fit(docs: DataFrame) -> dict:
     within = F.lit(False)
     for lang, last in sorted(cuts.items()):
         within = within | ((F.col("lang") == lang) & (F.col("draw") <= last))
-    sample = train.where(within).groupBy("lang", "draw").agg(F.first("text").alias("text")).select("lang", "text").mapInArrow(_vectors, "lang string, slots binary, counts binary").toArrow()
+    sample = train.where(within).groupBy("lang", "draw").agg(F.first("text").alias("text")).select("lang", "text").mapInArrow(lean(_vectors), "lang string, slots binary, counts binary").toArrow()
     by: dict[str, list] = {}
     for lang, slots, counts in sorted(zip(*(sample.column(c).to_pylist() for c in ("lang", "slots", "counts")))):
         row = np.zeros(SLOTS, np.int32)
@@ -202,7 +202,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs (doc_id, text, lang)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(lean(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def kept(docs: DataFrame) -> DataFrame:
@@ -211,4 +211,4 @@ def kept(docs: DataFrame) -> DataFrame:
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text")
     schema = T.StructType([keyed.schema["row"]]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return keyed.mapInArrow(_predict(model), schema).where(~F.col("rejected")).select("row.*")
+    return keyed.mapInArrow(lean(_predict(model)), schema).where(~F.col("rejected")).select("row.*")

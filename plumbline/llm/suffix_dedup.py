@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.hashing import _BYTE, U, buffers, mix, powers, slices
-from plumbline.llm.shared import PIECES, bitmap, bits_for, blocks, by_piece, dealt, discard, in_bitmap, packed, partitions, small_batches, stored
+from plumbline.llm.shared import PIECES, bitmap, bits_for, blocks, by_piece, dealt, discard, in_bitmap, lean, packed, partitions, small_batches, stored
 
 LEAST_GRAM = 16
 BITS = 1 << 27, 1 << 31  # least and most of the bitmap of repeated minimizers, else one for 8 bytes of text; a full one lets more through
-_PIECE = 1 << 19  # window starts handled at once; places in a piece need 20 bits
+_PIECE = 1 << 18  # window starts handled at once; places in a piece need 20 bits
 _PLACE = U((1 << 20) - 1)
-_FLUSH = 1 << 20
+_FLUSH = 1 << 18
 _ARRAY = 1 << 18  # bytes of one suffix array, unless a single minimizer has more
 _LAST = (1 << 63) - 1  # stands for a null doc_id
 
@@ -264,7 +264,7 @@ def _dealt_runs(size: int, parts: int, table, salt: int) -> Callable:
                     a = (place[row] + first).tolist()
                     bodies += [raw[i : i + k] for i, k in zip(a, (last - first + size).tolist())]
                     n += len(row)
-                if n >= _FLUSH // 8:
+                if n >= _FLUSH // 4:
                     yield flush()
                     n = 0
         if n:
@@ -433,13 +433,13 @@ def _ranges(docs: DataFrame, size: int, salt: int) -> DataFrame:
     least, most = BITS
     amount = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(most, max(least, 1 << (amount // 8).bit_length()))
-    pairs = dealt(texts.select("text").mapInArrow(_minimizers(size, parts, salt), "piece long, block binary"), parts)
-    words = pairs.mapInArrow(_repeated(bits), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
+    pairs = dealt(texts.select("text").mapInArrow(lean(_minimizers(size, parts, salt)), "piece long, block binary"), parts)
+    words = pairs.mapInArrow(lean(_repeated(bits)), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
     table = np.zeros(bits // 32, np.uint32)
     table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
     del words
-    runs = dealt(texts.mapInArrow(_dealt_runs(size, parts, spark.sparkContext.broadcast(table), salt), "piece long, heads binary, bytes binary"), parts)
-    found = runs.mapInArrow(_cuts(size), "text long, doc long, first long, end long")
+    runs = dealt(texts.mapInArrow(lean(_dealt_runs(size, parts, spark.sparkContext.broadcast(table), salt)), "piece long, heads binary, bytes binary"), parts)
+    found = runs.mapInArrow(lean(_cuts(size)), "text long, doc long, first long, end long")
     return stored(found.groupBy(F.col("text").alias("_key"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "end")).alias("spans")), "spans")
 
 
@@ -495,10 +495,10 @@ def _done(docs: DataFrame, size: int, whole: bool, salt: int = 0) -> DataFrame:
     schema = T.StructType([*(rows.schema[c] for c in names), *T.StructType.fromDDL(keyed)])
     table = spark.sparkContext.broadcast(bitmap(ranges.select(F.col("_key").alias("key")), bits_for(ranges.count())))
     if whole:  # texts are too large to be written twice: their keys alone are
-        keys = rows.select("_doc", "text").mapInArrow(_keyed(["_doc"], table, False, salt), f"_doc long, {keyed}").select("_doc", "_key", "_second")
-        rows = rows.mapInArrow(_keyed(names, table, True, salt), schema)
+        keys = rows.select("_doc", "text").mapInArrow(lean(_keyed(["_doc"], table, False, salt)), f"_doc long, {keyed}").select("_doc", "_key", "_second")
+        rows = rows.mapInArrow(lean(_keyed(names, table, True, salt)), schema)
     else:
-        rows = stored(rows.mapInArrow(_keyed(names, table, False, salt), schema), "keyed")
+        rows = stored(rows.mapInArrow(lean(_keyed(names, table, False, salt)), schema), "keyed")
         keys = rows
     first = keys.groupBy("_key").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n"), F.min("_second").alias("_lo"), F.max("_second").alias("_hi")).where("_n > 1")
     first = stored(first.select("_key", "_first", "_lo", "_hi"), "first")
@@ -507,7 +507,7 @@ def _done(docs: DataFrame, size: int, whole: bool, salt: int = 0) -> DataFrame:
         return _done(docs, size, whole, salt + 1)
     rows = rows.drop("_second").join(first.select("_key", "_first"), "_key", "left").join(ranges, ["_key", "_doc"], "left").withColumn("_copy", F.coalesce(F.col("_doc") > F.col("_first"), F.lit(False)))
     out = T.StructType([rows.schema[names[0]]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("left", "string")
-    return rows.mapInArrow(_left(names[:1], size, whole), out)
+    return rows.mapInArrow(lean(_left(names[:1], size, whole)), out)
 
 
 def spans(docs: DataFrame, size: int = 50) -> DataFrame:
