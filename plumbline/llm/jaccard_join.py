@@ -6,8 +6,8 @@ at least one common signature: rare shingles (level 0) sign alone, frequent ones
 of the same subclass, for which the prefix is extended. Signatures are dealt in packed blocks,
 groups of equal signatures give candidates, and exact set overlaps decide.
 
-Links are found without listing all pairs of a group: each document is first compared with one hub, the best of
-its groups; then with the hubs of those groups alone that are not yet of its component; then the members of a group that
+Links are found without listing all pairs of a group: each document is first compared with the hubs of its groups, the
+documents of the fewest rare shingles; then the members of a group that
 are not of its hub's component with those of others, within the sizes that a link allows. A pair is given out only if its
 sets can be alike: two documents that share no rare shingle (else they meet in its group) have at most the frequent ones of each
 in common, and the parity sketches of two sets (SKETCH bits, each the parity of the shingles that fall on it) differ in no more
@@ -19,7 +19,6 @@ kept as they are; a component takes the smallest non-null doc_id of its rows. Ot
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import U, buffers, mix, shingle_sets, slices
-from plumbline.llm.shared import PIECES, bitmap, bits_for, by_piece, components, dealt, discard, in_bitmap, lean, packed, partitions, small_batches, stored
+from plumbline.llm.shared import PIECES, bitmap, bits_for, by_piece, components, dealt, discard, in_bitmap, lean, packed, partitions, release, small_batches, stored
 
 #: From this count of different sets on, a shingle is frequent; its level is the count's logarithm.
 FREQUENT = 8
@@ -105,6 +104,8 @@ def _level_table(frequent: DataFrame, parts: int) -> np.ndarray:
     found = frequent.mapInArrow(lean(run), "slot int, level byte").groupBy("slot").agg(F.max("level").alias("level")).toArrow()
     table = np.zeros(slots, np.int8)
     table[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    del found
+    release()
     return table
 
 
@@ -328,7 +329,7 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) ->
     member = stored(flat.join(size.drop("lo", "hi"), "key").withColumn("often", F.expr("sig & 1")), "members")
     share_of = (F.col("rare") / F.col("n")).alias("share")
     hub = member.groupBy("sig").agg(F.min(F.struct(share_of, "key", *own)).alias("h"))
-    star = member.join(hub, "sig").select("often", "key", *own, "h.share", F.col("h.key").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in own])
+    star = member.join(hub, "sig").select("often", "key", *own, F.col("h.key").alias("hub"), *[F.col(f"h.{c}").alias(f"hub_{c}") for c in own])
 
     def near(other: str) -> Column:
         """Whether a set can link with the one in the columns named other + ...: by sizes, rare shingles and sketches."""
@@ -338,44 +339,27 @@ def linked(docs: DataFrame, width: int = 5, percent: int = 80, seed: int = 0) ->
         return ((100 + percent) * same >= percent * (n + m)) & ((100 + percent) * (n + m - apart) >= 2 * percent * (n + m))
 
     pair = F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")
-    star = stored(star.where(near("hub_") & (F.col("key") != F.col("hub"))).select("key", "hub", "share").distinct(), "stars")
-    links, tested, label = [], [], None
-
-    def of(df: DataFrame, key: str, name: str) -> DataFrame:
-        """df with the component of its key so far."""
-        if label is None:
-            return df.withColumn(name, F.col(key))
-        return df.join(label.select(F.col("node").alias(key), "label"), key, "left").withColumn(name, F.coalesce("label", key)).drop("label")
-
-    def tell(pairs: DataFrame) -> None:
-        """Test pairs that were not tested yet and join the components of those that link."""
-        nonlocal label
-        for done in tested:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        tested.append(stored(pairs, "pairs"))
-        if label is not None and tested[-1].isEmpty():
-            return
-        links.append(_verified(texts, tested[-1], width, percent, seed))
-        if label is None or not links[-1].isEmpty():
-            label = components(functools.reduce(DataFrame.union, links))
-
-    tell(star.groupBy("key").agg(F.min(F.struct("share", "hub")).alias("h")).select("key", "h.hub").select(*pair).distinct())
-    tell(of(of(star.select("key", "hub"), "key", "x"), "hub", "y").where("x <> y").select(*pair).distinct())
-
-    member_of = of(member, "key", "x")
+    star = star.where(near("hub_") & (F.col("key") != F.col("hub"))).select(*pair).distinct()
+    star, links = _verified(texts, star, width, percent, seed)
+    label = components(links)
+
+    member_of = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("x", F.coalesce("label", "key")).drop("label")
     apart = member_of.groupBy("sig").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.min(F.struct(share_of, "key", "x")).alias("h")).where("lo <> hi").select("sig", F.col("h.x").alias("main"))
     band = F.floor(F.log("n") / (np.log(100 / percent) * (1 + 1e-9))).cast("int")  # sizes that can link are in one band or in neighbours
     near_by = stored(member_of.join(apart, "sig").withColumn("band", band), "apart")
     left = near_by.where("x <> main").select("sig", "often", "x", "key", *own, F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
     right = near_by.select("sig", "band", F.col("x").alias("y"), F.col("key").alias("hub"), *[F.col(c).alias(f"hub_{c}") for c in own])
     cross = left.join(right, ["sig", "band"]).where((F.col("x") != F.col("y")) & near("hub_"))
-    tell(cross.select(*pair).distinct())
-    discard(frequent, size, member, star, near_by, *tested, *links)
+    cross, more = _verified(texts, cross.select(*pair).distinct().join(star, ["a", "b"], "left_anti"), width, percent, seed)
+    if not more.isEmpty():
+        label = components(links.union(more))
+    discard(frequent, size, member, near_by, star, cross, links, more)
     return documents, label.toDF("key", "label")
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets are similar enough, written down."""
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b) of keys, written down, and those of them whose sets are similar enough."""
+    pairs = stored(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     table = texts.sparkSession.sparkContext.broadcast(bitmap(ends, bits_for(2 * pairs.count())))
     sets = texts.select("text").mapInArrow(lean(_sets(width, table, seed)), "key long, tokens binary").dropDuplicates(["key"])
@@ -383,7 +367,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int, seed
     x = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     links = stored(x.select("a", "b", "x", "y").mapInArrow(lean(_overlaps(100, percent)), "a long, b long"), "links")
     discard(sets)
-    return links
+    return pairs, links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

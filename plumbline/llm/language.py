@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.shared import lean, small_batches
+from plumbline.llm.shared import lean, release, small_batches
 
 SLOTS = 1 << 13
 SAMPLE = 400  # training rows a language from which centroids are made
@@ -157,17 +157,20 @@ def fit(docs: DataFrame) -> dict:
         within = within | ((F.col("lang") == lang) & (F.col("draw") <= last))
     sample = train.where(within).groupBy("lang", "draw").agg(F.first("text").alias("text")).select("lang", "text").mapInArrow(lean(_vectors), "lang string, slots binary, counts binary").toArrow()
     by: dict[str, list] = {}
-    for lang, slots, counts in sorted(zip(*(sample.column(c).to_pylist() for c in ("lang", "slots", "counts")))):
-        row = np.zeros(SLOTS, np.int32)
-        row[np.frombuffer(slots, np.uint16)] = np.frombuffer(counts, np.int32)
+    for lang, *row in sorted(zip(*(sample.column(c).to_pylist() for c in ("lang", "slots", "counts")))):
         by.setdefault(lang, []).append(row)
+    del sample
     centres, of, least = [], [], []
-    for lang in sorted(by):
-        x = weighted(np.array(by[lang]), idf)
+    for lang, rows in sorted(by.items()):
+        counts = np.zeros((len(rows), SLOTS), np.int32)
+        for k, (slots, n) in enumerate(rows):
+            counts[k, np.frombuffer(slots, np.uint16)] = np.frombuffer(n, np.int32)
+        x = weighted(counts, idf)
         c = _clusters(x, CLUSTERS)
-        least += [_bounds(np.max(x @ c.T, 1), lengths(np.array(by[lang])))] * len(c)
+        least += [_bounds(np.max(x @ c.T, 1), lengths(counts))] * len(c)
         centres.append(c)
         of += [lang] * len(c)
+    release()
     if not of:
         return {"idf": idf, "centres": np.zeros((0, SLOTS), np.float32), "of": [], "least": np.zeros((0, LENGTHS))}
     return {"idf": idf, "centres": np.concatenate(centres).astype(np.float32), "of": of, "least": np.array(least)}

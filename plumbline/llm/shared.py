@@ -44,17 +44,22 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Give this process's freed memory back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable) -> Callable:
-    """run for mapInArrow, giving freed memory back when a task ends: Python workers outlive their tasks, and the next stage's too."""
+    """run for mapInArrow, with release() when a task ends: Python workers outlive their tasks, and what they keep adds up."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-            if trim:
-                trim(0)
+            release()
 
     return inner
 
@@ -143,6 +148,8 @@ def bitmap(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
     out = np.zeros(bits // 32, np.uint32)
     got = words.toArrow()
     out[got.column("w").to_numpy()] = got.column("v").to_numpy().astype(np.uint32)
+    del got
+    release()
     return out
 
 
