@@ -20,16 +20,23 @@ VOLATILITY_LOOKBACK, COMPRESSION, NARROW, EXPANSION_ATR, EXPANSION_WINDOW = 52,
 CANDLE_CONTEXT, DOJI_BODY, SHADOW_BODY, OPPOSITE_SHADOW, STAR_FIRST, STAR_MIDDLE = 5, 0.1, 2.0, 0.25, 0.6, 0.3
 BREAKOUT_CONFIRM, BREAKOUT_CONTRADICT, CLIMAX_RVOL, CLIMAX_ATR, OBV_BARS, OBV_BAND = 1.5, 0.8, 2.5, 2.0, 10, 0.10
 DIVERGENCE_BARS, RSI_DELTA, DIVERGENCE_EXPIRY = (4, 52), 2.0, 26
-DOUBLE = {"equal": 0.5, "least": 4, "most": 60, "height": 2.0}
-TRIPLE = {"equal": 0.5, "least": 8, "most": 90, "height": 2.0}
-V_SHAPE = {"move": 4.0, "bars": 8, "recovery": 0.618}
-RECTANGLE = {"band": 0.75, "height": 2.0, "least": 8, "most": 104}
-SHOULDERS = {"prominence": 1.0, "shoulder": 1.5, "balance": (0.4, 2.5), "slope": 0.25, "height": 2.0, "most": 104}
+DOUBLE = {"equal": 0.5, "least": 4, "most": 60, "height": 2.0, "wait": 26}
+TRIPLE = {"equal": 0.5, "least": 8, "most": 90, "height": 2.0, "wait": 26}
+V_SHAPE = {"move": 4.0, "bars": 8, "recovery": 0.618, "wait": 8}
+RECTANGLE = {"band": 0.75, "height": 2.0, "least": 8, "most": 104, "wait": 52}
+SHOULDERS = {"prominence": 1.0, "shoulder": 1.5, "balance": (0.4, 2.5), "slope": 0.25, "height": 2.0, "most": 104, "wait": 26}
 TRENDLINE_BARS, TRENDLINE_TOUCH = (4, 104), 0.5
 ZONE_TOLERANCE, ZONE_WIDTH, ZONES_A_SIDE, RECENCY = 0.5, 0.25, 4, 26.0
 RETEST_WINDOW, RETEST_ATR, FALSE_WINDOW = 10, 0.5, 3
 MOVE_WARN, MOVE_BREAK, GAP_SESSIONS, MISSING_RATIO = 0.25, 0.5, 65, 0.02
 SIGMA_WINDOW, SIGMA_MULTIPLE, TOLERANCE = 250, 5.0, 0.15
-CONVERGING = {"flat": 0.02, "symmetry": 3.0, "converge": 0.75, "apex": 52, "height": 2.0, "least": 8, "most": 104}
-FLAG = {"pole": 3.0, "pole_bars": 6, "least": 3, "most": 12, "retrace": 0.5, "parallel": 0.05, "flat": 0.02}
-ROUNDING = {"rim": 2.0, "least": 20, "most": 156, "r2": 0.6, "vertex": (0.25, 0.75), "depth": 3.0}
+CONVERGING = {"flat": 0.02, "symmetry": 3.0, "converge": 0.75, "apex": 52, "height": 2.0, "least": 8, "most": 104, "wait": 52, "touch": 0.5}
+FLAG = {"pole": 3.0, "pole_bars": 6, "least": 3, "most": 12, "retrace": 0.5, "parallel": 0.05, "flat": 0.02, "converge": 0.75, "touch": 0.5}
+ROUNDING = {"rim": 2.0, "least": 20, "most": 156, "r2": 0.6, "vertex": (0.25, 0.75), "depth": 3.0, "low": 0.5, "wait": 26}
+CUP = {"rim": 2.0, "least": 7, "most": 65, "depth": 3.0, "ratio": 0.5, "r2": 0.5, "handle": (1, 10), "handle_ratio": 0.5, "wait": 13}
+BREAKOUT_ATR, FAIL_WINDOW, COMPLETION_WINDOW, MOVE_ZONE_ATR = 0.25, 8, 52, 0.5
+NEW_BARS, RECENT_BARS, APPROACH_ATR, FORMING_A_TYPE = 4, 4, 1.0, 2
+ZONE_WEIGHTS = {"touch": 1.0, "sources": 1.0, "volume": 0.5, "recency": 2.0}
+FIB_IN_ZONES = (0.382, 0.5, 0.618)
+TRENDLINES_A_SIDE = 2
+MACD_DELTA, OBV_DELTA, VOLUME_DROP = 0.05, 0.05, 0.10

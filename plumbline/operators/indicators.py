@@ -23,21 +23,24 @@ def windowed(bars: DataFrame) -> DataFrame:
     return out.withColumns({"upper": upper, "lower": lower, "bandwidth": F.when(mid != 0, (upper - lower) / mid), "volume_state": S.volume_state(F.col("rvol"))}).drop("dc")
 
 
-def ema(x: np.ndarray, n: int) -> np.ndarray:
-    """Exponential mean seeded with the mean of the first n values; leading nulls are skipped."""
-    out = np.full(len(x), np.nan)
-    valid = np.flatnonzero(~np.isnan(x))
-    if len(valid) < n:
-        return out
-    first = valid[0]
-    if np.isnan(x[first:]).any():
-        raise ValueError("a value is missing inside the series")
-    at = first + n - 1
-    value = out[at] = x[first : at + 1].sum() / n
-    a = 2.0 / (n + 1)
-    for t in range(at + 1, len(x)):
-        value = out[t] = value + a * (x[t] - value)
-    return out
+def emas(x: np.ndarray, periods: list[int]) -> np.ndarray:
+    """A row of exponential means of x for each period, all in one pass over x.
+
+    A mean of n begins as the plain mean of the first n values and then moves 2 / (n + 1) of the way to each
+    value. Nulls before the first value are no values; one after it is an error.
+    """
+    n = np.array(periods, float)
+    means = np.full((len(n), len(x)), np.nan)
+    there = ~np.isnan(x)
+    start = int(np.argmax(there)) if there.any() else len(x)
+    if not there[start:].all():
+        raise ValueError("a series has a gap")
+    now, total = np.zeros(len(n)), 0.0
+    for k, value in enumerate(x[start:].tolist(), 1):
+        total += value
+        now = np.where(n == k, total / k, now + 2 / (n + 1) * (value - now))
+        means[n <= k, start + k - 1] = now[n <= k]
+    return means
 
 
 def wilder(x: np.ndarray, n: int, first: int) -> np.ndarray:
@@ -74,9 +77,10 @@ RECURSIVE = [*(f"ema{n}" for n in C.EMA), "macd", "macd_signal", "macd_histogram
 def _one(df: pd.DataFrame) -> pd.DataFrame:
     df = df.sort_values("i")
     h, l, c = (df[x].to_numpy(float) for x in "hlc")  # noqa: E741
-    got = {f"ema{n}": ema(c, n) for n in C.EMA}
-    line = ema(c, C.MACD_FAST) - ema(c, C.MACD_SLOW)
-    signal = ema(line, C.MACD_SIGNAL)
+    fast, slow, *rest = emas(c, [C.MACD_FAST, C.MACD_SLOW, *C.EMA])
+    got = {f"ema{n}": x for n, x in zip(C.EMA, rest)}
+    line = fast - slow
+    signal = emas(line, [C.MACD_SIGNAL])[0]
     a = atr(h, l, c)
     got |= {"macd": line, "macd_signal": signal, "macd_histogram": line - signal, "rsi": rsi(c), "atr": a, "atr_percent": 100 * a / c}
     return df.assign(**{k: pd.Series(v, df.index).astype(object).where(~np.isnan(v), None) for k, v in got.items()})

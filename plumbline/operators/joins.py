@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,22 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, within_key:
     """The number-th page (from 0) of `size` rows of every key in the order."""
     place = F.row_number().over(Window.partitionBy(within_key).orderBy(*order))
     return df.withColumn("place", place).where(F.col("place").between(number * size + 1, (number + 1) * size))
+
+
+def cursor(content: str, predicates: str, place: int) -> str:
+    """A page's end, bound to the content's version and the predicates it was read with."""
+    return f"{_bound(content, predicates)}:{place}"
+
+
+def _bound(content: str, predicates: str) -> str:
+    return hashlib.sha256(f"{predicates}|{content}".encode()).hexdigest()[:12]
+
+
+def after(df: DataFrame, order: list[Column], since: str, content: str, predicates: str, size: int) -> DataFrame:
+    """The page of `size` rows after a cursor, each with its place and own cursor; a cursor of other content or predicates is refused."""
+    bound, place = since.split(":")
+    if bound != _bound(content, predicates):
+        raise ValueError("the cursor belongs to other content or predicates")
+    first = df.orderBy(*order).limit(int(place) + size)  # Spark keeps that many rows of each partition, no more
+    x = first.withColumn("place", F.row_number().over(Window.orderBy(*order))).where(F.col("place") > int(place))
+    return x.withColumn("cursor", F.concat(F.lit(f"{bound}:"), F.col("place").cast("string")))

@@ -92,9 +92,8 @@ def segments(daily: DataFrame, breaks: DataFrame) -> DataFrame:
 
 def missing_sessions(daily: DataFrame, most: float = C.MISSING_RATIO) -> DataFrame:
     """sid, expected, traded, ratio, status: sessions of the calendar within each share's span that it did not trade."""
-    days = daily.select("day").distinct()
-    span = daily.groupBy("sid").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.countDistinct("day").alias("traded"))
-    x = span.join(F.broadcast(days), F.col("day").between(F.col("lo"), F.col("hi"))).groupBy("sid", "traded").agg(F.count("*").alias("expected"))
+    calendar = daily.select("day").distinct().withColumn("session", F.row_number().over(Window.orderBy("day")))  # a row a day: bounded by time, not by data
+    x = daily.select("sid", "day").join(F.broadcast(calendar), "day").groupBy("sid").agg((F.max("session") - F.min("session") + 1).cast("long").alias("expected"), F.countDistinct("day").alias("traded"))
     ratio = (F.col("expected") - F.col("traded")) / F.col("expected")
     return x.select("sid", "expected", "traded", ratio.alias("ratio"), F.when(ratio > most, "WARN").otherwise("PASS").alias("status"))
 
@@ -105,3 +104,34 @@ def spans(seen: DataFrame, gap: int) -> DataFrame:
     new = F.coalesce(F.datediff("day", F.lag("day").over(w)) > gap, F.lit(True))
     x = seen.distinct().withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy("key", "value", "island").agg(F.min("day").alias("since"), F.max("day").alias("until"), F.count("*").alias("n")).drop("island")
+
+
+def findings(daily: DataFrame, decided: DataFrame, gap_sessions: int = C.GAP_SESSIONS, discontinuity: float = C.MOVE_BREAK, move: float = C.MOVE_WARN) -> DataFrame:
+    """sid, day, code, severity, breaks: what is wrong with shares, from daily bars (sid, day, o, c) and their actions' decisions.
+
+    Actions that were refused, doubted or conflict, too many missing sessions, long trading gaps, and jumps of the open over the
+    close before that no action's boundary explains: those beyond `discontinuity` break the series, those beyond `move` are told.
+    """
+    judged = decided.where(F.col("status").isin("REJECTED", "SUSPECT", "CONFLICTING", "PENDING"))
+    code = F.when(F.col("status") == "REJECTED", "FACTOR_REJECTED").when(F.col("status") == "SUSPECT", "FACTOR_SUSPECT").when(F.col("status") == "CONFLICTING", "FACTOR_CONFLICT").otherwise("FACTOR_PENDING")
+    broken = (F.col("status") == "CONFLICTING") | ((F.col("status") == "REJECTED") & (F.abs("raw_gap") > F.col("tolerance")))
+    a = judged.select("sid", F.col("boundary").alias("day"), code.alias("code"), F.when(F.col("status") == "PENDING", "INFO").otherwise("WARN").alias("severity"), F.coalesce(broken, F.lit(False)).alias("breaks"))
+
+    def told(df: DataFrame, name: str, severity: str, breaks: bool) -> DataFrame:
+        return df.select("sid", "day", F.lit(name).alias("code"), F.lit(severity).alias("severity"), F.lit(breaks).alias("breaks"))
+
+    last = daily.groupBy("sid").agg(F.max("day").alias("day"))
+    lacking = missing_sessions(daily).where("status = 'WARN'").join(last, "sid")
+    jumps = gaps(daily).where(F.abs("gap") > move).join(decided.select("sid", F.col("boundary").alias("day")).distinct(), ["sid", "day"], "left_anti")
+    big = F.abs("gap") > discontinuity
+    return a.unionByName(told(lacking, "MISSING_SESSIONS", "WARN", False)).unionByName(told(trading_gaps(daily, gap_sessions), "TRADING_GAP", "WARN", True)).unionByName(told(jumps.where(big), "UNEXPLAINED_PRICE_DISCONTINUITY", "WARN", True)).unionByName(told(jumps.where(~big), "UNEXPLAINED_MOVE", "INFO", False))
+
+
+def gap_tally(daily: DataFrame, decided: DataFrame, limit: float) -> DataFrame:
+    """class, n: jumps beyond the limit before or after the applied factors: RESOLVED, NEW, WORSENED, REDUCED by them, or UNEXPLAINED."""
+    used = decided.where(F.col("status").isin("VERIFIED", "CONSISTENT", "SUSPECT")).select("sid", F.col("boundary").alias("day"), F.exp("log_factor").alias("factor"))
+    x = gaps(daily).where("before > 0").join(used, ["sid", "day"], "left")
+    x = x.withColumn("adjusted", F.col("o") / (F.col("before") * F.coalesce("factor", F.lit(1.0))) - 1)
+    raw, adj, acted = F.abs("gap"), F.abs("adjusted"), F.col("factor").isNotNull()
+    kind = F.when((raw > limit) & (adj <= limit), "RESOLVED").when(raw <= limit, "NEW").when(acted & (adj > raw), "WORSENED").when(acted, "REDUCED").otherwise("UNEXPLAINED")
+    return x.where((raw > limit) | (adj > limit)).groupBy(kind.alias("class")).agg(F.count("*").alias("n"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import config as C
-from plumbline.operators import swings as swing_ops
 
 
 def _scan(sid: int, bars: pd.DataFrame, swings: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
@@ -96,23 +95,40 @@ def retracements(swings: DataFrame, bars: DataFrame) -> DataFrame:
     return out.select("sid", "anchor_bar", "bar", "known", F.when(up, "UP").otherwise("DOWN").alias("direction"), status.alias("status"), F.col("x.t").alias("ended"), *[v.alias(k) for k, v in levels.items()])
 
 
+def swing_levels(swings: DataFrame) -> DataFrame:
+    """sid, source, price, known, role, bar: a level for each swing price."""
+    return swings.select("sid", F.lit("SWING").alias("source"), "price", "known", F.when(F.col("kind") == "LOW", "SUPPORT").otherwise("RESISTANCE").alias("role"), F.col("bar"))
+
+
 def level_sources(swings: DataFrame, found: DataFrame) -> DataFrame:
-    """sid, source, price, known, role: a level for each swing price and each break's level."""
-    a = swings.select("sid", F.lit("SWING").alias("source"), "price", "known", F.when(F.col("kind") == "LOW", "SUPPORT").otherwise("RESISTANCE").alias("role"), F.col("bar"))
+    """sid, source, price, known, role, bar: a level for each swing price and each break's level."""
     b = found.select("sid", F.col("event").alias("source"), F.col("level").alias("price"), F.col("t").alias("known"), F.when(F.col("direction") == "UP", "SUPPORT").otherwise("RESISTANCE").alias("role"), F.col("swing_bar").alias("bar"))
-    return a.unionByName(b)
+    return swing_levels(swings).unionByName(b)
+
+
+def _flips(key: tuple, bars: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
+    """The changes of role of a series' levels, one pass over its bars with all levels at once."""
+    columns = ["sid", "source", "bar", "price", "known", "t", "role"]
+    if bars.empty or levels.empty:
+        return pd.DataFrame([], columns=columns)
+    bars = bars.sort_values("i")
+    close, buffer = bars["c"].to_numpy(float), C.BREAK_ATR * np.nan_to_num(bars["atr"].to_numpy(float))
+    price, known = levels["price"].to_numpy(float), levels["known"].to_numpy()
+    support = (levels["role"] == "SUPPORT").to_numpy()
+    rows = []
+    for t in range(len(close)):
+        turned = (known < t) & np.where(support, close[t] < price - buffer[t], close[t] > price + buffer[t])
+        if turned.any():
+            support = support ^ turned
+            rows += [(k, t, "SUPPORT" if support[k] else "RESISTANCE") for k in np.flatnonzero(turned)]
+    own = list(zip(*(levels[c].tolist() for c in columns[:5])))
+    return pd.DataFrame([(*own[k], t, role) for k, t, role in rows], columns=columns)
 
 
 def role_changes(levels: DataFrame, bars: DataFrame) -> DataFrame:
-    """levels with every change of role: a close beyond the price by BREAK_ATR turns support into resistance and back.
-
-    Closes between both bounds keep the role, so a change is a bar whose side differs from the last decided side.
-    """
-    b = bars.select("sid", F.col("i").cast("long").alias("t"), F.col("c").cast("double").alias("c"), (C.BREAK_ATR * F.coalesce("atr", F.lit(0.0))).alias("buffer"))
-    sided = levels.join(b, "sid").where("t > known").withColumn("side", F.when(F.col("c") < F.col("price") - F.col("buffer"), "RESISTANCE").when(F.col("c") > F.col("price") + F.col("buffer"), "SUPPORT")).where("side is not null")
-    w = Window.partitionBy("sid", "source", "bar", "price", "known").orderBy("t")
-    changed = sided.withColumn("before", F.coalesce(F.lag("side").over(w), F.col("role"))).where("side <> before")
-    return changed.select("sid", "source", "bar", "price", "known", "t", F.col("side").alias("role"))
+    """levels with every change of role: a close beyond the price by BREAK_ATR turns support into resistance and back."""
+    both = bars.select("sid", "i", "c", "atr").groupBy("sid").cogroup(levels.select("sid", "source", "bar", "price", "known", "role").distinct().groupBy("sid"))
+    return both.applyInPandas(_flips, "sid long, source string, bar long, price double, known long, t long, role string")
 
 
 def current_roles(levels: DataFrame, changes: DataFrame) -> DataFrame:
@@ -167,5 +183,10 @@ def zones(levels: DataFrame, bars: DataFrame) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= C.ZONES_A_SIDE)
 
 
-def swings_of(bars: DataFrame) -> DataFrame:
-    return swing_ops.primary(bars)
+def overview(bars: DataFrame, states: DataFrame, swings: DataFrame, found: DataFrame) -> DataFrame:
+    """share, segment, last, close, state, swings, breaks of each share's current segment, that of its last bar."""
+    w = Window.partitionBy("share").orderBy(F.col("segment").desc())
+    ends = bars.groupBy("share", "segment", "sid").agg(F.max(F.struct("i", "c")).alias("x")).withColumn("place", F.row_number().over(w)).where("place = 1")
+    state = states.groupBy("sid").agg(F.max_by("state", "since").alias("state"))
+    out = ends.join(state, "sid", "left").join(swings.groupBy("sid").agg(F.count("*").alias("swings")), "sid", "left").join(found.groupBy("sid").agg(F.count("*").alias("breaks")), "sid", "left")
+    return out.select("share", "segment", F.col("x.i").alias("last"), F.col("x.c").alias("close"), "state", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("swings", "breaks")])

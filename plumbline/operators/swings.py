@@ -89,6 +89,12 @@ def primary(bars: DataFrame) -> DataFrame:
     return labelled(swings)
 
 
+def fine(bars: DataFrame) -> DataFrame:
+    """The swings of one ATR with the ATR of their bar."""
+    found_ = found(bars, "ATR", {"MICRO": C.ATR_MULTIPLE["MICRO"]}).drop("method", "sensitivity")
+    return found_.join(bars.select("sid", F.col("i").cast("long").alias("bar"), "atr"), ["sid", "bar"])
+
+
 def labelled(swings: DataFrame) -> DataFrame:
     """swings with label: each high and low against the one of its kind known before."""
     last = F.lag("price").over(Window.partitionBy("sid", "kind").orderBy("known", "bar"))

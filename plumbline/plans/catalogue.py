@@ -9,21 +9,36 @@ from pyspark.sql import functions as F
 
 from plumbline import config as C
 from plumbline.functions import series as S
-from plumbline.operators import evidence, indicators, joins, patterns, quality, structure, swings
-from plumbline.plans import records, sql  # noqa: F401  records registers its queries
+from plumbline.operators import evidence, indicators, joins, lifecycle, patterns, quality, structure, swings
+from plumbline.plans import market, records, shapes, sql  # noqa: F401  market and records register their queries
 from plumbline.plans.registry import QUERIES, SQL, query
+from plumbline.sources.store import materialised
 from plumbline.sources.tables import bars, hourly_events, table, trades, weekly
 
+
 def r6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
 
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indicators.recursive(weekly(spark, sf_dir))
+    """Weekly bars with every indicator."""
+    return materialised(spark, sf_dir, "bars", lambda: indicators.all_indicators(weekly(spark, sf_dir)))
+
+
+def _swings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised(spark, sf_dir, "swings", lambda: swings.primary(_bars(spark, sf_dir)))
+
+
+def _fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised(spark, sf_dir, "fine", lambda: swings.fine(_bars(spark, sf_dir)))
+
+
+def _breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised(spark, sf_dir, "breaks", lambda: structure.breaks(_bars(spark, sf_dir), _swings(spark, sf_dir)))
 
 
-def _swings(b: DataFrame) -> DataFrame:
-    return swings.primary(b)
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised(spark, sf_dir, "states", lambda: structure.trend_states(_bars(spark, sf_dir), _swings(spark, sf_dir)))
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +47,14 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {sql.BARS}
-SELECT sid, i, week, o, h, l, c, v, n, CASE WHEN count(c) OVER w10 = 10 THEN round(avg(c) OVER w10, 6) END AS sma10,
+SELECT sid, share, segment, i, week, o, h, l, c, v, n, CASE WHEN count(c) OVER w10 = 10 THEN round(avg(c) OVER w10, 6) END AS sma10,
   CASE WHEN count(v) OVER w20 = 20 THEN round(v / avg(v) OVER w20, 6) END AS rvol,
   CAST(sum(d * v) OVER (PARTITION BY sid ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS obv
 FROM (SELECT *, coalesce(sign(c - lag(c) OVER (PARTITION BY sid ORDER BY i)), 0) AS d FROM b)
 WINDOW w10 AS (PARTITION BY sid ORDER BY i ROWS 9 PRECEDING), w20 AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = weekly(spark, sf_dir).withColumn("dc", F.col("c") - F.lag("c").over(S.by_bar()))
-    return b.select("sid", "i", "week", "o", "h", "l", "c", "v", "n", F.round(S.sma(F.col("c"), 10), 6).alias("sma10"), F.round(S.relative_volume(), 6).alias("rvol"), S.obv().alias("obv"))
+    return b.select("sid", "share", "segment", "i", "week", *"ohlcv", "n", F.round(S.sma(F.col("c"), 10), 6).alias("sma10"), F.round(S.relative_volume(), 6).alias("rvol"), S.obv().alias("obv"))
 
 
 _SMAS = ", ".join(f"CASE WHEN count(c) OVER w{n} = {n} THEN round(avg(c) OVER w{n}, 6) END AS sma{n}" for n in C.SMA)
@@ -62,7 +77,7 @@ SELECT sid, i, {", ".join(f"sma{n}" for n in C.SMA)}, round(raw_k, 6) AS raw_k,
   CASE WHEN rvol IS NULL THEN NULL WHEN rvol >= 1.5 THEN 'EXPANSION' WHEN rvol <= 0.67 THEN 'CONTRACTION' ELSE 'NORMAL' END AS volume_state
 FROM k WINDOW w3 AS (PARTITION BY sid ORDER BY i ROWS 2 PRECEDING)""")
 def window_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = indicators.windowed(weekly(spark, sf_dir))
+    x = _bars(spark, sf_dir)
     return x.select("sid", "i", *r6(*(f"sma{n}" for n in C.SMA), "raw_k", "k", "d", "roc"), "tr", *r6("upper", "lower", "bandwidth", "volume_sma"), "volume_trend", "volume_state")
 
 
@@ -73,7 +88,8 @@ def _ema_sql(n: int, x: str = "c") -> str:
 _EMAS = sorted({*C.EMA, C.MACD_FAST, C.MACD_SLOW})
 
 
-@query(f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
+def _recursive_sql(digits: int) -> str:
+    return f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
 t AS MATERIALIZED (
   SELECT *, greatest(c - pc, 0) AS up, greatest(pc - c, 0) AS down, {", ".join(f"avg(c) OVER (PARTITION BY sid ORDER BY i ROWS {n - 1} PRECEDING) AS s{n}" for n in _EMAS)},
     avg(greatest(c - pc, 0)) OVER w14 AS up14, avg(greatest(pc - c, 0)) OVER w14 AS down14
@@ -89,9 +105,12 @@ g AS (
   SELECT sid, i, CAST(NULL AS DOUBLE) AS signal FROM m WHERE i = 0
   UNION ALL
   SELECT m.sid, m.i, CASE WHEN m.i < 33 THEN NULL WHEN m.i = 33 THEN m.s9 ELSE g.signal + 0.2 * (m.macd - g.signal) END FROM g JOIN m ON m.sid = g.sid AND m.i = g.i + 1)
-SELECT m.sid, m.i, {", ".join(f"round(m.e{n}, 4) AS ema{n}" for n in C.EMA)}, round(m.macd, 4) AS macd, round(g.signal, 4) AS macd_signal, round(m.macd - g.signal, 4) AS macd_histogram,
-  round(CASE WHEN m.g IS NULL THEN NULL WHEN m.f = 0 THEN CASE WHEN m.g = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + m.g / m.f) END, 4) AS rsi, round(t.atr, 4) AS atr, round(100 * t.atr / t.c, 4) AS atr_percent
-FROM m JOIN g ON g.sid = m.sid AND g.i = m.i JOIN t ON t.sid = m.sid AND t.i = m.i""")
+SELECT m.sid, m.i, {", ".join(f"round(m.e{n}, {digits}) AS ema{n}" for n in C.EMA)}, round(m.macd, {digits}) AS macd, round(g.signal, {digits}) AS macd_signal, round(m.macd - g.signal, {digits}) AS macd_histogram,
+  round(CASE WHEN m.g IS NULL THEN NULL WHEN m.f = 0 THEN CASE WHEN m.g = 0 THEN 50.0 ELSE 100.0 END ELSE 100 - 100 / (1 + m.g / m.f) END, {digits}) AS rsi, round(t.atr, {digits}) AS atr, round(100 * t.atr / t.c, {digits}) AS atr_percent
+FROM m JOIN g ON g.sid = m.sid AND g.i = m.i JOIN t ON t.sid = m.sid AND t.i = m.i"""
+
+
+@query(_recursive_sql(4))
 def recursive_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(spark, sf_dir).select("sid", "i", *[F.round(k, 4).alias(k) for k in indicators.RECURSIVE])
 
@@ -121,7 +140,13 @@ def reversal_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return swings.found(weekly(spark, sf_dir), "ATR", C.ATR_MULTIPLE).drop("method")
 
 
-@query()
+_TIERS = f"CASE m {' '.join(f'WHEN {v} THEN {chr(39)}{k}{chr(39)}' for k, v in C.PERCENT.items())} ELSE 'FINE' END"
+_PERCENTS = ", ".join(f"({v}.0)" for v in C.PERCENT.values())
+
+
+@query(f"""WITH RECURSIVE {sql.BARS}, {sql.swings(_PERCENTS, "z.m * {} / 100", ha="h", la="l")},
+y AS (SELECT * FROM (WITH RECURSIVE {sql.swings("(0.2), " + _PERCENTS, "z.m * {} / 100", "c", "c", "c", "c")} SELECT * FROM z))
+SELECT sid, 'PERCENT' AS method, {_TIERS} AS sensitivity, kind, bar, known, price FROM z UNION ALL SELECT sid, 'ZIGZAG', {_TIERS}, kind, bar, known, price FROM y""")
 def percent_swings(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = weekly(spark, sf_dir)
     return swings.found(b, "PERCENT", C.PERCENT).unionByName(swings.found(b, "ZIGZAG", {"FINE": 0.2, **C.PERCENT}))
@@ -132,20 +157,19 @@ SELECT sid, kind, bar, known, price, round(atr, 4) AS atr, label, price - lag(pr
   round(abs(price - lag(price) OVER w) / CASE WHEN atr > 0 THEN atr END, 4) AS strength
 FROM lab WINDOW w AS (PARTITION BY sid ORDER BY known, bar, kind)""")
 def swing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _swings(_bars(spark, sf_dir))
+    s = _swings(spark, sf_dir)
     return s.select("sid", "kind", "bar", "known", "price", F.round("atr", 4).alias("atr"), "label", "move", "bars", F.round("strength", 4).alias("strength"))
 
 
-@query()
+@query(f"WITH RECURSIVE {sql.STRUCTURE} SELECT * FROM brk")
 def structure_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    return structure.breaks(b, _swings(b))
+    return _breaks(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH RECURSIVE {sql.STRUCTURE}
+SELECT sid, i AS since, state, CASE regime WHEN 1 THEN 'UP' WHEN -1 THEN 'DOWN' END AS regime, CASE pending WHEN 1 THEN 'UP' WHEN -1 THEN 'DOWN' END AS pending FROM walk WHERE i >= 0 AND state IS DISTINCT FROM prior""")
 def trend_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    return structure.trend_states(b, _swings(b))
+    return _states(spark, sf_dir)
 
 
 _FIB = [*(f"r{int(r * 1000)}" for r in C.RETRACEMENTS), *(f"e{int(e * 1000)}" for e in C.EXTENSIONS)]
@@ -164,7 +188,7 @@ SELECT ok.sid, ok.anchor_bar, ok.bar, ok.known, CASE WHEN price > anchor THEN 'U
 FROM ok LEFT JOIN hit ON hit.sid = ok.sid AND hit.bar = ok.bar AND hit.anchor_bar = ok.anchor_bar""")
 def retracements(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bars(spark, sf_dir)
-    x = structure.retracements(_swings(b), b)
+    x = structure.retracements(_swings(spark, sf_dir), b)
     return x.select("sid", "anchor_bar", "bar", "known", "direction", "status", "ended", *[F.round(c, 4).alias(c) for c in _FIB])
 
 
@@ -178,24 +202,38 @@ SELECT sid, 'SWING' AS source, bar, price, known, t, side AS role FROM chg
 WHERE side <> coalesce(p, CASE kind WHEN 'LOW' THEN 'SUPPORT' ELSE 'RESISTANCE' END)""")
 def swing_level_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bars(spark, sf_dir)
-    s = _swings(b)
-    levels = structure.level_sources(s, structure.breaks(b, s).limit(0))
-    return structure.role_changes(levels, b)
+    return structure.role_changes(structure.swing_levels(_swings(spark, sf_dir)), b)
 
 
-@query()
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.level_sources(_swings(spark, sf_dir), _breaks(spark, sf_dir))
+
+
+def _flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised(spark, sf_dir, "flips", lambda: structure.role_changes(_levels(spark, sf_dir), _bars(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {sql.LEVELS}, n AS (SELECT sid, source, bar, price, known, arg_max(role, t) AS role, max(t) AS t, count(*) AS flips FROM flip GROUP BY ALL)
+SELECT lv.sid, lv.source, lv.bar, lv.price, lv.known, coalesce(n.role, lv.role) AS role, coalesce(n.t, lv.known) AS since, coalesce(n.flips, 0) AS flips FROM lv LEFT JOIN n ON n.sid = lv.sid AND n.source = lv.source AND n.bar = lv.bar AND n.price = lv.price AND n.known = lv.known""")
 def level_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    s = _swings(b)
-    levels = structure.level_sources(s, structure.breaks(b, s))
-    return structure.current_roles(levels, structure.role_changes(levels, b))
+    return structure.current_roles(_levels(spark, sf_dir), _flips(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {sql.LEVELS},
+last AS (SELECT sid, max(i) AS i, arg_max(c, i)::DOUBLE AS c, arg_max(atr, i) AS atr FROM bb GROUP BY sid),
+src AS (SELECT lv.sid, lv.price, last.c, last.atr, row_number() OVER (PARTITION BY lv.sid ORDER BY lv.price, lv.known, lv.bar, lv.source) AS k FROM lv JOIN last ON last.sid = lv.sid WHERE last.atr IS NOT NULL),
+cl(sid, k, zone, total, n) AS (
+  SELECT sid, k, 1, price, 1 FROM src WHERE k = 1
+  UNION ALL
+  SELECT s.sid, s.k, CASE WHEN near THEN zone ELSE zone + 1 END, CASE WHEN near THEN total + s.price ELSE s.price END, CASE WHEN near THEN n + 1 ELSE 1 END
+  FROM (SELECT src.*, cl.zone, cl.total, cl.n, abs(src.price - cl.total / cl.n) <= 0.5 * src.atr AS near FROM cl JOIN src ON src.sid = cl.sid AND src.k = cl.k + 1) s),
+zz AS (SELECT src.sid, zone, min(price) AS lo, max(price) AS hi, any_value(src.atr) AS atr, any_value(c) AS c, count(*) AS members FROM cl JOIN src ON src.sid = cl.sid AND src.k = cl.k GROUP BY 1, 2),
+zy AS (SELECT *, greatest(0, 0.25 * atr - (hi - lo)) / 2 AS pad FROM zz),
+zw AS (SELECT sid, lo - pad AS low, hi + pad AS high, CASE WHEN (lo + hi) / 2 <= c THEN 'SUPPORT' ELSE 'RESISTANCE' END AS side, members, greatest(0, lo - pad - c, c - hi - pad) AS distance FROM zy)
+SELECT sid, round(low, 4) AS low, round(high, 4) AS high, side, members, round(distance, 4) AS distance, place FROM (SELECT *, row_number() OVER (PARTITION BY sid, side ORDER BY distance, low) AS place FROM zw) WHERE place <= 4""")
 def level_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    s = _swings(b)
-    return structure.zones(structure.level_sources(s, structure.breaks(b, s)), b)
+    z = structure.zones(_levels(spark, sf_dir), _bars(spark, sf_dir))
+    return z.select("sid", *[F.round(c, 4).alias(c) for c in ("low", "high")], "side", "members", F.round("distance", 4).alias("distance"), "place")
 
 
 @query(f"""WITH RECURSIVE {sql.SWINGS},
@@ -209,7 +247,7 @@ FROM n GROUP BY sid, kind, a, b, value, n.slope, made
 HAVING max((z < b AND zk <= made AND away < -0.5 * za)::INT) = 0 AND min(CASE WHEN abs(away) <= 0.5 * za AND zk - b <= 104 THEN greatest(zk, made) END) IS NOT NULL""")
 def trendlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _bars(spark, sf_dir)
-    return structure.trendline_pairs(_swings(b), b).withColumn("slope", F.round("slope", 6))
+    return structure.trendline_pairs(_swings(spark, sf_dir), b).withColumn("slope", F.round("slope", 6))
 
 
 @query(f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
@@ -224,7 +262,7 @@ g AS (SELECT *, coalesce(tr >= 1.5 * pa AND max((e1 OR e2 OR e3)::INT) OVER (PAR
 s AS (SELECT sid, i, {", ".join(f"e{k} AND NOT coalesce(lag(e{k}) OVER (PARTITION BY sid ORDER BY i), false) AS s{k}" for k in (1, 2, 3, 4))} FROM g)
 {" UNION ALL ".join(f"SELECT sid, i, '{name}' AS event FROM s WHERE s{k}" for k, name in enumerate(("ATR_COMPRESSION", "BANDWIDTH_COMPRESSION", "NARROW_RANGE", "EXPANSION"), 1))}""")
 def volatility_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.volatility(indicators.all_indicators(weekly(spark, sf_dir)))
+    return evidence.volatility(_bars(spark, sf_dir))
 
 
 _CANDLES = {
@@ -250,7 +288,7 @@ a AS (
 d AS (SELECT *, abs(c1 - o1) AS b1, abs(c2 - o2) AS b2, h1 - l1 AS r1, h2 - l2 AS r2 FROM a)
 {" UNION ALL ".join(f"SELECT sid, i, '{k}' AS candle, p{n} AS direction FROM d WHERE {rule}" for k, (rule, n) in _CANDLES.items())}""")
 def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.candles(weekly(spark, sf_dir))
+    return evidence.candles(_bars(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {sql.BARS}, {sql.ATR},
@@ -263,106 +301,107 @@ u AS (SELECT *, lag(trend) OVER (PARTITION BY sid ORDER BY i) AS before FROM s)
 SELECT sid, i, CASE WHEN c > pc THEN 'BUYING' ELSE 'SELLING' END || '_CLIMAX' AS event FROM u WHERE rvol >= 2.5 AND tr >= 2.0 * pa
 UNION ALL SELECT sid, i, 'OBV_' || trend FROM u WHERE trend IS NOT NULL AND trend IS DISTINCT FROM before""")
 def volume_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.volume_events(indicators.all_indicators(weekly(spark, sf_dir)))
+    return evidence.volume_events(_bars(spark, sf_dir))
 
 
-@query()
+_DELTAS = {"rsi": "2.0", "macd": "0.05 * atr", "obv": "0.05 * vs"}
+_DIVERGENCE = " UNION ALL ".join(f"""SELECT sid, '{x}' AS indicator, CASE WHEN label = 'LL' AND {x} - {x}0 > {d} THEN 'BULLISH' WHEN label = 'HL' AND {x}0 - {x} > {d} THEN 'HIDDEN_BULLISH' WHEN label = 'HH' AND {x}0 - {x} > {d} THEN 'BEARISH' WHEN label = 'LH' AND {x} - {x}0 > {d} THEN 'HIDDEN_BEARISH' END AS divergence,
+  first, bar AS second, known, price, CASE kind WHEN 'LOW' THEN 1 ELSE -1 END AS side FROM pr WHERE bar BETWEEN first + 4 AND first + 52""" for x, d in _DELTAS.items())
+
+
+@query(f"""WITH RECURSIVE {sql.SWINGS}, ri AS MATERIALIZED ({_recursive_sql(9)}),
+vl AS MATERIALIZED (SELECT bb.sid, bb.i, ri.rsi, ri.macd, CASE WHEN count(v) OVER w20 = 20 THEN avg(v) OVER w20 END AS vs, sum(coalesce(sign(c - pc), 0) * v) OVER (PARTITION BY bb.sid ORDER BY bb.i ROWS UNBOUNDED PRECEDING) AS obv FROM bb JOIN ri ON ri.sid = bb.sid AND ri.i = bb.i WINDOW w20 AS (PARTITION BY bb.sid ORDER BY bb.i ROWS 19 PRECEDING)),
+pr AS (SELECT lab.*, vl.rsi, vl.macd, vl.obv, vl.vs, lag(bar) OVER w AS first, lag(vl.rsi) OVER w AS rsi0, lag(vl.macd) OVER w AS macd0, lag(vl.obv) OVER w AS obv0 FROM lab JOIN vl ON vl.sid = lab.sid AND vl.i = lab.bar WINDOW w AS (PARTITION BY lab.sid, kind ORDER BY known, bar)),
+dv AS (SELECT * FROM ({_DIVERGENCE}) WHERE divergence IS NOT NULL),
+lv AS (SELECT d.*, max(m.price * d.side) * any_value(d.side) AS level FROM dv d JOIN sw m ON m.sid = d.sid AND m.bar > d.first AND m.bar < d.second AND m.known <= d.known AND CASE m.kind WHEN 'LOW' THEN 1 ELSE -1 END = -d.side GROUP BY d.sid, d.indicator, d.divergence, d.first, d.second, d.known, d.price, d.side),
+jd AS (SELECT lv.sid, indicator, divergence, first, second, known, min(CASE WHEN (c - level) * side > 0 THEN i END) AS yes, min(CASE WHEN (c - lv.price) * side < 0 THEN i END) AS no, max(i) AS last FROM lv JOIN bb ON bb.sid = lv.sid AND bb.i BETWEEN known AND known + 26 GROUP BY ALL)
+SELECT sid, indicator, divergence, first, second, known, CASE WHEN yes IS NOT NULL AND (no IS NULL OR yes <= no) THEN 'CONFIRMED' WHEN no IS NOT NULL THEN 'INVALIDATED' WHEN last = known + 26 THEN 'EXPIRED' ELSE 'FORMING' END AS status,
+  CASE WHEN yes IS NOT NULL AND (no IS NULL OR yes <= no) THEN yes WHEN no IS NOT NULL THEN no WHEN last = known + 26 THEN last ELSE known END AS at FROM jd""")
 def divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    return evidence.divergences(_swings(b), b)
+    return evidence.divergences(_swings(spark, sf_dir), _bars(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {sql.STRUCTURE}, vo AS (SELECT sid, i, v, CASE WHEN count(v) OVER p = 20 THEN avg(v) OVER p END AS base FROM bb WINDOW p AS (PARTITION BY sid ORDER BY i ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)), r AS (SELECT *, CASE WHEN base > 0 THEN v / base END AS rvol FROM vo)
+SELECT brk.sid, brk.t, brk.event, brk.direction, r.v AS volume, round(r.rvol, 6) AS rvol, CASE WHEN rvol IS NULL THEN NULL WHEN rvol >= 1.5 THEN 'EXPANSION' WHEN rvol <= 0.67 THEN 'CONTRACTION' ELSE 'NORMAL' END AS volume_state, CASE WHEN rvol >= 1.5 THEN 'CONFIRMED' WHEN rvol < 0.8 THEN 'CONTRADICTED' WHEN rvol IS NOT NULL THEN 'NEUTRAL' END AS verdict FROM brk JOIN r ON r.sid = brk.sid AND r.i = brk.t""")
+def break_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume evidence of each break, as of its bar."""
+    x = evidence.break_volume(_breaks(spark, sf_dir), _bars(spark, sf_dir))
+    return x.withColumn("rvol", F.round("rvol", 6))
+
+
+@query(f"""WITH RECURSIVE {sql.SWINGS}, s AS (SELECT lab.sid, lab.kind, lab.bar, lab.known, lab.label, bb.v, lag(bb.v) OVER (PARTITION BY lab.sid, lab.kind ORDER BY lab.known, lab.bar) AS v0 FROM lab JOIN bb ON bb.sid = lab.sid AND bb.i = lab.bar)
+SELECT sid, kind, bar, known, round(1 - v / v0::DOUBLE, 6) AS fall FROM s WHERE label IN ('HH', 'LL') AND v0 > 0 AND 1 - v / v0::DOUBLE > 0.1""")
+def volume_divergences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Higher highs and lower lows on clearly less volume than the swing before."""
+    x = evidence.volume_divergences(_swings(spark, sf_dir), _bars(spark, sf_dir))
+    return x.withColumn("fall", F.round("fall", 6))
+
+
+@query(f"""WITH RECURSIVE {sql.LEVELS}, n AS (SELECT lv.sid, lv.source, lv.bar, lv.price, lv.known, arg_max(flip.role, flip.t) AS role, max(flip.t) AS t FROM lv LEFT JOIN flip ON flip.sid = lv.sid AND flip.source = lv.source AND flip.bar = lv.bar AND flip.price = lv.price AND flip.known = lv.known AND flip.t <= 120 WHERE lv.known <= 120 GROUP BY ALL)
+SELECT n.sid, n.source, n.bar, n.price, n.known, coalesce(n.role, lv.role) AS role, coalesce(n.t, n.known) AS since FROM n JOIN lv ON n.sid = lv.sid AND n.source = lv.source AND n.bar = lv.bar AND n.price = lv.price AND n.known = lv.known""")
+def levels_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels and their roles as they were known on bar 120."""
+    levels, flips = _levels(spark, sf_dir).where("known <= 120"), _flips(spark, sf_dir).where("t <= 120")
+    return structure.current_roles(levels, flips).select("sid", "source", "bar", "price", "known", "role", "since")
+
+
+@query(f"""WITH RECURSIVE {sql.STRUCTURE}, cur AS (SELECT share, max(segment) AS segment FROM b GROUP BY 1), l AS (SELECT b.share, b.segment, b.sid, max(b.i) AS last, arg_max(b.c, b.i) AS close FROM b JOIN cur USING (share, segment) GROUP BY 1, 2, 3)
+SELECT l.share, l.segment, l.last, l.close, (SELECT arg_max(state, i) FROM walk w WHERE w.sid = l.sid AND i >= 0) AS state, (SELECT count(*) FROM sw WHERE sw.sid = l.sid) AS swings, (SELECT count(*) FROM brk WHERE brk.sid = l.sid) AS breaks FROM l""")
+def share_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current segment of each share: its last bar, trend state and how much structure it has."""
+    return structure.overview(_bars(spark, sf_dir), _states(spark, sf_dir), _swings(spark, sf_dir), _breaks(spark, sf_dir))
+
+
+def _specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised(spark, sf_dir, "specs", lambda: patterns.candidates(_swings(spark, sf_dir), _fine(spark, sf_dir), _bars(spark, sf_dir)))
 
 
-def _judged(family: str, n: int, level: str, rules: list[tuple[str, str]]) -> str:
-    failed = " ".join(f"WHEN NOT coalesce({ok}, false) THEN '{name}'" for name, ok in rules)
-    return f"SELECT sid, '{family}' AS family, CASE WHEN s > 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, b0 AS first_bar, bar AS last_bar, seen AS known, round({level}, 4) AS level, CASE {failed} END AS failed FROM {sql.legs(n)}"
+def _life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised(spark, sf_dir, "life", lambda: lifecycle.events(_specs(spark, sf_dir), _bars(spark, sf_dir)))
 
 
-_NECK = "CASE WHEN s > 0 THEN greatest(p1, p3) ELSE least(p1, p3) END"
-_SLOPE = "((p3 - p1) / (b3 - b1))"
-_PATTERNS = [
-    _judged("double", 3, "p1", [("EQUAL", "abs(p2 - p0) <= 0.5 * atr"), ("SPAN", "b2 - b0 BETWEEN 4 AND 60"), ("HEIGHT", "(p1 - (p0 + p2) / 2) * s >= 2.0 * atr")]),
-    _judged("triple", 5, _NECK, [("EQUAL", "greatest(p0, p2, p4) - least(p0, p2, p4) <= 0.5 * atr"), ("SPAN", "b4 - b0 BETWEEN 8 AND 90"), ("HEIGHT", f"({_NECK} - (p0 + p2 + p4) / 3) * s >= 2.0 * atr")]),
-    _judged("head_shoulders", 5, "p3", [("PROMINENCE", "least((p0 - p2) * s, (p4 - p2) * s) >= 1.0 * atr"), ("SHOULDERS", "abs(p4 - p0) <= 1.5 * atr"), ("NECKLINE", f"abs({_SLOPE}) <= 0.25 * atr"), ("BALANCE", "(b4 - b2) / (b2 - b0) BETWEEN 0.4 AND 2.5"), ("SPAN", "b4 - b0 <= 104"), ("HEIGHT", f"(p1 + {_SLOPE} * (b2 - b1) - p2) * s >= 2.0 * atr")]),
-    _judged("v", 2, "p1 + 0.618 * (p0 - p1)", [("MOVE", "(p0 - p1) * s >= 4.0 * atr"), ("BARS", "b1 - b0 <= 8")]),
-]
-_RECTANGLE = f"""SELECT sid, 'rectangle' AS family, CASE WHEN s > 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, b0 AS first_bar, bar AS last_bar, seen AS known, round(CASE WHEN s > 0 THEN top ELSE floor END, 4) AS level,
-  CASE WHEN greatest(abs(p2 - p0), abs(p3 - p1)) > 0.75 * atr THEN 'BAND' WHEN abs((p0 + p2) / 2 - (p1 + p3) / 2) < 2.0 * atr THEN 'HEIGHT' WHEN b3 - b0 NOT BETWEEN 8 AND 104 THEN 'SPAN'
-    WHEN EXISTS (SELECT 1 FROM b WHERE b.sid = y.sid AND b.i BETWEEN y.b0 AND y.seen AND (b.c > y.top OR b.c < y.floor)) THEN 'OUTSIDE' END AS failed
-FROM (SELECT *, CASE WHEN s > 0 THEN greatest(p0, p2) ELSE greatest(p1, p3) END AS top, CASE WHEN s > 0 THEN least(p1, p3) ELSE least(p0, p2) END AS floor FROM {sql.legs(4)}) y"""
-_FOUND = f"WITH RECURSIVE {sql.SWINGS}, found AS MATERIALIZED ({' UNION ALL '.join([*_PATTERNS, _RECTANGLE])})"
+_ROUNDED = ", ".join(f"round({c}, 3) AS {c}" for c in ("c_value", "c_slope", "x_value", "x_slope", "stop", "height", "target"))
 
 
-@query(f"{_FOUND} SELECT * FROM found")
+@query(f"WITH RECURSIVE {shapes.SPECS} SELECT sid, family, type, direction, first_bar, last_bar, known, c_at, x_at, {_ROUNDED}, wait, deadline, failed FROM found WHERE family <> 'cup_handle' OR known IS NOT NULL")
 def pattern_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    return patterns.candidates(_swings(b), b).withColumn("level", F.round("level", 4))
+    """Every candidate of every family with the first rule it fails."""
+    rounded = [F.round(c, 3).alias(c) for c in ("c_value", "c_slope", "x_value", "x_slope", "stop", "height", "target")]
+    return _specs(spark, sf_dir).select("sid", "family", "type", "direction", "first_bar", "last_bar", "known", "c_at", "x_at", *rounded, "wait", "deadline", "failed")
 
 
-@query(f"{_FOUND} SELECT family, coalesce(failed, 'VALID') AS failed, count(*) AS n FROM found GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {shapes.SPECS} SELECT family, coalesce(failed, 'VALID') AS failed, count(*) AS n FROM found GROUP BY 1, 2")
 def pattern_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    return patterns.tally(patterns.candidates(_swings(b), b))
+    return patterns.tally(_specs(spark, sf_dir))
 
 
-_STEEP = "greatest(abs(us), abs(ls)) / least(abs(us), abs(ls))"
+@query(f"WITH RECURSIVE {shapes.LIFE} SELECT sid, family, type, direction, first_bar, last_bar, known, status, eat AS at, side, round(level, 3) AS level, round(near, 3) AS near, outcome, outcome_at FROM life")
+def pattern_life(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every valid pattern: breakout, invalidation or expiry, then failure or the measured move."""
+    x = _life(spark, sf_dir)
+    return x.select("sid", "family", "type", "direction", "first_bar", "last_bar", "known", "status", "at", "side", F.round("level", 3).alias("level"), F.round("near", 3).alias("near"), "outcome", "outcome_at")
 
 
-@query(f"""WITH RECURSIVE {sql.SWINGS},
-q AS (SELECT *, CASE WHEN s > 0 THEN p0 ELSE p1 END AS h1, CASE WHEN s > 0 THEN p2 ELSE p3 END AS h2, CASE WHEN s > 0 THEN b0 ELSE b1 END AS g1, CASE WHEN s > 0 THEN b2 ELSE b3 END AS g2,
-  CASE WHEN s > 0 THEN p1 ELSE p0 END AS l1, CASE WHEN s > 0 THEN p3 ELSE p2 END AS l2, CASE WHEN s > 0 THEN b1 ELSE b0 END AS m1, CASE WHEN s > 0 THEN b3 ELSE b2 END AS m2 FROM {sql.legs(4)}),
-r AS (SELECT *, (h2 - h1) / (g2 - g1) AS us, (l2 - l1) / (m2 - m1) AS ls FROM q),
-v AS (SELECT *, h1 + us * (b0 - g1) - l1 - ls * (b0 - m1) AS wa, h1 + us * (b3 - g1) - l1 - ls * (b3 - m1) AS wz, 0.02 * atr AS f FROM r),
-n AS (SELECT *, CASE WHEN abs(us) <= f AND ls > f THEN 'ascending_triangle' WHEN abs(ls) <= f AND us < -f THEN 'descending_triangle' WHEN us < -f AND ls > f THEN 'symmetrical_triangle' WHEN us > f AND ls > us THEN 'rising_wedge' WHEN us < -f AND ls < -f AND us < ls THEN 'falling_wedge' END AS family FROM v)
-SELECT sid, family, b0 AS first_bar, bar AS last_bar, seen AS known, round(us, 4) AS upper_slope, round(ls, 4) AS lower_slope,
-  CASE WHEN family = 'symmetrical_triangle' AND {_STEEP} > 3 THEN 'SYMMETRY' WHEN NOT (wz > 0 AND wz <= 0.75 * wa) THEN 'CONVERGE' WHEN wz / (ls - us) > 52 THEN 'APEX' WHEN wa < 2 * atr THEN 'HEIGHT' WHEN b3 - b0 NOT BETWEEN 8 AND 104 THEN 'SPAN' END AS failed
-FROM n WHERE family IS NOT NULL""")
-def converging_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = patterns.converging(_swings(_bars(spark, sf_dir)))
-    return x.withColumn("upper_slope", F.round("upper_slope", 4)).withColumn("lower_slope", F.round("lower_slope", 4))
-
-
-@query(f"""WITH RECURSIVE {sql.BARS}, {sql.swings("(1.0)")}, sw AS (SELECT z.sid, z.kind, z.bar, z.known, z.price, bb.atr FROM z JOIN bb ON bb.sid = z.sid AND bb.i = z.bar),
-q AS (SELECT *, CASE k1 WHEN 'HIGH' THEN 1 ELSE -1 END AS side FROM {sql.legs(5)}),
-r AS (SELECT *, (p1 - p0) * side AS pole, (p3 - p1) / (b3 - b1) * side AS outer_, (p4 - p2) / (b4 - b2) * side AS inner_, (p1 - CASE WHEN side > 0 THEN least(p2, p4) ELSE greatest(p2, p4) END) * side AS back FROM q)
-SELECT sid, CASE WHEN side > 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, b0 AS first_bar, bar AS last_bar, seen AS known,
-  CASE WHEN pole < 3 * atr THEN 'POLE' WHEN b1 - b0 > 6 THEN 'POLE_BARS' WHEN b4 - b1 NOT BETWEEN 3 AND 12 THEN 'BARS' WHEN outer_ > 0.02 * atr THEN 'SLOPE' WHEN abs(outer_ - inner_) > 0.05 * atr THEN 'PARALLEL' WHEN back > 0.5 * pole THEN 'RETRACE' END AS failed FROM r""")
-def flag_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    fine = swings.found(b, "ATR", {"MICRO": C.ATR_MULTIPLE["MICRO"]}).drop("method", "sensitivity")
-    return patterns.flags(fine.join(b.select("sid", F.col("i").cast("long").alias("bar"), "atr"), ["sid", "bar"]))
+_PBE = "'PBE-' || substr(sha256(concat_ws('|', sid, type, direction, first_bar, last_bar, known, eat)), 1, 32)"
 
 
-@query(f"""WITH RECURSIVE {sql.SWINGS},
-pr AS (
-  SELECT x.sid, x.kind, x.bar AS b0, y.bar AS b1, x.price AS p0, y.price AS p1, greatest(x.known, y.known) AS known, y.atr, CASE x.kind WHEN 'HIGH' THEN 1.0 ELSE -1.0 END AS s
-  FROM sw x JOIN sw y ON x.sid = y.sid AND x.kind = y.kind AND y.bar BETWEEN x.bar + 20 AND x.bar + 156 AND y.atr > 0
-  WHERE NOT EXISTS (SELECT 1 FROM sw m WHERE m.sid = x.sid AND m.kind = x.kind AND m.bar > x.bar AND m.bar < y.bar AND CASE x.kind WHEN 'HIGH' THEN m.price > greatest(x.price, y.price) ELSE m.price < least(x.price, y.price) END)),
-j AS (SELECT pr.*, (b.i - b0)::DOUBLE / (b1 - b0) AS u, (b.c - p1) * s / atr AS v FROM pr JOIN b ON b.sid = pr.sid AND b.i BETWEEN b0 AND b1),
-g AS (
-  SELECT sid, kind, b0, b1, p0, p1, known, atr, s, regr_count(v, u)::DOUBLE AS n, sum(u) AS s1, sum(u ** 2) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(v) AS t0, sum(u * v) AS t1, sum(u * u * v) AS t2, sum(v * v) AS vv FROM j GROUP BY ALL),
-d AS (SELECT *, s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2) AS det FROM g),
-e AS (SELECT *, (t2 * (s2 * n - s1 * s1) - s3 * (t1 * n - s1 * t0) + s2 * (t1 * s1 - s2 * t0)) / det AS a, (s4 * (t1 * n - s1 * t0) - t2 * (s3 * n - s1 * s2) + s2 * (s3 * t0 - t1 * s2)) / det AS bb,
-  (s4 * (s2 * t0 - t1 * s1) - s3 * (s3 * t0 - t1 * s2) + t2 * (s3 * s1 - s2 * s2)) / det AS cc FROM d),
-f AS (SELECT *, 1 - (vv - a * t2 - bb * t1 - cc * t0) / (vv - t0 * t0 / n) AS r2, -bb / (2 * a) AS vertex, (p0 - p1) * s / (2 * atr) - (cc - bb * bb / (4 * a)) AS depth FROM e)
-SELECT sid, CASE WHEN s > 0 THEN 'BULLISH' ELSE 'BEARISH' END AS direction, b0 AS first_bar, b1 AS last_bar, known, round(a, 3) AS a, round(r2, 3) AS r2, round(depth, 3) AS depth,
-  CASE WHEN abs(p1 - p0) > 2 * atr THEN 'RIM' WHEN NOT (a > 0 AND r2 >= 0.6) THEN 'CURVE' WHEN vertex NOT BETWEEN 0.25 AND 0.75 THEN 'VERTEX' WHEN depth < 3 THEN 'DEPTH' END AS failed FROM f""")
-def rounding_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    x = patterns.rounding(_swings(b), b)
-    return x.select("sid", "direction", "first_bar", "last_bar", "known", *[F.round(c, 3).alias(c) for c in ("a", "r2", "depth")], "failed")
+@query(f"WITH RECURSIVE {shapes.LIFE} SELECT {_PBE} AS event_id, sid, family, type, status, eat AS at, side, round(level, 3) AS level FROM life WHERE side IS NOT NULL")
+def pattern_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = _life(spark, sf_dir).where("side is not null").withColumn("event_id", F.concat(F.lit("PBE-"), F.substring(F.sha2(F.concat_ws("|", *lifecycle.KEY, "at"), 256), 1, 32)))
+    return event.select("event_id", "sid", "family", "type", "status", "at", "side", F.round("level", 3).alias("level"))
 
 
-@query()
+@query(f"WITH RECURSIVE {shapes.LIFE}, broken AS (SELECT {_PBE} AS event_id, sid, side, eat AS t, c_at, c_value, c_slope, CASE WHEN outcome = 'FAILED' THEN outcome_at END AS reversal, 8 AS win FROM life WHERE side IS NOT NULL), {shapes.follow('broken')}")
 def breakout_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    events = patterns.breakouts(patterns.candidates(_swings(b), b), b)
-    return patterns.follow_ups(events, b)
+    """Retests and reversals after the breakouts of patterns."""
+    return lifecycle.follow_ups(lifecycle.breakouts(_life(spark, sf_dir)), _bars(spark, sf_dir))
 
 
-@query()
-def pattern_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _bars(spark, sf_dir)
-    return patterns.breakouts(patterns.candidates(_swings(b), b), b)
+@query(f"""WITH RECURSIVE {sql.LEVELS}, bp AS (SELECT sid, i, h::DOUBLE AS h, l::DOUBLE AS l, c::DOUBLE AS c, atr FROM bb),
+broken AS (SELECT 'LBE-' || substr(sha256(concat_ws('|', sid, source, bar, known, t)), 1, 32) AS event_id, sid, CASE role WHEN 'SUPPORT' THEN 1 ELSE -1 END AS side, t, bar AS c_at, price AS c_value, 0.0 AS c_slope, lead(t) OVER (PARTITION BY sid, source, bar, price, known ORDER BY t) AS reversal, 3 AS win FROM flip), {shapes.follow('broken')}""")
+def level_breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retests and reversals after levels changed their role."""
+    return lifecycle.follow_ups(lifecycle.level_breakouts(_flips(spark, sf_dir)), _bars(spark, sf_dir))
 
 
 @query(f"""WITH {sql.DAILY}, g AS (SELECT *, lag(c) OVER (PARTITION BY sid ORDER BY day) AS before FROM dd),

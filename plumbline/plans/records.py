@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import records
 from plumbline.plans import sql
 from plumbline.plans.registry import query
-from plumbline.sources.tables import bars, table, trades
+from plumbline.sources.tables import bars, table, trades, weekly
 
 
 def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def conflicting_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {sql.BARS} SELECT sid, sha256(string_agg(i || '|' || o || '|' || h || '|' || l || '|' || c || '|' || v, chr(10) ORDER BY i)) AS digest FROM b GROUP BY sid""")
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.content_hash(bars(trades(spark, sf_dir), "week"), "sid", ["i"], ["i", *"ohlcv"])
+    return records.content_hash(weekly(spark, sf_dir), "sid", ["i"], ["i", *"ohlcv"])
 
 
 _SUBJECT = """CASE p_partkey % 8 WHEN 0 THEN 'Face Value  Split From Rs ' || (p_size * 2) || '/- To Rs ' || p_size || '/-' WHEN 1 THEN 'BONUS ' || p_size || ':' || (p_size % 7 + 1) WHEN 2 THEN 'Rights ' || (p_size % 3 + 1) || ' : ' || p_size || ' @ premium Rs 5'

@@ -20,21 +20,44 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bars(rows: DataFrame, period: str) -> DataFrame:
-    """sid, i, `period`, o, h, l, c (bigint), v, n: bars of the price 1000000 + running sum of step.
+    """sid, i, `period`, o, h, l, c (bigint), v, n, since, until: bars of the price 1000000 + running sum of step.
 
     Running sums start anew in each (sid, period), so that a supplier with many rows is spread over its periods;
     a window over the few bars then adds what came before.
     """
     inside = Window.partitionBy("sid", period).orderBy(*ORDER)
-    run = rows.select("sid", period, "q", "step", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.row_number().over(inside).alias("rn"))
-    bar = run.groupBy("sid", period).agg(F.min_by("p", "rn").alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", "rn").alias("c"), F.sum("q").cast("long").alias("v"), F.count("*").alias("n"))
+    run = rows.select("sid", *{period, "day"}, "q", "step", F.sum("step").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.row_number().over(inside).alias("rn"))
+    bar = run.groupBy("sid", period).agg(F.min_by("p", "rn").alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", "rn").alias("c"), F.sum("q").cast("long").alias("v"), F.count("*").alias("n"), F.min("day").alias("since"), F.max("day").alias("until"))
     order = Window.partitionBy("sid").orderBy(period)
     before = F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1000000
-    return bar.select("sid", (F.row_number().over(order) - 1).alias("i"), period, *[(F.col(x) + before).alias(x) for x in "ohlc"], "v", "n")
+    return bar.select("sid", (F.row_number().over(order) - 1).alias("i"), period, *[(F.col(x) + before).alias(x) for x in "ohlc"], "v", "n", "since", "until")
+
+
+#: Days without a trade after which a share's series starts anew.
+GAP_DAYS = 30
+#: Segments that a share can have; gaps of GAP_DAYS keep it far below for 80 years.
+SEGMENTS = 1000
+
+
+def segmented(weeks: DataFrame) -> DataFrame:
+    """share, segment, sid, i, week, o, h, l, c, v, n, since, until, forming: weekly bars in continuity segments.
+
+    sid is a series, one segment of one share; i counts within it. A break never parts a week here: the gap is longer.
+    The last bar of a share is forming until the Friday of its week is over in the data.
+    """
+    w = Window.partitionBy("sid").orderBy("week")
+    new = F.coalesce(F.datediff("since", F.lag("until").over(w)) > GAP_DAYS, F.lit(False)).cast("int")
+    x = weeks.withColumns({"new": new, "last": F.lead("week").over(w).isNull()}).withColumn("segment", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    as_of = weeks.agg(F.max("until").alias("as_of")).scalar()
+    x = x.withColumn("forming", F.col("last") & (F.date_add("week", 4) > as_of)).withColumn("share", F.col("sid"))
+    order = Window.partitionBy("share", "segment").orderBy("week")
+    series = F.col("share").cast("long") * SEGMENTS + F.col("segment")
+    return x.select("share", "segment", series.alias("sid"), (F.row_number().over(order) - 1).alias("i"), "week", *"ohlcv", "n", "since", "until", "forming")
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(trades(spark, sf_dir), "week")
+    """Complete weekly bars of every series."""
+    return segmented(bars(trades(spark, sf_dir), "week")).where("not forming").drop("forming")
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,21 +15,40 @@ from plumbline.sources.tables import bars, trades, weekly
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
-def same(got, want):
-    assert len(got) == len(want)
-    for a, b in zip(got, want):
-        assert (b is None and math.isnan(a)) or a == pytest.approx(b)
-
-
-def test_worked_examples():
-    a = np.array
-    same(indicators.ema(a([2.0, 4, 6, 8, 4]), 3), [None, None, 4, 6, 5])
-    same(indicators.rsi(a([10.0, 11, 10, 12, 12, 9]), 2), [None, None, 50, 100 - 100 / 6, 100 - 100 / 6, 100 - 100 / 1.2])
-    same(indicators.rsi(a([5.0, 5, 5, 5]), 2), [None, None, 50, 50])
-    same(indicators.rsi(a([1.0, 2, 3, 4]), 2), [None, None, 100, 100])
-    h, l, c = a([11.0, 12, 13, 12.5]), a([9.0, 10, 11.5, 10]), a([10.0, 11, 12, 10.5])  # noqa: E741
-    same(indicators.true_range(h, l, c), [None, 2, 2, 2.5])
-    same(indicators.atr(h, l, c, 2), [None, None, 2, 2.25])
+def test_indicators_by_definition():
+    """Closed forms and plain sums over a random walk."""
+    r = random.Random(12)
+    c = [100.0]
+    for _ in range(79):
+        c.append(c[-1] + r.uniform(-3, 3))
+    h, l = [x + r.uniform(0, 2) for x in c], [x - r.uniform(0, 2) for x in c]  # noqa: E741
+    got = indicators.emas(np.array([math.nan] * 3 + c), [7, 20])
+    for row, n in zip(got, (7, 20)):
+        keep = 1 - 2 / (n + 1)
+        for t in range(len(c)):
+            if t < n - 1:
+                assert math.isnan(row[t + 3])
+                continue
+            later = sum(2 / (n + 1) * keep ** (t - k) * c[k] for k in range(n, t + 1))
+            assert row[t + 3] == pytest.approx(keep ** (t - n + 1) * sum(c[:n]) / n + later)
+    with pytest.raises(ValueError):
+        indicators.emas(np.array([1.0, math.nan, 2.0]), [1])
+
+    def smoothed(x, n):  # Wilder's mean as a weighted sum
+        return [None] * (n - 1) + [((n - 1) / n) ** (t - n + 1) * sum(x[:n]) / n + sum(((n - 1) / n) ** (t - k) * x[k] / n for k in range(n, t + 1)) for t in range(n - 1, len(x))]
+
+    ranges = [max(h[t], c[t - 1]) - min(l[t], c[t - 1]) for t in range(1, len(c))]
+    atr = indicators.atr(np.array(h), np.array(l), np.array(c), 9)
+    rsi = indicators.rsi(np.array(c), 9)
+    up = smoothed([max(b - a, 0) for a, b in zip(c, c[1:])], 9)
+    down = smoothed([max(a - b, 0) for a, b in zip(c, c[1:])], 9)
+    for t, (x, u, d) in enumerate(zip(smoothed(ranges, 9), up, down), 1):
+        if x is None:
+            assert math.isnan(atr[t]) and math.isnan(rsi[t])
+        else:
+            assert atr[t] == pytest.approx(x) and rsi[t] == pytest.approx(100 * u / (u + d))
+    flat = indicators.rsi(np.array([5.0] * 12), 9)
+    assert flat[-1] == 50 and indicators.rsi(np.arange(12.0), 9)[-1] == 100
 
 
 def test_reversals_by_hand():
@@ -142,6 +161,54 @@ def test_streaming_twins(spark, sf, tmp_path):
     assert last == want
 
 
+def test_segments(spark):
+    """A gap of more than GAP_DAYS starts a series anew, and the last bar forms until its week is over."""
+    from datetime import date
+
+    from plumbline.sources.tables import GAP_DAYS, segmented
+
+    days = [date(2024, 1, 1), date(2024, 1, 8), date(2024, 3, 4), date(2024, 3, 11)]
+    rows = [(1, d, 1, 2, 0, 1, 5, 1, d, d) for d in days] + [(2, date(2024, 3, 11), 1, 2, 0, 1, 5, 1, date(2024, 3, 11), date(2024, 3, 15))]
+    got = segmented(spark.createDataFrame(rows, "sid long, week date, o long, h long, l long, c long, v long, n long, since date, until date")).collect()
+    assert (days[2] - days[1]).days > GAP_DAYS
+    assert sorted((r.share, r.segment, r.i, r.forming) for r in got) == [(1, 0, 0, False), (1, 0, 1, False), (1, 1, 0, False), (1, 1, 1, False), (2, 0, 0, False)]
+    early = [(*r[:-1], date(2024, 3, 13) if r[0] == 2 else r[-1]) for r in rows]
+    got = segmented(spark.createDataFrame(early, "sid long, week date, o long, h long, l long, c long, v long, n long, since date, until date")).collect()
+    assert {(r.share, r.segment, r.i) for r in got if r.forming} == {(1, 1, 1), (2, 0, 0)}
+
+
+def test_sessions_and_turns(spark, tmp_path):
+    """Streamed sessions equal a plain loop; reversals come from one state a type, in order of arrival."""
+    from datetime import datetime, timedelta
+
+    from plumbline.streaming import bars as live
+
+    start = datetime(2024, 1, 1)
+    minutes = [0, 10, 25, 90, 100, 300]
+    rows = [(1, start + timedelta(minutes=m), float(m)) for m in minutes] + [(9, start + timedelta(days=3), 0.0)]
+    schema = "user_id long, ts timestamp, value double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "s"))
+    source = live.read(spark, str(tmp_path / "s"), spark.read.parquet(str(tmp_path / "s")).schema)
+    q = live.sessions(source).writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = {(r.user_id, r.n, r.total) for r in spark.table("sessions").collect()}
+    assert got == {(1, 3, 35.0), (1, 2, 190.0), (1, 1, 300.0)}
+    closes = [100.0, 160.0, 70.0, 75.0, 130.0, 60.0]
+    spark.createDataFrame([("a", start + timedelta(hours=k), c) for k, c in enumerate(closes)], "event_type string, hour timestamp, c double").coalesce(1).write.parquet(str(tmp_path / "t"))
+    source = live.read(spark, str(tmp_path / "t"), spark.read.parquet(str(tmp_path / "t")).schema)
+    q = live.turns(source, 50.0).writeStream.format("memory").queryName("turns").outputMode("append").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert [(r.kind, r.price) for r in spark.table("turns").orderBy("known").collect()] == [("LOW", 100.0), ("HIGH", 160.0), ("LOW", 70.0), ("HIGH", 130.0)]
+
+
+def test_cursor_is_bound(spark):
+    df = spark.range(30).withColumnRenamed("id", "k")
+    page = joins.after(df, [F.col("k")], joins.cursor("v1", "all", 10), "v1", "all", 5)
+    assert [r.k for r in page.orderBy("place").collect()] == [10, 11, 12, 13, 14]
+    with pytest.raises(ValueError):
+        joins.after(df, [F.col("k")], joins.cursor("v1", "all", 10), "v2", "all", 5)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
