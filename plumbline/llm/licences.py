@@ -181,12 +181,15 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(F.filter(parts, lambda p: p.rlike(STEM)), lines)), lambda p: p.rlike(STEM))
 
 
-def _shared(w: str, family: str | None = None) -> Column:
-    """The largest overlap of a paragraph's words with a template (of its family), of the smaller of both sets."""
-    some = ", ".join(f"named_struct('family', '{name}', 'w', array_distinct(split('{t}', ' ')))" for name, ts in TEMPLATES.items() for t in ts)
-    own = f"array_distinct({w})"
-    kept = f"filter(array({some}), t -> t.family = {family})" if family else f"array({some})"
-    return F.expr(f"array_max(transform({kept}, t -> size(array_intersect({own}, t.w)) / greatest(least(size({own}), size(t.w)), 2)))")
+def _shared(own: Column, template: Column) -> Column:
+    """The overlap of two arrays of different words, of the smaller of both."""
+    return F.size(F.array_intersect(own, template)) / F.greatest(F.least(F.size(own), F.size(template)), F.lit(2))
+
+
+def _templates() -> Column:
+    """The different words of every template, as one literal array."""
+    some = ", ".join(f"array_distinct(split('{t}', ' '))" for ts in TEMPLATES.values() for t in ts)
+    return F.expr(f"array({some})")
 
 
 def _variants(t: str) -> list[str]:
@@ -201,7 +204,7 @@ def _mutilated(t: str) -> list[str]:
 
 
 def fit(spark: SparkSession, found: DataFrame) -> tuple[PipelineModel, float]:
-    """(model, bound) of the templates and at most 2 * BACKGROUND of the corpus's paragraphs (w: words).
+    """(model, bound) of the templates and at most 2 * BACKGROUND of the corpus's paragraphs (w: words, u: different ones).
 
     Half of the latter teach the unknown class. The bound lies between what the other half and talk reach and what nine of ten
     mutilated templates reach, both as the probability of a family.
@@ -209,7 +212,7 @@ def fit(spark: SparkSession, found: DataFrame) -> tuple[PipelineModel, float]:
     rows = [(family, v, 0) for family, ts in TEMPLATES.items() for t in ts for v in _variants(t)] + [(UNKNOWN, t, 0) for t in TALK for _ in range(2)]
     rows += [(family, v, 1) for family, ts in TEMPLATES.items() for t in ts for v in _mutilated(t)]
     given = spark.createDataFrame(rows, "family string, text string, part int").select("family", words(F.col("text")).alias("w"), "part")
-    back = found.select("w").distinct().withColumn("e", _shared("w")).where("e < 0.3").orderBy(F.xxhash64("w")).limit(2 * BACKGROUND)
+    back = found.select("w", "u").distinct().withColumn("e", F.array_max(F.transform(_templates(), lambda t: _shared(F.col("u"), t)))).where("e < 0.3").orderBy(F.xxhash64("w")).limit(2 * BACKGROUND)
     back = stored(back.select(F.lit(UNKNOWN).alias("family"), "w", F.pmod(F.xxhash64("w"), F.lit(2)).cast("int").alias("part")), "background")
     both = given.unionByName(back).select((F.array_position(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family")) - 1).cast("double").alias("label"), ngrams("w").alias("terms"), "part")
     both = stored(both, "taught")
@@ -227,12 +230,13 @@ def scanned(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(STEM), paragraphs(text)).alias("parts")).withColumn("row", F.monotonically_increasing_id())
     rows = stored(rows, "licence-paragraphs")  # the texts are read once
-    parts = rows.where("size(parts) > 0").select("row", F.explode("parts").alias("text")).select("row", words(F.col("text")).alias("w"))
+    parts = rows.where("size(parts) > 0").select("row", F.posexplode("parts").alias("place", "text")).select("row", "place", words(F.col("text")).alias("w")).withColumn("u", F.array_distinct("w"))
     model, bound = fit(docs.sparkSession, parts)
-    p = model.transform(parts.withColumn("terms", ngrams("w"))).select("row", "w", "prediction", F.array_max(vector_to_array("probability")).alias("p"))
+    p = model.transform(parts.withColumn("terms", ngrams("w"))).select("row", "place", "u", "prediction", F.array_max(vector_to_array("probability")).alias("p"))
     p = p.where((F.col("prediction") < len(TEMPLATES)) & (F.col("p") >= bound))
     p = p.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("prediction").cast("int") + 1))
-    p = p.where(_shared("w", "family") >= CONFIRM)
-    best = p.groupBy("row").agg(F.max(F.struct("p", "family")).alias("b"), F.count("*").alias("n"), F.sort_array(F.collect_set("family")).alias("families"))
+    known = docs.sparkSession.createDataFrame([(f, sorted(set(t.split()))) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>")  # a row a template
+    p = p.join(F.broadcast(known), "family").where(_shared(F.col("u"), F.col("template")) >= CONFIRM)
+    best = p.groupBy("row").agg(F.max(F.struct("p", "family")).alias("b"), F.countDistinct("place").alias("n"), F.sort_array(F.collect_set("family")).alias("families"))
     out = rows.select("row", "doc_id").join(best, "row", "left")
     return out.select("doc_id", F.coalesce("b.family", F.lit(UNKNOWN)).alias("licence"), F.coalesce("b.p", F.lit(0.0)).alias("score"), F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("families", F.array().cast("array<string>")).alias("families"))
