@@ -233,6 +233,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     parts = rows.where("size(parts) > 0").select("row", F.posexplode("parts").alias("place", "text")).select("row", "place", words(F.col("text")).alias("w")).withColumn("u", F.array_distinct("w"))
     model, bound = fit(docs.sparkSession, parts)
     p = model.transform(parts.withColumn("terms", ngrams("w"))).select("row", "place", "u", "prediction", F.array_max(vector_to_array("probability")).alias("p"))
+    p = stored(p, "licence-scores")  # a filter above would be pushed below the model's steps and have them run again
     p = p.where((F.col("prediction") < len(TEMPLATES)) & (F.col("p") >= bound))
     p = p.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("prediction").cast("int") + 1))
     known = docs.sparkSession.createDataFrame([(f, sorted(set(t.split()))) for f, ts in TEMPLATES.items() for t in ts], "family string, template array<string>")  # a row a template
