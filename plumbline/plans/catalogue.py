@@ -460,7 +460,7 @@ def check_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {sql.DAILY}, f AS (SELECT sid, day, (1 + sid % 3) AS num, (2 + sid % 5) AS den FROM dd QUALIFY row_number() OVER (PARTITION BY sid ORDER BY day) % 50 = 0),
 xx AS (
-  SELECT d.sid, d.day, d.c, f.num, f.den, count(f.day) AS k FROM dd d LEFT JOIN f ON f.sid = d.sid AND f.day > d.day WHERE d.day >= DATE '2000-01-01' GROUP BY ALL),
+  SELECT d.sid, d.day, d.c, f.num, f.den, count(f.day) AS k FROM dd d LEFT JOIN f ON f.sid = d.sid AND f.day > d.day GROUP BY ALL),
 y AS (SELECT sid, day, c, max(k) AS k, max(num) AS num, max(den) AS den FROM xx GROUP BY sid, day, c),
 z AS (SELECT sid, day, c, k, CASE WHEN k = 0 THEN 1::HUGEINT ELSE (num::HUGEINT ** k)::HUGEINT END AS n, CASE WHEN k = 0 THEN 1::HUGEINT ELSE (den::HUGEINT ** k)::HUGEINT END AS d FROM y),
 q AS (SELECT *, (c::HUGEINT * 10000 * n) // d AS w, (c::HUGEINT * 10000 * n) % d AS r FROM z)
@@ -471,14 +471,14 @@ def adjusted_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("sid").orderBy("day")
     event = (F.row_number().over(w) % 50 == 0).cast("long")
     later = F.coalesce(F.sum("event").over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    x = d.withColumn("event", event).withColumn("events", later).where(F.col("day") >= "2000-01-01")
+    x = d.withColumn("event", event).withColumn("events", later)
     num, den = quality.power(1 + F.col("sid") % 3, "events"), quality.power(2 + F.col("sid") % 5, "events")
     price = (F.col("c").cast("decimal(18,0)") / 100).cast("decimal(18,4)")
     return x.select("sid", "day", "events", (quality.adjusted(price, num, den) * 1000000).cast("decimal(38,0)").alias("micros"))
 
 
 @query("""SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, e.event_id, e.ts AS matched_at, e.value
-FROM (SELECT *, o_orderdate + INTERVAL 8766 DAY AS at FROM orders) o ASOF LEFT JOIN (SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value, ts FROM events GROUP BY user_id, ts) e ON e.user_id = o.o_custkey AND e.ts <= o.o_orderdate + INTERVAL 9000 DAY""".replace("(SELECT *, o_orderdate + INTERVAL 8766 DAY AS at FROM orders)", "orders"))
+FROM orders o ASOF LEFT JOIN (SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value, ts FROM events GROUP BY user_id, ts) e ON e.user_id = o.o_custkey AND e.ts <= o.o_orderdate + INTERVAL 9000 DAY""")
 def as_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.expr("o_orderdate + INTERVAL 9000 DAYS").alias("at"))
     e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("o_custkey"), F.col("ts").alias("at")).agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))

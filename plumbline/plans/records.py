@@ -12,10 +12,10 @@ from plumbline.sources.tables import bars, table, trades, weekly
 
 
 def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderkey % 5 = 0").select(F.to_date("o_orderdate").alias("day"))
+    return table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
 
 
-_DAYS = "d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 5 = 0)"
+_DAYS = "d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)"
 _CALENDAR = f"""{_DAYS}, every AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d),
 cal AS (SELECT * FROM (
   SELECT every.day, CASE WHEN d.day IS NOT NULL AND isodow(every.day) >= 6 THEN 'SPECIAL' WHEN d.day IS NOT NULL THEN 'SESSION' WHEN isodow(every.day) < 6 THEN 'HOLIDAY' END AS kind
