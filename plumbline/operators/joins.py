@@ -42,10 +42,20 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str], values: list[str])
     return j.select(*keys, "change", F.when(F.col("change") == "CHANGED", F.array_join(fields, ",")).otherwise("").alias("fields"))
 
 
-def search_score(text: str, symbol: Column, name: Column) -> Column:
-    """0 for the very symbol, 2 for a symbol that starts with the text, 4 for a name that holds it; null for no match."""
+def search_score(text: str, symbol: Column, past: Column, name: Column) -> Column:
+    """0 for the very symbol, 1 for a past one, 2 and 3 for those that start with the text, 4 for a name that holds it.
+
+    Past symbols are an array. Names count from three characters on; null for no match.
+    """
     q = text.upper()
-    return F.when(F.upper(symbol) == q, 0).when(F.upper(symbol).startswith(q), 2).when(F.upper(name).contains(q) & F.lit(len(q) >= 3), 4)
+    now = F.upper(symbol)
+    return (
+        F.when(now == q, 0)
+        .when(F.exists(past, lambda x: F.upper(x) == q), 1)
+        .when(now.startswith(q), 2)
+        .when(F.exists(past, lambda x: F.upper(x).startswith(q)), 3)
+        .when(F.upper(name).contains(q) & F.lit(len(q) >= 3), 4)
+    )
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int, within_key: str) -> DataFrame:

@@ -518,12 +518,15 @@ def reissued_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.changes(p.where("p_partkey % 10 <> 0"), new, ["p_partkey"], ["p_brand", "p_size"])
 
 
-@query("""SELECT c_custkey, c_name, CASE WHEN upper(c_name) = 'CUSTOMER#000000011' THEN 0 WHEN upper(c_name) LIKE 'CUSTOMER#00000001%' THEN 2 ELSE 4 END AS score FROM customer
-WHERE upper(c_name) LIKE '%00000001%' ORDER BY score, c_acctbal DESC, c_custkey LIMIT 20""".replace("= 'CUSTOMER#000000011'", "= '00000001'").replace("LIKE 'CUSTOMER#00000001%'", "LIKE '00000001%'"))
+@query("""WITH c AS (SELECT c_custkey, c_name, c_acctbal >= 0 AS active, c_custkey::VARCHAR AS symbol, (c_custkey * 7 + 2)::VARCHAR AS past FROM customer),
+s AS (SELECT c_custkey, symbol, active, CASE WHEN symbol = '100' THEN 0 WHEN past = '100' THEN 1 WHEN symbol LIKE '100%' THEN 2 WHEN past LIKE '100%' THEN 3 WHEN c_name LIKE '%100%' THEN 4 END AS score FROM c)
+SELECT c_custkey, symbol, active, score FROM s WHERE score IS NOT NULL ORDER BY score, active DESC, symbol LIMIT 50""")
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    x = c.withColumn("score", joins.search_score("00000001", F.col("c_name"), F.col("c_name"))).where("score is not null")
-    return x.orderBy("score", F.col("c_acctbal").desc(), "c_custkey").limit(20).select("c_custkey", "c_name", "score")
+    """The first 50 matches of a text: by score, active ones first, then by symbol."""
+    c = table(spark, sf_dir, "customer").withColumns({"symbol": F.col("c_custkey").cast("string"), "active": F.col("c_acctbal") >= 0})
+    past = F.array((F.col("c_custkey") * 7 + 2).cast("string"))
+    x = c.withColumn("score", joins.search_score("100", F.col("symbol"), past, F.col("c_name"))).where("score is not null")
+    return x.orderBy("score", F.col("active").desc(), "symbol").limit(50).select("c_custkey", "symbol", "active", "score")
 
 
 @query("SELECT c_custkey, sha256('v1|' || c_custkey) AS digest FROM customer ORDER BY digest LIMIT 32")
