@@ -27,6 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(_BASE))
 _LOWER = _BYTE.copy()
 _LOWER[0x41:0x5B] = _BYTE[0x61:0x7B]
+FOLDED, CASED = _LOWER, _BYTE  # values of bytes with A-Z lower-cased, and as they are
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -64,8 +65,8 @@ def slices(at: np.ndarray, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
         row = end
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of each row, A-Z lower-cased, and where each row's words start."""
+def word_hashes(data: np.ndarray, at: np.ndarray, of_byte: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of each row, A-Z lower-cased unless CASED is given, and where each row's words start."""
     space = _SPACE[data]
     first = np.zeros(len(data) + 1, bool)
     first[at[at < len(data)]] = True
@@ -87,7 +88,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
         lo, hi = int(starts[w]), int(ends[z - 1])
         up, down = powers(hi - lo + 1)
         total = np.zeros(hi - lo + 1, U)
-        np.cumsum(_LOWER[data[lo:hi]] * up[: hi - lo], out=total[1:])
+        np.cumsum(of_byte[data[lo:hi]] * up[: hi - lo], out=total[1:])
         s, e = starts[w:z] - lo, ends[w:z] - lo
         out[w:z] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U))
         w = z

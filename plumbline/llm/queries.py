@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, extract, fingerprints, language, licences, mixing, quality, suffix_dedup, tokens
+from plumbline.llm import decontaminate, extract, filter_audit, fingerprints, language, licences, mixing, pivot_clusters, quality, suffix_dedup, tokens, toxicity
 from plumbline.llm.jaccard_join import near_duplicates
 
 
@@ -100,6 +101,69 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_pivot_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clusters.clustered(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, seed=2)
+
+
+def _clustering_sql(rounds: int = 5) -> str:
+    steps = [r"""WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k, x AS y FROM v QUALIFY k < 40)"""]
+    for r in range(rounds + 1):
+        steps.append(rf"""a{r} AS MATERIALIZED (
+  SELECT vec_id, x, min(struct_pack(d := list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, k := k)) AS best
+  FROM v, c{r} GROUP BY vec_id, x)""")
+        if r < rounds:
+            steps.append(rf"""m{r} AS MATERIALIZED (
+  SELECT k, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT best.k AS k, unnest(x) AS e, unnest(range(64)) AS i FROM a{r}) GROUP BY k, i),
+c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.k, coalesce(m.y, c{r}.y) AS y
+  FROM c{r} LEFT JOIN (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM m{r} GROUP BY k) m ON m.k = c{r}.k)""")
+    return ",\n".join(steps) + rf"""
+SELECT a.vec_id, a.best.k::INT AS cluster, a.best.d AS distance, (sum(a.best.d) OVER (PARTITION BY a.best.k))::BIGINT AS cluster_inertia,
+  (sum(a.best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.y, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.best.k
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").selectExpr("doc_id", "toxic as label"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _audit_sql() -> str:
+    orders = ", ".join(f"('{''.join(p)}')" for p in itertools.permutations("ABCDE"))
+    return rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (
+  SELECT doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM w),
+m AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT f.*, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN m USING (doc_id)),
+o AS (SELECT filter_order, s::INT AS step, strpos('ABCDE', filter_order[s]) AS k, list_transform(range(1, s), lambda i: strpos('ABCDE', filter_order[i])) AS before
+  FROM (VALUES {orders}) v(filter_order), range(1, 6) r(s)),
+g AS (SELECT part, fails, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+x AS (
+  SELECT part, filter_order, step, k, n, good, toxic, fails[k] AS failing,
+    len(list_filter(before, lambda b: fails[b])) > 0 AS gone, len(list_filter(fails, lambda b: b)) = 1 AS alone
+  FROM g, o),
+t AS (
+  SELECT part, filter_order, step, k, sum(CASE WHEN gone OR failing THEN 0 ELSE n END)::BIGINT AS kept, sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN failing AND gone THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN failing AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN failing AND NOT gone AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN failing AND NOT gone AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM t
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -112,6 +176,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_benchmark_decontamination": op8_benchmark_decontamination,
         "op9_token_counts": op9_token_counts,
         "op10_licence_scan": op10_licence_scan,
+        "op11_pivot_clustering": op11_pivot_clustering,
+        "op12_toxicity": op12_toxicity,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
@@ -119,4 +186,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": OP1_SQL,
         "op2_suffix_array_dedup": OP2_SQL,
+        "op11_pivot_clustering": _clustering_sql(),
+        "op13_filter_audit": _audit_sql(),
     }
