@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline import config as C
 from plumbline.functions import series as S
 from plumbline.operators import evidence, indicators, joins, lifecycle, patterns, quality, structure, swings
-from plumbline.plans import market, records, shapes, sql  # noqa: F401  market and records register their queries
+from plumbline.plans import identities, market, records, shapes, sql  # noqa: F401  they register their queries
 from plumbline.plans.registry import QUERIES, SQL, query
 from plumbline.sources.store import materialised
 from plumbline.sources.tables import bars, hourly_events, table, trades, weekly
@@ -558,6 +558,9 @@ def price_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sid"), F.year("l_shipdate").alias("y")).agg(F.count("*").alias("n"), F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"))
 
 
+from plumbline.plans import attention  # noqa: E402, F401  it builds on the tables above
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -42,6 +42,16 @@ def materialised(spark: SparkSession, sf_dir: str, name: str, build: Callable[[]
     return spark.table(_TABLES[key])
 
 
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], source: str = "lineitem") -> DataFrame:
+    """build()'s rows, written once a session and state of the source table, without buckets."""
+    key = spark.sparkContext.applicationId, sf_dir, _changed(spark, f"{sf_dir}/{source}.parquet"), name
+    if key not in _TABLES:
+        path = f"{shared_dir(spark)}/plumbline_{name}_{uuid.uuid4().hex}"
+        build().write.parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(_TABLES[key])
+
+
 def forget() -> None:
     """Build the tables anew from now on."""
     _TABLES.clear()
