@@ -282,7 +282,7 @@ def _cuts(size: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_piece(batches, "heads", "bytes"):
-            own: dict[tuple[int, bytes], tuple[int, set]] = {}  # a string: its smallest document and where that has it
+            own: dict[tuple[int, bytes], tuple[int, dict[int, set[int]]]] = {}  # a string: its smallest document, and the places of that by text
             gone: list[tuple] = []
             for head, body in rows:
                 body, at = body.as_py(), 0
@@ -291,23 +291,23 @@ def _cuts(size: int) -> Callable:
                     at += length
                     least, where = own.get((key, s), (None, None))
                     if least is None or doc < least:
-                        gone += [(t, least, p, p + length) for t, p in where or () if t != text]
-                        own[key, s] = doc, {(text, place)}
+                        gone += [(t, least, p, p + length) for t, places in (where or {}).items() if t != text for p in places]
+                        own[key, s] = doc, {text: {place}}
                     elif doc == least:
-                        where.add((text, place))
-                    elif all(t != text for t, _ in where):  # whole copies go elsewhere
+                        where.setdefault(text, set()).add(place)
+                    elif text not in where:  # whole copies go elsewhere
                         gone.append((text, doc, place, place + length))
                 if len(gone) >= 1 << 16:
                     yield batch(gone)
                     gone = []
-            gone += [(t, doc, p + a, p + z) for doc, where, a, z in _least_cuts(own, size) for t, p in where]
+            gone += [(t, doc, p + a, p + z) for doc, where, a, z in _least_cuts(own, size) for t, places in where.items() for p in places]
             for a in range(0, len(gone), 1 << 16):
                 yield batch(gone[a : a + (1 << 16)])
 
     return run
 
 
-def _least_cuts(own: dict[tuple[int, bytes], tuple[int, set]], size: int) -> Iterator[tuple[int, set, int, int]]:
+def _least_cuts(own: dict[tuple[int, bytes], tuple[int, dict]], size: int) -> Iterator[tuple[int, dict, int, int]]:
     """(doc, where, first, end): parts of the strings' own documents that another string of the minimizer has of a smaller document."""
     items = sorted(own.items())
     keys = np.array([k for (k, _), _ in items], np.int64)
@@ -323,7 +323,7 @@ def _least_cuts(own: dict[tuple[int, bytes], tuple[int, set]], size: int) -> Ite
     held: list[tuple[int, int]] = []
     amount = 0
 
-    def decided() -> Iterator[tuple[int, set, int, int]]:
+    def decided() -> Iterator[tuple[int, dict, int, int]]:
         for i, a, z in _decided(head, held, list(ids), size).tolist():
             doc, where = items[i][1]
             yield doc, where, a, z
