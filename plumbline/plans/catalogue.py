@@ -558,7 +558,7 @@ def price_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sid"), F.year("l_shipdate").alias("y")).agg(F.count("*").alias("n"), F.round(F.regr_slope("l_extendedprice", "l_quantity"), 6).alias("slope"), F.round(F.regr_r2("l_extendedprice", "l_quantity"), 6).alias("r2"))
 
 
-from plumbline.plans import attention, support, surroundings  # noqa: E402, F401  they build on the tables above
+from plumbline.plans import attention, live, support, surroundings  # noqa: E402, F401  they build on the tables above
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
