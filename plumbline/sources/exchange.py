@@ -55,7 +55,9 @@ def parsed(lines: DataFrame) -> DataFrame:
     for v in text.values():
         shape = shape | ~F.coalesce(v.rlike(r"^-?\d+(\.\d+)?$"), F.lit(False))
     prices = {k: quality.price(v) for k, v in text.items()}
-    day = F.coalesce(*[F.try_to_timestamp("day", F.lit(f)) for f in DATES]).cast("date")
+    short = F.try_to_timestamp("day", F.lit("dd-MMM-yy")).cast("date")  # of two digits, 69 to 99 are of the last century
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    day = F.coalesce(*[F.try_to_timestamp("day", F.lit(f)).cast("date") for f in DATES], short)
     scope = ~F.coalesce(F.col("series").isin(*SERIES), F.lit(False)) | (F.col("segment").isNotNull() & (F.col("segment") != SEGMENT))
     x = x.withColumns({"bad_price": shape, "traded": day, "out": scope & good, **prices, "v": whole(F.col("v"))})
     reason = (
