@@ -135,6 +135,16 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.spans(empty, 50).count() == 0 == suffix_dedup.cut(empty, 50).count()
 
 
+def test_suffix_dedup_of_periodic_texts(spark):
+    """Texts of one repeated syllable: every place of one matches every place of the other; places are looked up, not searched."""
+    r = random.Random(9)
+    texts = ["ab" * 20000, "zz " + "ab" * 15000 + " yy", "- " * 9000, sentence(r, 400), "= " * 30 + "ab" * 10]
+    got = {x.doc_id: x for x in suffix_dedup.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=50).collect()}
+    removed = {0: 0, 1: 30000, 2: 0, 3: 0, 4: 0}
+    assert {k: x.n_removed for k, x in got.items()} == removed and got[1].n_spans == 1
+    assert got[1].kept_sha256 == hashlib.sha256(b"zz  yy").hexdigest()
+
+
 def test_keys_that_clash(spark, monkeypatch):
     """Should the short keys of two sets or texts be equal, all is done again with others."""
     few = [(i, t) for i, t in enumerate([sentence(random.Random(k % 5), 40) for k in range(9)])]
