@@ -7,7 +7,8 @@ and the SVD of a bounded sample of labelled texts gives the latent space. The sa
 most SAMPLE of DIMENSIONS floats); every document takes exact cosines with all of them, in blocks, and its
 NEIGHBOURS nearest vote with their similarity.
 
-The sample: of each label at most SAMPLE / 2 training rows, those of the smallest doc_id hash; idf counts all training rows.
+The sample: of each label at most SAMPLE / 2 training rows, those of the smallest doc_id hash; idf counts all rows
+that are not held out, labelled or not.
 Null or empty text, and text without a like neighbour, gets the training rows' share of label 1. Rows with a null
 label teach nothing. Rows with null or repeated doc_id are scored like others; of training texts with one doc_id and label the
 least is taken. Without training rows all scores are 0.5. Other columns are ignored.
@@ -128,15 +129,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     taught = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("label").cast("int").alias("label"))
     shares = {r[0]: r[1] for r in taught.groupBy("label").count().collect()}
     share = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
-    got = docs.join(taught.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df, n = np.zeros(TERMS), 1
-    for term, count in zip(got.column("term").to_pylist(), got.column("n").to_pylist()):
-        if term < 0:
-            n = max(1, count)
-        else:
-            df[term] = count
-    idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
-
     some = taught.distinct().withColumn("draw", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.col("draw"), F.lit(SALTS)))
     for keys in (("label", "salt"), ("label",)):  # a common label is first cut to its salts' smallest hashes
         some = some.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "doc_id"))).where(F.col("place") <= SAMPLE // 2)
@@ -146,6 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("label", "terms", "counts"))))
     if not rows:
         return {"share": share}
+    # idf needs no label: no join, so that texts are counted where they are read
+    got = docs.where(~held_out(F.col("doc_id"))).select("text").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df, n = np.zeros(TERMS), 1
+    for term, count in zip(got.column("term").to_pylist(), got.column("n").to_pylist()):
+        if term < 0:
+            n = max(1, count)
+        else:
+            df[term] = count
+    idf = (np.log((1 + n) / (1 + df)) + 0.1).astype(np.float32)
+
     x = np.zeros((len(rows), TERMS), np.float32)
     for i, (_, terms, count) in enumerate(rows):
         x[i, np.frombuffer(terms, np.uint16)] = np.frombuffer(count, np.int32)

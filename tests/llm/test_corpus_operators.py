@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -277,6 +278,37 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have written to shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_quality_shuffles_no_texts_but_the_samples(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    r = random.Random(4)
+    rows = [(k, r.randbytes(10000).hex()) for k in range(400)]  # does not compress below a half
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, label int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with many labels
+    try:
+        before = shuffled(spark)
+        assert quality.scored(d, labels).count() == 400
+        assert 0 < shuffled(spark) - before < sum(len(t) for _, t in rows) / 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_quality_idf_counts_all_rows_not_held_out(spark):
+    r = random.Random(6)
+    rows = [(k, sentence(r, 1 + k % 9)) for k in range(120)] + [(3, "again"), (5, None), (6, ""), (None, "no id")]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 120, 7)], "doc_id long, label int")
+    texts = [(t or "").encode() for k, t in rows if k is not None and zlib.crc32(str(k).encode()) % 5]
+    assert len(texts) < len(rows) - 10
+    found = quality.term_counts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])) > 0
+    want = np.log((1 + len(texts)) / (1 + found.sum(0))) + 0.1
+    assert np.allclose(quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)["idf"], want, atol=1e-5)
+
+
 def test_fingerprints(docs, empty):
     rows = fingerprints.edited_pairs(docs).collect()
     assert len(rows) == len(corpus())
