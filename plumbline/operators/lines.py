@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import config as C
+from plumbline.operators.passes import apart, beside, floats, keys, over_series, parted
 
-_COLUMNS = ["sid", "kind", "a", "b", "value", "slope", "known", "broken", "touches", "last_touch"]
 SCHEMA = "sid long, kind string, a long, b long, value double, slope double, known long, broken long, touches long, last_touch long"
+_FOUND = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in (f.split() for f in SCHEMA.split(", "))])
 NEVER = np.iinfo(np.int64).max
 
 
@@ -30,6 +32,8 @@ def _of_kind(bar: np.ndarray, price: np.ndarray, known: np.ndarray, then: np.nda
             if ((bar[k] < bar[j]) & (known[k] <= made) & (away < -C.TRENDLINE_TOUCH)).any():
                 continue  # a swing between the two lies beyond the line
             near = k[np.abs(away) <= C.TRENDLINE_TOUCH]
+            if not (known[near] - bar[i] <= most).any():
+                continue  # no third touch in time, whenever the line breaks
             beyond = np.flatnonzero((close[bar[i] :] - price[i] - slope * np.arange(len(close) - bar[i])) * up < -buffer[bar[i] :])
             broken = bar[i] + beyond[0] if len(beyond) else NEVER
             near = near[known[near] < broken]
@@ -51,16 +55,24 @@ def _distinct(found: list[tuple]) -> list[tuple]:
     return kept
 
 
-def _scan(key: tuple, bars: pd.DataFrame, swings: pd.DataFrame) -> pd.DataFrame:
-    bars = bars.sort_values("i")
-    close, buffer = bars["c"].to_numpy(float), C.BREAK_ATR * np.nan_to_num(bars["atr"].to_numpy(float))
-    rows = []
-    for kind, up in (("LOW", 1), ("HIGH", -1)):
-        s = swings[swings["kind"] == kind].sort_values("bar")
-        columns = [s[c].to_numpy() for c in ("bar", "price", "known")]
-        for a, b, value, slope, validated, broken, touched, seen in _distinct(_of_kind(*columns, s["atr"].to_numpy(float), up, close, buffer)):
-            rows.append((key[0], kind, a, b, value, slope, validated, None if broken == NEVER else broken, len(touched), seen.max()))
-    return pd.DataFrame(rows, columns=_COLUMNS).astype({"broken": "Int64"})
+def _many(table: pa.Table) -> pa.Table:
+    """The lines of whole series; rows of passes.beside()."""
+    bars, swings = apart(table)
+    swings = swings.sort_by([(x, "ascending") for x in ("sid", "kind", "bar")])
+    first, lengths = parted(keys(bars))
+    sid = keys(bars)[first]
+    close, buffer = floats(bars, "c"), C.BREAK_ATR * np.nan_to_num(floats(bars, "atr_i"))
+    low = pc.equal(swings.column("kind"), "LOW").to_numpy()
+    bar, price, known, then = swings.column("bar").to_numpy(), floats(swings, "price"), swings.column("known").to_numpy(), floats(swings, "atr")
+    of_swing, rows = keys(swings), []
+    at, n = parted(of_swing * 2 + low)  # the swings of one kind of a series
+    for k, own in zip(at.tolist(), (slice(x, x + y) for x, y in zip(at, n))):
+        of = np.searchsorted(sid, of_swing[k]) if len(sid) else 0
+        its = slice(first[of], first[of] + lengths[of]) if of < len(sid) and sid[of] == of_swing[k] else slice(0, 0)
+        found = _of_kind(bar[own], price[own], known[own], then[own], 1 if low[k] else -1, close[its], buffer[its])
+        for a, b, value, slope, validated, broken, touched, seen in _distinct(found):
+            rows.append((int(of_swing[k]), "LOW" if low[k] else "HIGH", a, b, value, slope, validated, None if broken == NEVER else broken, len(touched), seen.max()))
+    return pa.table([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
 
 
 def life(swings: DataFrame, bars: DataFrame) -> DataFrame:
@@ -70,8 +82,9 @@ def life(swings: DataFrame, bars: DataFrame) -> DataFrame:
     within 104 bars of the first; a close beyond it by BREAK_ATR breaks it, and one broken before it was made is none. One ordered pass over the bars and
     swings of a series: whether a line stands depends on those before it.
     """
-    both = bars.select("sid", "i", "c", "atr").groupBy("sid").cogroup(swings.select("sid", "kind", "bar", "known", "price", "atr").groupBy("sid"))
-    return both.applyInPandas(_scan, SCHEMA)
+    types = {"kind": "string", "bar": "long", "known": "long", "price": "double", "atr": "double"}
+    own = swings.select(F.col("sid").cast("long").alias("sid"), *[F.col(c).cast(t).alias(c) for c, t in types.items()])
+    return over_series(beside(bars.withColumn("sid", F.col("sid").cast("long")), own), ["own", "i"], _many, SCHEMA)
 
 
 def active(lines: DataFrame, bars: DataFrame) -> DataFrame:
