@@ -153,6 +153,49 @@ def bitmap(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
     return out
 
 
+WORDS = 1 << 16  # 32-bit words of a block of a bitmap
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed blocks of WORDS words of words (block, w, v) that come in order of blocks."""
+    block, own = -1, np.zeros(WORDS, np.uint32)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([pa.compress(own.tobytes(), "zstd", asbytes=True)], pa.binary())], ["block", "bits"])
+
+    for batch in batches:
+        of, w, v = (batch.column(c).to_numpy() for c in ("block", "w", "v"))
+        cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if of[a] != block:
+                if block >= 0:
+                    yield out()
+                block = int(of[a])
+                own[:] = 0
+            np.bitwise_or.at(own, w[a:b] % WORDS, v[a:b].astype(np.uint32))
+    if block >= 0:
+        yield out()
+
+
+def gathered(words: DataFrame, bits: int) -> np.ndarray:
+    """A bit array of words (w, v: long), which may come more than once.
+
+    Tasks put the words into blocks; the driver takes these from the shared folder, a file's part at a time. It holds the bits / 8 bytes of the array, at no time
+    the words, of which each would take 16 bytes there and as many in the JVM.
+    """
+    parts = partitions(words.sparkSession)
+    own = words.withColumn("block", F.expr(f"w div {WORDS}")).repartitionById(parts, F.expr(f"int(block % {parts})")).sortWithinPartitions("block")
+    made = stored(own.select("block", "w", "v").mapInArrow(lean(_filled), "block long, bits binary"), "bits")
+    out = np.zeros(bits // 32, np.uint32)
+    for block, packed_bits in made.toLocalIterator():
+        at = block * WORDS
+        n = min(WORDS, len(out) - at)
+        out[at : at + n] = np.frombuffer(pa.decompress(bytes(packed_bits), 4 * WORDS, "zstd", asbytes=True), np.uint32)[:n]
+    discard(made)
+    release()
+    return out
+
+
 def in_bitmap(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of the uint64 keys (as the longs given to bitmap()) have their bit set."""
     slot = (keys & np.uint64((1 << 62) - 1)) % np.uint64(len(table) * 32)

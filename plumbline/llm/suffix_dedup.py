@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm.hashing import _BYTE, U, buffers, mix, powers, slices
-from plumbline.llm.shared import PIECES, bitmap, bits_for, blocks, by_piece, dealt, discard, in_bitmap, lean, packed, partitions, release, small_batches, stored
+from plumbline.llm.shared import PIECES, bitmap, bits_for, blocks, by_piece, dealt, discard, gathered, in_bitmap, lean, packed, partitions, release, small_batches, stored
 
 LEAST_GRAM = 16
 BITS = 1 << 27, 1 << 31  # least and most of the bitmap of repeated minimizers, else one for 8 bytes of text; a full one lets more through
@@ -434,12 +434,9 @@ def _ranges(docs: DataFrame, size: int, salt: int) -> DataFrame:
     amount = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     bits = min(most, max(least, 1 << (amount // 8).bit_length()))
     pairs = dealt(texts.select("text").mapInArrow(lean(_minimizers(size, parts, salt)), "piece long, block binary"), parts)
-    words = pairs.mapInArrow(lean(_repeated(bits)), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toArrow()
-    table = np.zeros(bits // 32, np.uint32)
-    table[words.column("w").to_numpy()] = words.column("v").to_numpy().astype(np.uint32)
-    del words
+    table = spark.sparkContext.broadcast(gathered(pairs.mapInArrow(lean(_repeated(bits)), "w long, v long"), bits))
     release()
-    runs = dealt(texts.mapInArrow(lean(_dealt_runs(size, parts, spark.sparkContext.broadcast(table), salt)), "piece long, heads binary, bytes binary"), parts)
+    runs = dealt(texts.mapInArrow(lean(_dealt_runs(size, parts, table, salt)), "piece long, heads binary, bytes binary"), parts)
     found = runs.mapInArrow(lean(_cuts(size)), "text long, doc long, first long, end long")
     return stored(found.groupBy(F.col("text").alias("_key"), F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("first", "end")).alias("spans")), "spans")
 
